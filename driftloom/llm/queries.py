@@ -3,18 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from . import decontamination, packing, secrets, sharding
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    """Where this machine keeps the public vocabulary used for packing; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_documents(spark, sf_dir), 24)
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), 24)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.with_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "found", 10)
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), "found")
+    return found.select(
+        "doc_id", "found.n_assign", "found.n_access", "found.n_hex",
+        F.sha2(secrets.joined("found.base"), 256).alias("base_sha256"), secrets.joined("found.spans").alias("spans"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding,)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op8_packing, op10_secrets)}
 
 ORACLE: dict[str, str] = {}
