@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secrets, sharding
+from . import decontamination, language_id, packing, quality_classifier, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scorer = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.with_quality(docs, scorer, "score")
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.with_language(docs, language_id.train(docs), "found")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "found.lang_pred", "found.score")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), "found")
     return found.select(
@@ -43,6 +56,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op8_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_quality_classifier, op8_packing, op9_language_id, op10_secrets)}
 
 ORACLE: dict[str, str] = {}
