@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, license_scan, packing, quality_classifier, quality_rules, secrets, sharding
+from . import decontamination, html_extraction, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -69,6 +73,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op7_html_extraction, op8_packing, op9_language_id, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op6_ngram_join, op7_html_extraction, op8_packing, op9_language_id, op10_secrets)}
 
 ORACLE: dict[str, str] = {}
