@@ -297,3 +297,23 @@ def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -
     pairs = materialize(near.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     edges = materialize(edges.unionAll(join.linked(pairs)), "links")
     return join.grouped(nodes, edges)
+
+
+#: Most rows to drop whose numbers are broadcast to the documents; more are joined by shuffle.
+MAX_BROADCAST_DROPS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked rows, its first in the order of the input, whatever its id.
+
+    Rows without a set (null or blank texts) all stay. All columns stay.
+    """
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    groups = materialize(link_documents(numbered.select(number, "text"), k, percent, id_col=number), "duplicates")
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(number))
+    if drop.count() <= MAX_BROADCAST_DROPS:
+        drop = F.broadcast(drop)
+    return numbered.join(drop, number, "left_anti").select(*docs.columns)
