@@ -282,7 +282,7 @@ def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -
     again = again.join(frequent.withColumn("late", F.lit(1)), "token", "left").withColumn("late", F.coalesce("late", F.lit(0)))
     ordered = again.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("late", "token"))).alias("all"))  # a node's own shingles
     moved = ordered.select("node", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - need(F.col("n")) + 1).cast("int"))).alias("t")).select("t.token", "node", "n")
-    tiles = tiles.join(touched, "node", "left_anti").unionAll(moved)
+    tiles = tiles.join(touched, "node", "left_anti").unionByName(moved)
 
     rows = tiles.join(comp, "node").join(join.sets.select("node", "band", "bits", "bits_above"), "node")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
@@ -290,10 +290,10 @@ def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -
     guest = rows.select("token", "node", "n", "comp", (F.col("band") + 1).alias("band"), F.col("bits_above").alias("bits"), F.lit(1).alias("guest"))
     host = rows.select("token", "node", "n", "comp", "band", "bits", F.lit(0).alias("guest"))
     a = materialize(host.unionAll(guest), "tile-rows")
-    b = a.where("guest = 0").select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "comp", "bits")])
+    b = a.where("guest = 0").select(*[F.col(c).alias(f"{c}_b") for c in ("token", "band", "node", "n", "comp", "bits")])
     once = (F.col("guest") == 1) | (F.col("node") < F.col("node_b"))
     test = once & (F.col("comp") != F.col("comp_b")) & _sizes_fit(F.col("n"), F.col("n_b"), percent) & _bits_fit(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b"), percent)
-    near = a.join(b, (a["token"] == b["token"]) & (a["band"] == b["band"]) & test)
+    near = a.join(b, (F.col("token") == F.col("token_b")) & (F.col("band") == F.col("band_b")) & test)
     pairs = materialize(near.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     edges = materialize(edges.unionAll(join.linked(pairs)), "links")
     return join.grouped(nodes, edges)
