@@ -4,56 +4,80 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .storage import materialize
 
-#: Pieces that one packing task takes, words a worker remembers, characters encoded at once.
-PART_ITEMS, KNOWN_WORDS, CHUNK_CHARS = 100_000, 400_000, 4_000_000
+#: Pieces that one packing task takes, and words a worker remembers.
+PART_ITEMS, KNOWN_WORDS = 100_000, 400_000
 
-_loaded: dict = {}
+#: How this family of vocabularies splits text, and the printable characters that stand for bytes.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
+_loaded: dict[str, Words] = {}
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        _loaded.clear()
-        _loaded[path] = Tokenizer.from_file(path), {}
-    return _loaded[path]
+class Words(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, by a vocabulary that drops white space, never joins across
+    it and lower-cases. A text's ids are those of its white-space separated words in order; a word is encoded when it is
+    first asked for.
 
+    Lower-case letters and signs below U+0130 are the same in every normal form, so the parts of such words go straight
+    to the merges, each part once. Any other text, or one that may name a special token, takes the tokenizer's whole way.
+    """
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    For a vocabulary that drops white space and never joins across it, a text's ids are those of its white-space
-    separated words in order, so each distinct word is encoded once. Lower-casing beforehand merges more words; it is
-    done where every character has one lower-case form. Control characters that only Python counts as space are encoded as they stand.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = []
-    for text in texts:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            split.append([text])
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.merge = self.tokenizer.model.tokenize
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else "".join(map(BYTE_CHARS.__getitem__, part.encode()))
+            ids = self.parts[part] = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            ids = self.part(word)
+        elif word[:-1].isalpha():
+            ids = self.part(word[:-1]) + self.part(word[-1])
         else:
-            split.append((text.lower() if text.isascii() or max(text) < "İ" else text).split())
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for i in range(0, len(new), 50_000):
-        some = new[i : i + 50_000]
-        for word, ids in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[word] = np.array(ids.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+            ids = b"".join(map(self.part, SPLIT.findall(word)))
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > KNOWN_WORDS or len(self.parts) > KNOWN_WORDS:
+            self.clear()
+            self.parts.clear()
+        plain = (text.isascii() or max(text) < "İ") and "<|" not in text
+        if not plain or any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # these are white space in Python only
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+def words_by(path: str) -> Words:
+    """One memory of words for each worker process and vocabulary."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Words(path)
+    return _loaded[path]
 
 
 def tokenized(path: str, end_id: int, capacity: int):
@@ -61,20 +85,13 @@ def tokenized(path: str, end_id: int, capacity: int):
 
     @pandas_udf("array<struct<length:long,ids_crc32:long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        end = np.array([end_id], "<u4").tobytes()
+        end, words = np.array([end_id], "<u4").tobytes(), words_by(path)
         for texts in batches:
-            texts = texts.fillna("").tolist()
-            out, at = [], 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHUNK_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                for ids in encode_texts(texts[at:stop], path):
-                    ids += end
-                    pieces = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
-                    out.append([{"length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for p in pieces])
-                at = stop
+            out = []
+            for text in texts:
+                ids = words.encode(text) + end if text else end
+                pieces = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
+                out.append([{"length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for p in pieces])
             yield pd.Series(out)
 
     return run
