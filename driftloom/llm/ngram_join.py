@@ -79,8 +79,8 @@ def overlap_needed(n: int, percent: int) -> int:
 
 
 def extra_prefix(n: int, percent: int) -> int:
-    """How many shared shingles the longer prefix demands: about half the length of the shortest valid prefix."""
-    return max(1, (n - overlap_needed(n, percent) + 1) // 2)
+    """How many shared shingles the longer prefix demands: about a third of the length of the shortest valid prefix."""
+    return max(1, (n - overlap_needed(n, percent) + 1) // 3)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -215,23 +215,28 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.select("doc_id", _prefixes(k, percent)(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingle-prefixes")
-    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    wide = materialize(texts.select("doc_id", _prefixes(k, percent)(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingle-prefixes")
+    nodes = wide.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = materialize(wide.select("doc_id", "n", "fp"), "rows")
+    release(wide)
 
     need = lambda n: F.ceil(F.lit(percent) * n / 100 - 1e-9)
-    least = lambda n: F.greatest(F.lit(1), F.floor((n - need(n) + 1) / 2))
-    placed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    least = lambda n: F.greatest(F.lit(1), F.floor((n - need(n) + 1) / 3))
+    first = F.col("pos") <= F.col("n") - need(F.col("n"))
+    placed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", (F.col("node") * 2 + first.cast("long")).alias("mark"))
     shared = placed.groupBy("token").count().where("count > 1").select("token")
-    held = materialize(placed.join(shared, "token"), "shared-shingles")
-    alive = held.groupBy("node", "n").count().where(F.col("count") >= least(need(F.col("n")))).select("node")
-    alive = materialize(alive.join(nodes.select("node", "fp", "n"), "node"), "candidates")
+    held = materialize(placed.join(shared, "token"), "shared-shingles")  # mark: twice the node, plus one in the short prefix
+    counts = held.groupBy(F.shiftright("mark", 1).alias("node")).count()
+    alive = counts.join(nodes.select("node", "fp", "n"), "node").where(F.col("count") >= least(need(F.col("n")))).select("node", "fp", "n")
+    alive = materialize(alive, "candidates")
 
     n_alive = alive.count()
     comp = None
     if n_alive:
         sets = materialize(_sets_of(texts, alive, n_alive, k, percent), "shingle-sets")
-        comp = _groups(_Join(sets, percent), held.join(alive.select("node"), "node"), alive, need, common)
+        marked = held.select("token", F.shiftright("mark", 1).alias("node"), (F.col("mark") % 2 == 1).alias("short"))
+        comp = _groups(_Join(sets, percent), marked.join(alive.select("node", "n"), "node"), alive, need, common)
     release(held)
     named = nodes.select("fp", "id", "node")
     if comp is not None:
@@ -259,8 +264,7 @@ def _sets_of(texts: DataFrame, alive: DataFrame, n_alive: int, k: int, percent:
 def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -> DataFrame:
     """Steps 2 and 3."""
     percent = join.percent
-    tiles = held.where(F.col("pos") <= F.col("n") - need(F.col("n"))).select("token", "node", "n")
-    tiles = materialize(tiles, "tiles")
+    tiles = materialize(held.where("short").select("token", "node", "n"), "tiles")
     nodes = alive.select("node")
     comp, edges = materialize(nodes.withColumn("comp", F.col("node")), "groups"), None
     for r in range(3):
