@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -264,13 +264,17 @@ def detect(errors: DataFrame, detector: str = "ddm", grace: int = 100) -> DataFr
     return ordered.mapInPandas(fold, "stream_id string, drift long, warned_at long, detected_at long")
 
 
+def _around(drifts: DataFrame, key: list[str], rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Rows of each drift's stream with seq from low to high."""
+    theirs = rows.withColumnRenamed("stream_id", "_stream")
+    return drifts.select(*key).join(theirs, (F.col("stream_id") == F.col("_stream")) & F.col("seq").between(low, high)).drop("_stream")
+
+
 def start_by_cusum(errors: DataFrame, drifts: DataFrame, lookback: int = 300, slack: float = 0.1, threshold: float = 1.5) -> DataFrame:
     """Adds `start`: the first row of the `lookback` rows before a detection where the sum of errors above baseline and slack,
     never below 0, exceeds the threshold; the baseline is the mean of their first min(50, quarter) rows. 0 before row 50."""
-    e = errors.alias("e")
-    near = drifts.join(e, (drifts["stream_id"] == e["stream_id"]) & (e["seq"] <= drifts["detected_at"]) & (e["seq"] > drifts["detected_at"] - lookback))
     key = ["stream_id", "drift", "warned_at", "detected_at"]
-    near = near.select(*[drifts[c] for c in key], e["seq"], e["err"])
+    near = _around(drifts, key, errors, F.col("detected_at") - lookback + 1, F.col("detected_at"))
     by = Window.partitionBy(*key).orderBy("seq")
     n = F.count("*").over(Window.partitionBy(*key))
     placed = near.withColumn("at", F.row_number().over(by)).withColumn("head", F.least(F.lit(50), F.greatest(F.floor(n / 4), F.lit(1))))
@@ -290,10 +294,9 @@ def start_by_threshold(errors: DataFrame, drifts: DataFrame, width: int = 10, fa
     by = Window.partitionBy("stream_id").orderBy("seq")
     rate = F.avg("err").over(by.rowsBetween(-(width - 1), 0))
     full = F.count("err").over(by.rowsBetween(-(width - 1), 0)) == width
-    e = errors.select("stream_id", "seq", "err", F.when(full, rate).alias("rate")).alias("e")
-    near = drifts.join(e, (drifts["stream_id"] == e["stream_id"]) & (e["seq"] <= drifts["detected_at"]) & (e["seq"] > drifts["detected_at"] - lookback))
     key = ["stream_id", "drift", "warned_at", "detected_at"]
-    near = near.select(*[drifts[c] for c in key], e["seq"], e["err"], e["rate"])
+    rates = errors.select("stream_id", "seq", "err", F.when(full, rate).alias("rate"))
+    near = _around(drifts, key, rates, F.col("detected_at") - lookback + 1, F.col("detected_at"))
     w = Window.partitionBy(*key).orderBy("seq")
     base = F.avg(F.when(F.col("at") <= 50, F.col("err"))).over(Window.partitionBy(*key))
     rows = near.withColumn("at", F.row_number().over(w)).withColumn("base", base).withColumn("high", (F.coalesce(F.col("rate"), F.lit(0.0)) > factor * F.col("base")).cast("int"))
@@ -306,10 +309,9 @@ def start_by_threshold(errors: DataFrame, drifts: DataFrame, width: int = 10, fa
 def end_by_peak(errors: DataFrame, drifts: DataFrame, width: int = 20, horizon: int = 200) -> DataFrame:
     """Adds `end`: the last row of the disjoint windows of `width` rows after a detection before whose successor's rate is
     lower; the end of the horizon if it never falls."""
-    e = errors.alias("e")
-    key = [c for c in drifts.columns]
-    near = drifts.join(e, (drifts["stream_id"] == e["stream_id"]) & (e["seq"] > drifts["detected_at"]) & (e["seq"] <= drifts["detected_at"] + horizon))
-    near = near.select(*[drifts[c] for c in key], F.floor((e["seq"] - drifts["detected_at"] - 1) / width).alias("k"), e["seq"], e["err"])
+    key = list(drifts.columns)
+    near = _around(drifts, key, errors, F.col("detected_at") + 1, F.col("detected_at") + horizon)
+    near = near.withColumn("k", F.floor((F.col("seq") - F.col("detected_at") - 1) / width))
     rates = near.groupBy(*key, "k").agg(F.avg("err").alias("rate"), F.max("seq").alias("last"), F.count("*").alias("n")).where(F.col("n") == width)
     falls = rates.withColumn("next", F.lead("rate").over(Window.partitionBy(*key).orderBy("k"))).where("next < rate")
     ends = falls.groupBy(*key).agg(F.min("last").alias("end")).select("stream_id", "drift", "end")
@@ -321,10 +323,8 @@ def end_by_peak(errors: DataFrame, drifts: DataFrame, width: int = 20, horizon:
 def end_by_recovery(errors: DataFrame, drifts: DataFrame, width: int = 20, horizon: int = 200, slack: float = 0.1, threshold: float = 1.5) -> DataFrame:
     """Adds `end`: where the sum of baseline minus slack minus error, never below 0, exceeds the threshold after a detection; the
     baseline is the rate of the `width` rows up to it. Otherwise the row before the horizon's last."""
-    e = errors.alias("e")
-    near = drifts.join(e, (drifts["stream_id"] == e["stream_id"]) & (e["seq"] > drifts["detected_at"] - width) & (e["seq"] <= drifts["detected_at"] + horizon))
-    key = [c for c in drifts.columns]
-    near = near.select(*[drifts[c] for c in key], e["seq"], e["err"])
+    key = list(drifts.columns)
+    near = _around(drifts, key, errors, F.col("detected_at") - width + 1, F.col("detected_at") + horizon)
     every = Window.partitionBy(*key)
     rows = near.withColumn("base", F.avg(F.when(F.col("seq") <= F.col("detected_at"), F.col("err"))).over(every)).where(F.col("seq") > F.col("detected_at"))
     w = every.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -338,11 +338,9 @@ def end_by_recovery(errors: DataFrame, drifts: DataFrame, width: int = 20, horiz
 def describe(errors: DataFrame, localised: DataFrame, width: int = 50) -> DataFrame:
     """Adds duration and the error rates around the start (+- width / 2), before the detection (width rows) and the largest
     moving rate between start and end."""
-    e = errors.alias("e")
-    key = [c for c in localised.columns]
-    low = F.least(localised["start"] - width // 2, localised["detected_at"] - width)
-    near = localised.join(e, (localised["stream_id"] == e["stream_id"]) & (e["seq"] >= low) & (e["seq"] <= F.greatest(localised["end"] + width, localised["detected_at"])))
-    near = near.select(*[localised[c] for c in key], e["seq"], e["err"])
+    key = list(localised.columns)
+    low = F.least(F.col("start") - width // 2, F.col("detected_at") - width)
+    near = _around(localised, key, errors, low, F.greatest(F.col("end") + width, F.col("detected_at")))
     w = Window.partitionBy(*key).orderBy("seq").rowsBetween(0, width - 1)
     near = near.withColumn("rate", F.when(F.count("err").over(w) == width, F.avg("err").over(w)))
     between = lambda a, b: F.col("seq").between(a, b)
