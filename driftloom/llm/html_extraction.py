@@ -101,11 +101,11 @@ def parse(page: str) -> Node:
                 noisy_inline.append(name)
                 quiet = 1
         elif closing:
-            flush()
-            noisy_inline.clear()
-            quiet = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
+                    flush()
+                    noisy_inline.clear()
+                    quiet = 0
                     del stack[i:]
                     break
                 if stack[i].tag in ("article", "body", "td", "th") and name in ("p", "li", "div"):
@@ -180,11 +180,14 @@ def main_text(page: str | None, importance: dict[int, tuple[float, float]], low:
         order.append(node)
         todo += [p for p in node.parts if isinstance(p, Node)]
     worth: dict[int, float] = {}
+    holds = {id(n) for n in order if n.main}  # articles and what they are in
     for node in reversed(order):
         layout, content = importance.get(node.path, (1.0, 1.0))
         inner = [p for p in node.parts if isinstance(p, Node)]
         values = [worth[id(n)] for n in inner] + [content] * (len(inner) < len(node.parts))
         weight = damping ** len({n.path for n in inner}) if inner else 1.0
+        if any(id(n) in holds for n in inner):
+            holds.add(id(node))
         worth[id(node)] = (1 - weight) * layout + weight * (sum(values) / len(values) if values else 1.0)
     kept: list[tuple[bool, str]] = []
     todo = [root]
@@ -192,7 +195,7 @@ def main_text(page: str | None, importance: dict[int, tuple[float, float]], low:
         item = todo.pop()
         if isinstance(item, tuple):
             kept.append(item)
-        elif not item.noise and (item.main or worth[id(item)] >= low):
+        elif not item.noise and (id(item) in holds or worth[id(item)] >= low):
             todo += [p if isinstance(p, Node) else (item.main, p) for p in reversed(item.parts)]
     only = any(main for main, _ in kept)
     return "\n".join(text for main, text in kept if main or not only)

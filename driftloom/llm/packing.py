@@ -17,8 +17,8 @@ from pyspark.sql.functions import pandas_udf
 
 from .storage import materialize
 
-#: Pieces that one packing task takes, and words a worker remembers.
-PART_ITEMS, KNOWN_WORDS = 100_000, 400_000
+#: Pieces that one packing task takes, and words a worker remembers before it starts forgetting.
+PART_ITEMS, KNOWN_WORDS = 100_000, 500_000
 
 #: How this family of vocabularies splits text, and the printable characters that stand for bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -42,30 +42,30 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
         self.merge = self.tokenizer.model.tokenize
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part if part.isascii() else "".join(map(BYTE_CHARS.__getitem__, part.encode()))
-            ids = self.parts[part] = array("I", [t.id for t in self.merge(shown)]).tobytes()
-        return ids
-
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            ids = self.part(word)
-        elif word[:-1].isalpha():
-            ids = self.part(word[:-1]) + self.part(word[-1])
-        else:
-            ids = b"".join(map(self.part, SPLIT.findall(word)))
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                parts = (word,)
+            elif word[:-1].isalpha():
+                parts = (word[:-1], word[-1])
+            else:
+                parts = SPLIT.findall(word)
+            if len(parts) == 1:
+                shown = word if word.isascii() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
+                ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, parts))
         self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if len(self) > KNOWN_WORDS or len(self.parts) > KNOWN_WORDS:
+        if len(self) > KNOWN_WORDS:  # what was asked for since the last time stays within reach
+            self.old = dict(self)
             self.clear()
-            self.parts.clear()
         plain = (text.isascii() or max(text) < "İ") and "<|" not in text
         if not plain or any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # these are white space in Python only
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "signed_token", "private_key", "encoded_key"
 
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _SIGNED = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+)?")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK)?-----([\sA-Za-z0-9+/=:,.-]*?)-----END \1PRIVATE KEY\2-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK|)-----([\sA-Za-z0-9+/=:,.-]*?)-----END \1PRIVATE KEY\2-----")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 _IS_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _IS_B64 = bytes(104 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
