@@ -19,7 +19,7 @@ def group_stats(long: DataFrame, keys: Sequence[str] = ("label", "feature", "blo
 
 
 def relative_shift(old: Column, new: Column, epsilon: float = 1e-10) -> Column:
-    return (new - old) / F.abs(old + epsilon)
+    return F.try_divide(new - old, F.abs(old + epsilon))
 
 
 def stats_shift(long: DataFrame, threshold: float = 0.2, two_sided: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def stats_vote(shifts: DataFrame, decision: float = 0.4) -> DataFrame:
 def class_ratio_shift(df: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Share of each class in its block, and the relative shift of the share."""
     counts = df.groupBy("label").pivot("block", ["before", "after"]).count().fillna(0)
-    share = lambda b: F.col(b) / F.sum(b).over(Window.partitionBy())  # noqa: E731  a row for each class
+    share = lambda b: F.coalesce(F.try_divide(F.col(b), F.sum(b).over(Window.partitionBy())), F.lit(0.0))  # noqa: E731  a row for each class
     rows = counts.select("label", share("before").alias("ratio_before"), share("after").alias("ratio_after"))
     return rows.withColumn("shift", relative_shift(F.col("ratio_before"), F.col("ratio_after"))).withColumn("drift", F.col("shift") > threshold)
 

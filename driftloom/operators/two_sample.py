@@ -42,12 +42,12 @@ def cumulative(long: DataFrame) -> DataFrame:
 
 
 def _gap() -> Column:
-    return F.abs(F.col("k0") / F.col("n0") - F.col("k1") / F.col("n1"))
+    return F.abs(F.try_divide("k0", "n0") - F.try_divide("k1", "n1"))
 
 
 def ks_p_value(d: Column, n0: Column, n1: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p of the two-sample Kolmogorov-Smirnov statistic (the Kolmogorov series)."""
-    z2 = d * d * n0 * n1 / (n0 + n1)
+    z2 = F.try_divide(d * d * n0 * n1, n0 + n1)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * z2))
     return F.when(z2 < 0.03, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
@@ -97,7 +97,7 @@ def _densities(long: DataFrame, bins: int) -> DataFrame:
     """Densities p (before) and q (after) of the bins, each raised a little and brought to sum 1."""
     every = Window.partitionBy(*KEYS)
     h = histograms(long, bins)
-    raw = lambda i: F.col(f"c{i}") / (F.sum(f"c{i}").over(every) * F.col("width") / bins) + SMALL
+    raw = lambda i: F.coalesce(F.try_divide(F.col(f"c{i}"), F.sum(f"c{i}").over(every) * F.col("width") / bins), F.lit(0.0)) + SMALL
     h = h.withColumns({"d0": raw(0), "d1": raw(1), "n0": F.sum("c0").over(every), "n1": F.sum("c1").over(every)})
     return h.withColumns({"p": F.col("d0") / F.sum("d0").over(every), "q": F.col("d1") / F.sum("d1").over(every)})
 
@@ -161,10 +161,10 @@ def anderson_darling(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     b = F.col("k0") + F.col("k1") - l / 2
     m = lambda i: F.col(f"k{i}") - F.col(f"c{i}") / 2
     below = b * (total - b) - total * l / 4
-    part = l / total * (F.pow(total * m(0) - b * n0, 2) / n0 + F.pow(total * m(1) - b * n1, 2) / n1) / F.when(below != 0, below)
+    part = l / total * (F.try_divide(F.pow(total * m(0) - b * n0, 2), n0) + F.try_divide(F.pow(total * m(1) - b * n1, 2), n1)) / F.when(below != 0, below)
     cells = rows.groupBy(*KEYS).agg(F.max("n0").alias("n_before"), F.max("n1").alias("n_after"), (F.sum(part) * F.max((total - 1) / total)).alias("a2"))
     n = (F.col("n_before") + F.col("n_after")).cast("double")
-    big_h = 1 / F.col("n_before") + 1 / F.col("n_after")
+    big_h = F.try_divide(F.lit(1), F.col("n_before")) + F.try_divide(F.lit(1), F.col("n_after"))
     few = n <= EXACT_SUMS  # beyond, the sums are at their limits up to terms of log(n) / n
     last = F.when(few, n - 1).otherwise(2).cast("int")
     small_h = F.when(few, F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda s, i: s + 1.0 / i)).otherwise(F.log(n - 1) + 0.5772156649015329 + 1 / (2 * (n - 1)))
@@ -207,7 +207,7 @@ def vote(cells: DataFrame, drift_threshold: float = 0.2, decision: float = 0.4)
 
 def ecdf(long: DataFrame) -> DataFrame:
     """Cumulative shares of both blocks at every distinct value."""
-    return cumulative(long).select(*KEYS, "value", (F.col("k0") / F.col("n0")).alias("before"), (F.col("k1") / F.col("n1")).alias("after"))
+    return cumulative(long).select(*KEYS, "value", F.try_divide("k0", "n0").alias("before"), F.try_divide("k1", "n1").alias("after"))
 
 
 def quartiles(long: DataFrame) -> DataFrame:
