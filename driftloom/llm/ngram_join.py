@@ -288,9 +288,10 @@ def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -
     moved = ordered.select("node", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - need(F.col("n")) + 1).cast("int"))).alias("t")).select("t.token", "node", "n")
     tiles = materialize(tiles.join(touched, "node", "left_anti").unionByName(moved), "tiles")  # joins above a union of shuffles may fail
 
-    rows = tiles.join(comp, "node").join(join.sets.select("node", "band", "bits", "bits_above"), "node")
+    rows = tiles.join(comp, "node")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rows = materialize(rows.join(split, "token"), "tile-nodes")
+    rows = materialize(rows.join(split, "token"), "tile-nodes")  # few are left to carry bitmaps
+    rows = rows.join(join.sets.select("node", "band", "bits", "bits_above"), "node")
     guest = rows.select("token", "node", "n", "comp", (F.col("band") + 1).alias("band"), F.col("bits_above").alias("bits"), F.lit(1).alias("guest"))
     host = rows.select("token", "node", "n", "comp", "band", "bits", F.lit(0).alias("guest"))
     a = materialize(host.unionAll(guest), "tile-rows")
