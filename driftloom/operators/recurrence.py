@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from math import lgamma, sqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 CLASS_PENALTY, MEAN_PENALTY = 10.0, 2.0
 
@@ -140,3 +145,32 @@ def block_metric_flags(metric: DataFrame, grace: int, sigmas: float = 3.0) -> Da
     rows = metric.crossJoin(F.broadcast(reference))  # one row
     beyond = (F.col("value") > F.col("mu") + sigmas * F.col("sd")) | (F.col("value") < F.col("mu") - sigmas * F.col("sd"))
     return rows.select("win", "value", ((F.col("win") >= grace) & beyond).alias("drift"))
+
+
+def adjusted_mutual_information(table: DataFrame) -> DataFrame:
+    """Mutual information of a contingency table (u, v, n) above its expectation for the same margins, as a share of the mean
+    entropy above that expectation.
+
+    A pair of margins (a, b) adds the hypergeometric mean of its term; only counts within 40 deviations of the expected one
+    are summed, beyond which terms vanish in double precision. The table of margins is as small as the sets of groups.
+    """
+
+    def expected(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        log_factorial = lambda xs: np.array([lgamma(x + 1) for x in xs])
+        out = []
+        for x, y, t in zip(a, b, n, strict=True):
+            mean = x * y / t
+            sd = sqrt(max(mean * (t - x) * (t - y) / (t * max(t - 1, 1)), 0)) + 1
+            k = np.arange(max(1, x + y - t, int(mean - 40 * sd)), min(x, y, int(mean + 40 * sd) + 1) + 1)
+            logs = sum(lgamma(z + 1) for z in (x, y, t - x, t - y)) - lgamma(t + 1) - log_factorial(k) - log_factorial(x - k) - log_factorial(y - k) - log_factorial(t - x - y + k)
+            out.append(float((k / t * np.log(t * k / (x * y)) * np.exp(logs)).sum()))
+        return pd.Series(out)
+
+    n = table.agg(F.sum("n").alias("t"))
+    margin = lambda k, name: table.groupBy(k).agg(F.sum("n").alias(name)).select(name)
+    cells = margin("u", "a").crossJoin(margin("v", "b")).crossJoin(F.broadcast(n))  # groups x groups
+    by_chance = cells.agg(F.sum(pandas_udf(expected, "double")(F.col("a"), F.col("b"), F.col("t"))).alias("emi"))
+    entropy = lambda k, name: table.groupBy(k).agg(F.sum("n").alias("m")).crossJoin(F.broadcast(n)).agg((-F.sum(F.col("m") / F.col("t") * F.log(F.col("m") / F.col("t")))).alias(name))
+    rows = agreement(table).select("mutual_information").crossJoin(by_chance).crossJoin(entropy("u", "hu")).crossJoin(entropy("v", "hv"))  # one row each
+    room = (F.col("hu") + F.col("hv")) / 2 - F.col("emi")
+    return rows.select(F.when(F.abs(room) > 1e-12, (F.col("mutual_information") - F.col("emi")) / room).otherwise(F.lit(1.0)).alias("adjusted_mutual_information"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, clusters, detectors, importance, prototypes
+from driftloom.operators import boundary, clusters, detectors, importance, prototypes, reduce
 from driftloom.operators import recurrence as rc
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
 
 from .registry import query, rounded
 from .streams import matrix, vectors
+from .streams import prototypes as prototypes_of
 
 
 def _items(spark, sf_dir):
@@ -157,6 +158,19 @@ def boundary_rules(spark, sf_dir):
     return rounded(boundary.drift_rules(marked, FEATURES)[0], 4)
 
 
+@query()
+def adjusted_mutual_information(spark, sf_dir):
+    assigned = rc.nearest_prototype(vectors(spark, sf_dir), prototypes_of(spark, sf_dir))
+    return rounded(rc.adjusted_mutual_information(rc.contingency(assigned, "label", "proto_class")))
+
+
+@query()
+def principal_plane(spark, sf_dir):
+    names = [f"x{i}" for i in range(8)]
+    rows = _vector_rows(spark, sf_dir)
+    return rounded(reduce.lda(rows, names, 2).transform(reduce.pca(rows, names).transform(rows, "pc"), "ld").select("row_id", "label", "pc1", "pc2", "ld1", "ld2"), 4)
+
+
 LINEAR = "(0.8 * quantity - 0.3 * discount > 0.1) <> (0.5 * quantity + 0.4 * discount > 0.0)"
 
 

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.functions import encoding
-from driftloom.operators import block_stats, boundary, clusters, detectors, importance, prototypes, recurrence, two_sample, windows
+from driftloom.functions import encoding, text
+from driftloom.operators import block_stats, boundary, clusters, detectors, importance, prototypes, recurrence, reduce, two_sample, windows
 from driftloom.sources import files, tables
 
 
@@ -218,3 +218,36 @@ def test_files(spark, tmp_path):
     assert {(r.y, r.split): r["count"] for r in split.groupBy("y", "split").count().collect()} == {(y, s): n for y in (0, 1) for s, n in (("train", 30), ("valid", 10), ("test", 10))}
     with pytest.raises(ValueError):
         files.stratified_split(spark.range(3).withColumn("y", F.lit(0)), "y", (0.5, 0.2, 0.2))
+
+
+def test_adjusted_mutual_information(spark):
+    frame = lambda pairs: recurrence.contingency(spark.createDataFrame(pairs, "u int, v int"))
+    ami = lambda pairs: recurrence.adjusted_mutual_information(frame(pairs)).first()[0]
+    same = [(i % 3, (i % 3 + 1) % 3) for i in range(30)]
+    assert ami(same) == pytest.approx(1)
+    rng = np.random.default_rng(7)
+    assert abs(ami([tuple(map(int, rng.integers(0, 3, 2))) for _ in range(400)])) < 0.05
+    u, v = [0, 0, 0, 1, 1, 1], [0, 0, 1, 1, 1, 1]
+    mi = lambda v: sum(
+        c / 6 * math.log(6 * c / (u.count(a) * v.count(b))) for a in (0, 1) for b in (0, 1) if (c := sum(x == a and y == b for x, y in zip(u, v, strict=True)))
+    )
+    chance = np.mean([mi(list(p)) for p in itertools.permutations(v)])
+    entropy = lambda x: -sum(x.count(k) / 6 * math.log(x.count(k) / 6) for k in set(x))
+    assert ami(list(zip(u, v, strict=True))) == pytest.approx((mi(v) - chance) / ((entropy(u) + entropy(v)) / 2 - chance))
+
+
+def test_projections(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 2, float(a * 3), float(b * 0.2 + i % 2), float(c * 0.1)) for i, (a, b, c) in enumerate(rng.normal(0, 1, (300, 3)))]
+    frame = spark.createDataFrame(rows, "label int, x double, y double, z double")
+    assert abs(reduce.pca(frame, ["x", "y", "z"]).axes[0][0]) > 0.99
+    assert abs(reduce.lda(frame, ["x", "y", "z"]).axes[0][1]) > 0.95
+    assert reduce.pca(frame, ["x", "y", "z"]).transform(frame).agg(F.abs(F.avg("z1"))).first()[0] < 1e-9
+    with pytest.raises(ValueError):
+        reduce.lda(frame, ["x", "y"], 2)
+
+
+def test_tfidf(spark):
+    docs = spark.createDataFrame([("a b a",), ("a c",), (None,)], "text string")
+    rows = text.tfidf(text.fit_tfidf(docs.dropna()), docs).collect()
+    assert len(rows) == 3 and len(rows[0].features) == 3 and rows[2].features.numNonzeros() == 0
