@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .components import components
-from .storage import materialize, release
+from .storage import batch_rows, materialize, release
 
+#: Rows that Python workers get at a time: texts, and pairs of whole sets.
+TEXT_ROWS, PAIR_ROWS = 1000, 200
 #: Bytes hashed at once; nodes whose fingerprints are broadcast; groups at one shingle beyond which it is put last.
 BLOCK_BYTES, MAX_BROADCAST_NODES, COMMON = 1 << 20, 300_000, 50
 
@@ -186,7 +188,9 @@ class _Join:
         """Pairs that link, by the exact intersection of their sorted arrays."""
         side = lambda s: self.sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("items").alias(f"items_{s}"))
         rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", pandas_udf(_shared, "long")(F.col("items_a"), F.col("items_b")))
-        return rows.where(100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+        links = rows.where(100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+        with batch_rows(pairs.sparkSession, PAIR_ROWS):
+            return materialize(links, "links")
 
     def grouped(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         """(node, comp) of all nodes."""
@@ -215,7 +219,8 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wide = materialize(texts.select("doc_id", _prefixes(k, percent)(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingle-prefixes")
+    with batch_rows(spark, TEXT_ROWS):
+        wide = materialize(texts.select("doc_id", _prefixes(k, percent)(F.col("text")).alias("s")).select("doc_id", "s.*"), "shingle-prefixes")
     nodes = wide.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = materialize(wide.select("doc_id", "n", "fp"), "rows")
@@ -234,7 +239,8 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     n_alive = alive.count()
     comp = None
     if n_alive:
-        sets = materialize(_sets_of(texts, alive, n_alive, k, percent), "shingle-sets")
+        with batch_rows(spark, TEXT_ROWS):
+            sets = materialize(_sets_of(texts, alive, n_alive, k, percent), "shingle-sets")
         marked = held.select("token", F.shiftright("mark", 1).alias("node"), (F.col("mark") % 2 == 1).alias("short"))
         comp = _groups(_Join(sets, percent), marked.join(alive.select("node", "n"), "node"), alive, need, common)
     release(held)
@@ -275,7 +281,7 @@ def _groups(join: _Join, held: DataFrame, alive: DataFrame, need, common: int) -
         pairs = rows.join(pivots, "token").where((F.col("comp") != F.col("comp_b")) & _sizes_fit(F.col("n"), F.col("n_b"), percent))
         best = pairs.groupBy("node", "b").count().groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         checked = materialize(join.bit_checked(best.select(F.col("node").alias("a"), "b")), "pairs")
-        new = materialize(join.linked(checked), "links")
+        new = join.linked(checked)
         edges = new if edges is None else materialize(edges.unionAll(new), "links")
         comp = join.grouped(nodes, edges)
 

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .storage import materialize
+from .storage import batch_rows, materialize
 
-#: Pieces that one packing task takes, and words a worker remembers before it starts forgetting.
-PART_ITEMS, KNOWN_WORDS = 100_000, 400_000
+#: Pieces that one packing task takes, words a worker remembers before it starts forgetting, texts it gets at a time.
+PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 400_000, 1000
 
 #: How this family of vocabularies splits text, and the printable characters that stand for bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -170,7 +170,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     schema = PACKED.format(id_type=id_type)
     cut = docs.select(F.col(id_col).alias("doc_id"), tokenized(tokenizer_path, end_id, capacity)(F.col(text_col)).alias("pieces"))
     cut = cut.select("doc_id", F.posexplode("pieces").alias("piece", "p")).select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "p.length", "p.ids_crc32")
-    pieces = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        pieces = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
 
     result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
