@@ -14,6 +14,8 @@ from pyspark.sql.functions import pandas_udf
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 12, 8
 #: Most labelled documents of one language, and windows of one document, that training takes.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 1200, 3
+#: Passes over the sample, and batches that training takes at least, however small the sample is.
+EPOCHS, LEAST_STEPS = 8, 600
 UNKNOWN = "und"
 
 
@@ -78,9 +80,10 @@ class ByteNet:
                 np.add.at(grads["embed"], bytes_, g[:, :, None] * conv[j].T[None])
         return loss, grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 0) -> ByteNet:
-        """Adam over shuffled batches."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 0) -> ByteNet:
+        """Adam over shuffled batches, in more epochs if these make fewer than LEAST_STEPS."""
         rng, m, v, t = np.random.default_rng(seed), {}, {}, 0
+        asked, epochs = epochs, max(epochs, -(-LEAST_STEPS // -(-len(y) // batch)))
         for epoch in range(epochs):
             order = rng.permutation(len(y))
             for i in range(0, len(y), batch):
@@ -89,7 +92,7 @@ class ByteNet:
                     m[name] = 0.9 * m.get(name, 0) + 0.1 * g
                     v[name] = 0.999 * v.get(name, 0) + 0.001 * g * g
                     move = m[name] / (1 - 0.9**t) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
-                    self.params[name] -= (rate * 0.7**epoch * move).astype(np.float32)
+                    self.params[name] -= (rate * 0.7 ** (epoch * asked / epochs) * move).astype(np.float32)
         return self
 
     def tables(self) -> dict[str, np.ndarray]:
@@ -182,7 +185,7 @@ def with_language(docs: DataFrame, net: ByteNet, column: str, text_col: str = "t
     return docs.withColumn(column, pandas_udf(predict, "lang_pred string, score double")(F.col(text_col)))
 
 
-def keep_spoken(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def keep_spoken(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
     """docs without those that have no letter or whose best language is less likely than min_score."""
     found = with_language(docs, train(docs), "_language")
     return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= min_score)).select(*docs.columns)
