@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter and those whose best language is less likely than 0.5."""
+    """Drops documents without any letter and those whose best language is scarcely likelier than chance."""
     return language_id.keep_spoken(docs)
 
 
