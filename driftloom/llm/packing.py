@@ -55,7 +55,7 @@ class Words(dict):
             else:
                 parts = SPLIT.findall(word)
             if len(parts) == 1:
-                shown = word if word.isascii() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
+                shown = word if word.isascii() and word.isprintable() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
                 ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
             else:
                 ids = b"".join(map(self.__getitem__, parts))

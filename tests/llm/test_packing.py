@@ -32,6 +32,17 @@ def test_words_equal_the_whole_way(tokenizer, texts):
         assert words.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
 
 
+def test_control_characters_keep_their_tokens(tokenizer):
+    rng, words = random.Random(3), pk.Words(PATH)
+    control = [chr(c) for c in (*range(32), 127)]
+    odd = [f"{a}{c}{b}" for c in control for a in ("", "abc", "d ", "7", "é", ".") for b in ("", "def", " e", "!", "ß")]
+    odd += ["\x1b[31mred\x1b[0m text", "a\x00\x01\x02b", "don't\x7f I'LL\x08"]
+    odd += ["".join(rng.choice(["a", "B", "é", " ", ".", "3", "'s", *control]) for _ in range(20)) for _ in range(1000)]
+    assert words.encode("\x00") and words.encode("a\x7fb")
+    for text in odd:
+        assert words.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_forgetting_changes_nothing(tokenizer, monkeypatch):
     words = pk.Words(PATH)
     monkeypatch.setattr(pk, "KNOWN_WORDS", 3)
