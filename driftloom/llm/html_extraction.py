@@ -18,6 +18,8 @@ from .storage import materialize
 
 #: Below this importance a branch goes; a style seen on fewer pages of a site says nothing; weight of inner nodes.
 LOW_IMPORTANCE, MIN_PAGES, DAMPING = 0.2, 5, 0.9
+#: What importance counts outside the articles of a page that has some.
+OUTSIDE = 0.5
 #: Most rows of site statistics that are broadcast; more are joined by host, with this many salts.
 MAX_BROADCAST_ROWS, SALTS = 200_000, 16
 
@@ -168,8 +170,10 @@ def main_text(page: str | None, importance: dict[int, tuple[float, float]], low:
 
     importance holds, for styles of the site that enough pages have, how much their children's layout and their texts
     vary between pages; others count as 1. A branch's importance mixes its own layout's with the mean of what it holds.
-    Branches of low importance go, and those whose tag or class names a menu, notice, advert and the like. What lies in
-    an article is kept although pages may repeat it. If a page has articles with text, the rest of the page goes.
+    A branch goes if it and all in it is of low importance, a text of a kept one if neither the texts of its style nor
+    the branch itself reach the bar. Tags and classes shift the bar: in an article it is relative to the most important
+    part, so that an article repeated as a whole stays; outside, on a page that has articles with text, importance counts
+    by OUTSIDE only. Branches named as a menu, notice, advert and the like always go: their texts may vary a lot.
     """
     if not page:
         return ""
@@ -180,25 +184,38 @@ def main_text(page: str | None, importance: dict[int, tuple[float, float]], low:
         order.append(node)
         todo += [p for p in node.parts if isinstance(p, Node)]
     worth: dict[int, float] = {}
-    holds = {id(n) for n in order if n.main}  # articles and what they are in
+    own: dict[int, float] = {}  # of the texts right in a node
+    peak: dict[int, float] = {}  # the most in a branch, what is named as noise left out; none without text
+    holds = set()  # articles with text and what they are in
     for node in reversed(order):
         layout, content = importance.get(node.path, (1.0, 1.0))
         inner = [p for p in node.parts if isinstance(p, Node)]
-        values = [worth[id(n)] for n in inner] + [content] * (len(inner) < len(node.parts))
+        texts = len(inner) < len(node.parts)
+        values = [worth[id(n)] for n in inner] + [content] * texts
         weight = damping ** len({n.path for n in inner}) if inner else 1.0
-        if any(id(n) in holds for n in inner):
-            holds.add(id(node))
-        worth[id(node)] = (1 - weight) * layout + weight * (sum(values) / len(values) if values else 1.0)
-    kept: list[tuple[bool, str]] = []
-    todo = [root]
-    while todo:
-        item = todo.pop()
-        if isinstance(item, tuple):
+        value = (1 - weight) * layout + weight * (sum(values) / len(values) if values else 1.0)
+        worth[id(node)], own[id(node)] = value, max(value, content)
+        peaks = [peak[id(n)] for n in inner if id(n) in peak]
+        if not node.noise and (peaks or texts):
+            peak[id(node)] = max([own[id(node)]] * texts + peaks)
+            if node.main or any(id(n) in holds for n in inner):
+                holds.add(id(node))
+    kept: list[str] = []
+    branches: list[tuple[Node | str, float]] = [(root, low / OUTSIDE if holds else low)]
+    while branches:
+        item, bar = branches.pop()
+        if isinstance(item, str):
             kept.append(item)
-        elif not item.noise and (id(item) in holds or worth[id(item)] >= low):
-            todo += [p if isinstance(p, Node) else (item.main, p) for p in reversed(item.parts)]
-    only = any(main for main, _ in kept)
-    return "\n".join(text for main, text in kept if main or not only)
+            continue
+        for part in reversed(item.parts):
+            if isinstance(part, str):
+                if own[id(item)] >= bar:
+                    branches.append((part, bar))
+            elif id(part) in peak:
+                inside = low * peak[id(part)] if part.main and not item.main else bar
+                if peak[id(part)] >= inside or not part.main and id(part) in holds:
+                    branches.append((part, inside))
+    return "\n".join(kept)
 
 
 def _emit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -38,6 +38,36 @@ def test_site_noise_without_telling_names(spark):
     assert he.extract_pages(frame.limit(0)).count() == 0
 
 
+def test_importance_decides_inside_and_outside_articles():
+    page = "<body><div class=x0><p>Lead</p></div><article><h1>Title</h1><p>Body</p><div class=share-links>Pass it on</div></article></body>"
+    paths = {}
+    todo = [he.parse(page)]
+    while todo:
+        node = todo.pop()
+        paths.update({p: node.path for p in node.parts if isinstance(p, str)})
+        todo += [p for p in node.parts if isinstance(p, he.Node)]
+    text = lambda **known: he.main_text(page, {paths[t.replace("_", " ")]: (0.0, x) for t, x in known.items()})
+    assert text() == "Lead\nTitle\nBody\nPass it on"
+    assert text(Pass_it_on=0.1) == "Lead\nTitle\nBody"
+    assert text(Body=0.0) == "Lead\nTitle\nPass it on"
+    assert text(Lead=0.3) == text(Lead=0.0) == "Title\nBody\nPass it on"
+    assert text(Lead=0.9, Title=0.0, Body=0.0, Pass_it_on=0.0) == "Lead\nTitle\nBody\nPass it on"
+
+
+def test_importance_decides_on_a_site_with_articles(spark):
+    body = "<body><div class=teaser><p>{1} lead</p></div><article><h1>T {0}</h1><p>Words {0}</p><div class=user-comments>Write to us</div></article><div class=x>Same line</div></body>"
+    pages = [(i, f"http://s.example/{i}", body.format(i * 37, i * 11)) for i in range(30)]
+    rows = he.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"{i * 11} lead\nT {i * 37}\nWords {i * 37}" for i in range(30)}
+
+
+def test_one_important_block_among_many_repeated_ones(spark):
+    body = "<body>" + "".join(f"<div class=c{k}>Same {k}</div>" for k in range(25)) + "<div class=z>Words {0}</div></body>"
+    pages = [(i, f"http://s.example/{i}", body.format(i * 37)) for i in range(30)]
+    rows = he.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Words {i * 37}" for i in range(30)}
+
+
 def test_repeated_articles_stay(spark):
     pages = [(i, f"http://s.example/{i}", PAGE) for i in range(20)]
     rows = he.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
