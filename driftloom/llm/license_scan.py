@@ -36,8 +36,8 @@ TEMPLATES = (
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Rare words indexed of a template, looked up of a file, and the share of a template's that must line up.
-TEMPLATE_WORDS, FILE_WORDS, MIN_COVERAGE = 6, 12, 0.6
+#: Rare words indexed of a template, and the share of a template's that must line up.
+TEMPLATE_WORDS, MIN_COVERAGE = 6, 0.6
 
 
 def template_words(text: str) -> list[str]:
@@ -75,6 +75,18 @@ def build_index(idf: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]]
     return postings, sizes
 
 
+def _needed(size: int) -> int:
+    return max(2, round(MIN_COVERAGE * size))
+
+
+def _reachable(held: Column, postings: dict[str, list[tuple[int, int]]], sizes: list[int]) -> Column:
+    """The words of held that belong to a template of which held has enough; no other template can count."""
+    of = [[w for w, places in postings.items() for t, _ in places if t == at] for at in range(len(sizes))]  # a word for each place
+    templates = F.array(*[F.struct(F.lit(_needed(s)).alias("need"), F.array(*map(F.lit, ws)).alias("words")) for s, ws in zip(sizes, of, strict=True)])
+    enough = F.filter(templates, lambda t: F.size(F.filter(t["words"], lambda w: F.array_contains(held, w))) >= t["need"])
+    return F.array_intersect(held, F.flatten(F.transform(enough, lambda t: t["words"])))
+
+
 def _stands_at(words: Column, phrase: str, i: Column) -> Column:
     parts = phrase.split(" ")
     test = F.coalesce(F.get(words, i) == parts[0], F.lit(False))
@@ -102,7 +114,7 @@ def _templates(codes: Column, words: Column, sizes: list[int]) -> Column:
 
     def step(a: Column, c: Column) -> Column:
         run = F.when(a["code"] == c, a["run"] + 1).otherwise(1)
-        need = F.get(F.array(*[F.lit(max(2, round(MIN_COVERAGE * s))) for s in sizes]), F.shiftright(c, 40).cast("int"))
+        need = F.get(F.array(*[F.lit(_needed(s)) for s in sizes]), F.shiftright(c, 40).cast("int"))
         more = F.when(run >= need, F.concat(a["best"], F.array(F.struct(F.shiftright(c, 40).cast("int").alias("t"), run.alias("n"))))).otherwise(a["best"])
         kept = F.when(F.size(more) > 64, F.array_distinct(more)).otherwise(more)  # at most templates x words differ
         return F.struct(c.alias("code"), run.alias("run"), kept.alias("best"))
@@ -114,8 +126,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row.
 
     Base: places where the words of a base phrase stand consecutively (n_base, the smallest and largest start, labels).
-    Method: of the licence words in a file the FILE_WORDS rarest over all documents are looked up; a template counts if
-    MIN_COVERAGE of its own rarest words stand in their relative places, and its mandatory phrases are in the file.
+    Method: all indexed words in a file are looked up, but for those of templates of which it has too few; a template
+    counts if MIN_COVERAGE of its own rarest words stand in their relative places, and its mandatory phrases are in the file.
     labels joins both, distinct, sorted and comma-joined. score is the largest share of a template's rare words that line up, at least
     0.75 with a base label, else 0.
     A null text counts as empty: no words, empty labels, score 0. Ties in rareness go to the earlier word. Null ids and
@@ -133,11 +145,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     any_end = F.arrays_overlap(words, F.array(*map(F.lit, ends)))
     none = F.array().cast("array<long>")
     based = split.select(
-        "doc_id", "words", F.slice(F.array_intersect(rarest, words), 1, FILE_WORDS).alias("rare"),
+        "doc_id", "words", F.array_intersect(rarest, words).alias("held"),
         *[F.when(any_end, starts(p)).otherwise(none).alias(label) for p, label in BASE],
     )
+    based = based.withColumn("rare", F.when(F.size("held") >= 2, _reachable(F.col("held"), postings, sizes)).otherwise(F.array().cast("array<string>")))
     codes = F.when(F.size("rare") >= 2, _aligned(words, F.col("rare"), postings)).otherwise(none)
-    matched = based.select("*", codes.alias("codes")).select("*", F.when(F.size("codes") >= 2, _templates(F.col("codes"), words, sizes)).otherwise(F.array().cast("array<struct<t:int,n:int>>")).alias("hits"))
+    matched = based.drop("held").select("*", codes.alias("codes")).select("*", F.when(F.size("codes") >= 2, _templates(F.col("codes"), words, sizes)).otherwise(F.array().cast("array<struct<t:int,n:int>>")).alias("hits"))
     padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     verified = F.filter("hits", lambda h: _phrases_hold(h["t"], padded))
     found = matched.select("*", F.when(F.size("hits") > 0, verified).otherwise(F.col("hits")).alias("good"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -49,3 +50,14 @@ def test_base_against_brute_force(spark, docs, texts, no_docs):
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows)
     assert got == Counter((i, *brute(t)) for i, t in texts)
     assert ls.scan_licenses(no_docs).count() == 0
+
+
+def test_files_with_many_notices(spark):
+    rng = random.Random(7)
+    groups = [range(len(ls.TEMPLATES))] + [rng.sample(range(len(ls.TEMPLATES)), 5) for _ in range(40)]
+    texts = [". ".join(ls.TEMPLATES[t][1] for t in g) for g in groups]
+    filler = [" ".join(w for w in ls.VOCABULARY[:: k % 4 + 1]) for k in range(len(texts))]
+    docs = spark.createDataFrame([(k, f"{a}\n{t}\n{a}") for k, (t, a) in enumerate(zip(texts, filler, strict=True))] + [(-k, "plain prose") for k in range(1, 100)], "doc_id long, text string")
+    for r in ls.scan_licenses(docs).collect():
+        expected = {ls.TEMPLATES[t][0] for t in groups[r.doc_id]} if r.doc_id >= 0 else set()
+        assert expected <= set(r.labels.split(",")) and bool(expected) == bool(r.labels), r.doc_id
