@@ -103,6 +103,13 @@ def median_filtered_values(spark, sf_dir):
     return rounded(wn.median_filter(rows, 5).select("seq", "smooth"))
 
 
+@query()
+def median_filtered_stream(spark, sf_dir):
+    """As median_filtered_values, whose SQL takes the first 5,000 events, over the whole stream."""
+    rows = event_stream(spark, sf_dir).select(F.lit("events").alias("stream_id"), "seq", "value")
+    return rounded(wn.median_filter(rows, 5).select("seq", "smooth"))
+
+
 WIN = f"{SEQ}, w AS (SELECT (seq // 1000)::INT AS win, event_type AS label, value FROM ev WHERE seq // 1000 < (SELECT count(*) // 1000 FROM events))"
 
 
@@ -216,6 +223,13 @@ def minimal_distance(spark, sf_dir):
     return rounded(rc.minimal_distance(v.where("proto_id % 25 = 0"), v.where("proto_id % 20 = 1")))
 
 
+@query()
+def minimal_distance_halves(spark, sf_dir):
+    """As minimal_distance, whose SQL takes 9 % of the rows, between the two halves of all embeddings."""
+    v = vectors(spark, sf_dir).select(F.col("row_id").alias("proto_id"), F.col("label").alias("class"), "center")
+    return rounded(rc.minimal_distance(v.where("proto_id % 2 = 0"), v.where("proto_id % 2 <> 0")))
+
+
 @query(f"""WITH {PROTO}, t AS (SELECT label AS u, cls AS v, count(*) AS n FROM near GROUP BY ALL), a AS (SELECT sum(n) AS m FROM t GROUP BY u), b AS (SELECT sum(n) AS m FROM t GROUP BY v),
 s AS (SELECT sum(n * (n - 1) / 2) AS p, sum(n * ln(n)) AS h, sum(n) AS tot FROM t), sa AS (SELECT sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM a), sb AS (SELECT sum(m * (m - 1) / 2) AS p, sum(m * ln(m)) AS h FROM b),
 x AS (SELECT s.p AS p, sa.p AS pa, sb.p AS pb, tot, sa.p * sb.p / (tot * (tot - 1) / 2) AS ex, ln(tot) - sb.h / tot AS hv, ln(tot) + (s.h - sa.h - sb.h) / tot AS mi FROM s, sa, sb)
