@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftloom.operators import boundary, clusters, detectors, importance, prototypes, reduce
@@ -77,16 +78,17 @@ def hdbscan_windows(spark, sf_dir):
     return clusters.cluster_windows(matrix(spark, sf_dir))
 
 
-def _drifting_errors(spark):
-    """Two streams of 10 000 errors; the rate of the first rises from 0.1 to 0.45 at row 5000."""
-    rows = spark.range(20_000).select(F.when(F.col("id") < 10_000, "rises").otherwise("steady").alias("stream_id"), (F.col("id") % 10_000).alias("seq"), F.col("id"))
-    rate = F.when((F.col("stream_id") == "rises") & (F.col("seq") >= 5000), 0.45).otherwise(0.1)
-    return rows.select("stream_id", "seq", ((F.shiftrightunsigned(F.xxhash64("id"), 11) / 2.0**53) < rate).cast("int").alias("err"))
+def _user_errors(spark, sf_dir):
+    """All events as one stream of errors for each user, in the order of (ts, event_id); events of no user are one stream."""
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit("none"))
+    rows = read(spark, sf_dir, "events").select(user.alias("stream_id"), "ts", "event_id", F.coalesce(F.col("event_type") == "error", F.lit(False)).cast("int").alias("err"))
+    seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1
+    return rows.select("stream_id", seq.cast("long").alias("seq"), "err")
 
 
 @query()
 def drift_descriptions(spark, sf_dir):
-    e = _drifting_errors(spark)
+    e = _user_errors(spark, sf_dir)
     found = detectors.detect(e, "hddm_w")
     localised = detectors.end_by_peak(e, detectors.start_by_cusum(e, found))
     return rounded(detectors.describe(e, localised))
@@ -94,7 +96,7 @@ def drift_descriptions(spark, sf_dir):
 
 @query()
 def detector_comparison(spark, sf_dir):
-    e, out = _drifting_errors(spark), None
+    e, out = _user_errors(spark, sf_dir), None
     for name in detectors.DETECTORS:
         part = detectors.detect(e, name).select(F.lit(name).alias("detector"), "stream_id", "drift", "warned_at", "detected_at")
         out = part if out is None else out.unionAll(part)
