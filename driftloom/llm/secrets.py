@@ -24,7 +24,7 @@ ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 KINDS = ("assign", "access", "hex", "signed_token", "private_key", "encoded_key")
 
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_SIGNED = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+)?")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+)?")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK|)-----([\sA-Za-z0-9+/=:,.-]*?)-----END \1PRIVATE KEY\2-----")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 _IS_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -106,9 +106,19 @@ def is_signed_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def signed_tokens(text: str) -> Iterator[re.Match]:
+    """Tokens whose header decodes; behind one that does not, the next may be the header."""
+    at = 0
+    while m := _SIGNED.search(text, at):
+        holds = is_signed_header(m[1])
+        if holds:
+            yield m
+        at = m.end() if holds else m.end(1)
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of signed tokens, armoured keys and bare encoded keys whose structure holds."""
-    found = [("signed_token", m.start(), m.end()) for m in _SIGNED.finditer(text) if m[1].startswith("ey") and is_signed_header(m[1])]
+    found = [("signed_token", m.start(), m.end()) for m in signed_tokens(text)]
     for m in _ARMOUR.finditer(text):
         lines = [x for x in m[3].split("\n") if ":" not in x]
         sealed = "ENCRYPTED" in m[0] or m[2]  # such a body has no structure to see

@@ -52,6 +52,17 @@ def test_structures_are_confirmed():
         assert kinds(t) == [], t
 
 
+def test_tokens_behind_dotted_words_and_without_signature():
+    header, payload, signature = JWT.split(".")
+    bare = f"{url(json.dumps({'alg': 'none'}).encode())}.{payload}."
+    for before in ("Authorization.", "a sentence.", "eyewitness.", "eyewitness.eyebrows.", "x=", ""):
+        for token in (JWT, bare, f"{header}.{payload}.short"):
+            text = f"see {before}{token} end"
+            at = text.index(token)
+            assert ("signed_token", at, at + len(token)) in se.find_secrets(text)[1], text
+            assert payload not in se.redact(text)
+
+
 def test_scan_and_redact(spark, docs, texts, no_docs):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate([*TEXTS, f"a {JWT} b", PEM])]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
