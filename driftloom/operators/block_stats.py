@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import null_safe_join, quantiles
+
 STATISTICS = ("mean", "std", "min", "max", "median")
 
 
 def group_stats(long: DataFrame, keys: Sequence[str] = ("label", "feature", "block")) -> DataFrame:
     """Mean, sample standard deviation, minimum, maximum and median of `value` by keys."""
-    return long.groupBy(*keys).agg(
+    plain = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.median("value").alias("median"), F.count("value").alias("n"),
+        F.max("value").alias("max"), F.count("value").alias("n"),
     )
+    cells = null_safe_join(plain, quantiles(long, keys, {"median": 0.5}), keys, "left")
+    return cells.select(*keys, "mean", "std", "min", "max", "median", "n")
 
 
 def relative_shift(old: Column, new: Column, epsilon: float = 1e-10) -> Column:

@@ -11,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running, segmented
+
 
 def majority_errors(rows: DataFrame) -> DataFrame:
     """Errors (stream_id, seq, err) of predicting the most frequent label so far, ties to the largest label; the first row
     of a stream counts as an error. Rows are (stream_id, seq, label); there are few distinct labels."""
-    every = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     labels = rows.select("label").distinct().agg(F.array_sort(F.collect_set("label")).alias("ls"))
     spread = rows.crossJoin(F.broadcast(labels)).select("stream_id", "seq", "label", F.explode("ls").alias("cand"))
-    run = Window.partitionBy("stream_id", "cand").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    counted = spread.withColumn("n", F.coalesce(F.sum((F.col("label") == F.col("cand")).cast("long")).over(run), F.lit(0)))
+    spread = segmented(spread.withColumn("_hit", (F.col("label") == F.col("cand")).cast("long")), "seq")
+    counted = running(spread, ["stream_id", "cand"], ["seq"], {"_hit": "hit"}).withColumn("n", F.col("run_hit") - F.col("_hit"))
     best = counted.groupBy("stream_id", "seq").agg(F.max(F.struct("n", "cand")).alias("b"), F.first("label").alias("label"))
     return best.select("stream_id", "seq", F.when(F.col("b.n") == 0, 1).otherwise((F.col("b.cand") != F.col("label")).cast("int")).alias("err"))
 

@@ -73,13 +73,18 @@ def threshold_sweep(distances: DataFrame, concepts: DataFrame, steps: int = 200,
     """
     side = lambda s: concepts.select(F.col("win").alias(f"win_{s}"), F.col("concept").alias(f"c_{s}"))
     pairs = distances.where("win_b - win_a > 1").join(side("a"), "win_a").join(side("b"), "win_b").select("distance", (F.col("c_a") != F.col("c_b")).alias("differ"))
-    thresholds = distances.sparkSession.range(steps).select((F.col("id") * step).alias("threshold"))
-    cells = pairs.crossJoin(F.broadcast(thresholds))  # a fixed number of thresholds
-    over, under = F.col("distance") > F.col("threshold"), F.col("distance") < F.col("threshold")
-    count = lambda c: F.sum(c.cast("long"))
+    # a distance lies above the thresholds before place `over`, and on or above those before place `met`
+    near = F.array(*[F.floor(F.col("distance") / step) + d for d in (-1, 0, 1, 2)])
+    places = lambda test: F.greatest(F.least(F.array_max(F.filter(near, test)) + 1, F.lit(steps)), F.lit(0))
+    placed = pairs.select("differ", F.coalesce(places(lambda k: k * step < F.col("distance")), F.lit(0)).alias("over"), F.coalesce(places(lambda k: k * step <= F.col("distance")), F.lit(0)).alias("met"))
+    counts = placed.groupBy("differ", "over", "met").count()  # at most a few rows for each threshold
+    thresholds = distances.sparkSession.range(steps).select(F.col("id"), (F.col("id") * step).alias("threshold"))
+    cells = counts.crossJoin(F.broadcast(thresholds))
+    over, met = F.col("id") < F.col("over"), F.col("id") < F.col("met")
+    count = lambda c: F.sum(F.when(c, F.col("count")).otherwise(F.lit(0)))
     rates = cells.groupBy("threshold").agg(
         count(F.col("differ") & over).alias("tp"), count(F.col("differ") & ~over).alias("fn"),
-        count(~F.col("differ") & under).alias("tn"), count(~F.col("differ") & ~under).alias("fp"),
+        count(~F.col("differ") & ~met).alias("tn"), count(~F.col("differ") & met).alias("fp"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     tp, fn, tn, fp = (F.col(c) for c in ("tp", "fn", "tn", "fp"))

@@ -11,8 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import by_value, mid_ranks, null_safe_join, numbered, quantiles
+
 KEYS = ["label", "feature"]
-BINS, SMALL, EXACT_SUMS = 30, 1e-10, 50_000
+BINS, SMALL, EXACT_SUMS, REACH = 30, 1e-10, 50_000, 9.0
 
 
 def scaled_by_before(long: DataFrame) -> DataFrame:
@@ -32,13 +34,12 @@ def standardised_by_before(long: DataFrame) -> DataFrame:
 
 
 def cumulative(long: DataFrame) -> DataFrame:
-    """Distinct values of each class and feature with counts (c0, c1), running counts (k0, k1) and totals (n0, n1)."""
+    """Distinct values of each class and feature with counts (c0, c1), running counts (k0, k1), totals (n0, n1) and the
+    next value (_next)."""
     of = lambda b: F.sum((F.col("block") == b).cast("long"))
     counts = long.groupBy(*KEYS, "value").agg(of("before").alias("c0"), of("after").alias("c1"))
-    run = Window.partitionBy(*KEYS).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*KEYS)
-    cols = {f"k{i}": F.sum(f"c{i}").over(run) for i in (0, 1)} | {f"n{i}": F.sum(f"c{i}").over(every) for i in (0, 1)}
-    return counts.withColumns(cols)
+    rows = by_value(counts, KEYS, {"c0": "0", "c1": "1"})
+    return rows.withColumnsRenamed({"run_0": "k0", "run_1": "k1", "all_0": "n0", "all_1": "n1"})
 
 
 def _gap() -> Column:
@@ -72,8 +73,7 @@ def kolmogorov_smirnov(long: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def wasserstein(long: DataFrame, threshold: float = 0.1) -> DataFrame:
     """First Wasserstein distance; scale the values first to compare features."""
-    w = Window.partitionBy(*KEYS).orderBy("value")
-    rows = cumulative(long).withColumn("part", _gap() * (F.lead("value").over(w) - F.col("value")))
+    rows = cumulative(long).withColumn("part", _gap() * (F.col("_next") - F.col("value")))
     return _decide(_by_cell(rows, F.coalesce(F.sum("part"), F.lit(0.0))), F.col("stat") > threshold)
 
 
@@ -113,21 +113,15 @@ def jensen_shannon(long: DataFrame, threshold: float = 0.05, bins: int = BINS) -
     return _decide(_by_cell(_densities(long, bins), F.sum(half(p) + half(q))), F.col("stat") > threshold)
 
 
-def _mid_rank(keys: list[str]) -> Column:
-    w = Window.partitionBy(*keys).orderBy("value")
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, "value")) - 1) / 2
-
-
 def spearman(long: DataFrame, order: list[str], threshold: float = 0.9) -> DataFrame:
     """Rank correlation of rows paired by position within class, feature and block; the longer block is cut.
 
     `order` names the columns of the total order. |rho| below the threshold is drift.
     """
-    at = F.row_number().over(Window.partitionBy(*KEYS, "block").orderBy(*order))
-    placed = long.select(*KEYS, "block", "value", at.alias("at"))
+    placed = numbered(long.select(*KEYS, "block", "value", *order), [*KEYS, "block"], order, "at")
     pairs = placed.where("block = 'before'").withColumnRenamed("value", "x").join(placed.where("block = 'after'").withColumnRenamed("value", "y"), [*KEYS, "at"])
     pairs = pairs.select(*KEYS, "at", "x", "y")
-    ranked = pairs.withColumnRenamed("x", "value").withColumn("rx", _mid_rank(KEYS)).drop("value").withColumnRenamed("y", "value").withColumn("ry", _mid_rank(KEYS))
+    ranked = mid_ranks(mid_ranks(pairs, KEYS, "x", "rx"), KEYS, "y", "ry")
     cells = ranked.groupBy(*KEYS).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("stat"))
     return cells.withColumn("drift", F.coalesce(F.abs("stat") < threshold, F.lit(True)))
 
@@ -212,19 +206,25 @@ def ecdf(long: DataFrame) -> DataFrame:
 
 def quartiles(long: DataFrame) -> DataFrame:
     """Five numbers of a box plot by class, feature and block."""
-    q = lambda p: F.percentile("value", p)
-    return long.groupBy(*KEYS, "block").agg(F.min("value").alias("low"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("value").alias("high"))
+    keys = [*KEYS, "block"]
+    ends = long.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    cells = null_safe_join(ends, quantiles(long, keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), keys, "left")
+    return cells.select(*keys, "low", "q1", "q2", "q3", "high")
 
 
 def kernel_density(long: DataFrame, points: int = 1000) -> DataFrame:
     """Gaussian kernel density of each class, feature and block on `points` points over the joint range, bandwidth by
-    Scott's rule. Rows are binned to counts of distinct values, each spread over the points of its own cell."""
+    Scott's rule. A distinct value adds to the points within REACH bandwidths only; beyond, kernels are below 1e-17."""
     spread = long.groupBy(*KEYS, "block").agg(F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
     joint = long.groupBy(*KEYS).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     cells = spread.join(joint, KEYS).withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2))).where("h > 0")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    values = long.groupBy(*KEYS, "block", "value").count()
-    at = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)
-    kernel = F.sum(F.col("count") * F.exp(-0.5 * F.pow((F.col("x") - F.col("value")) / F.col("h"), 2))) / F.max(F.col("n") * F.col("h")) / math.sqrt(2 * math.pi)
-    rows = values.join(F.broadcast(cells), [*KEYS, "block"]).select("*", grid).withColumn("x", at)
-    return rows.groupBy(*KEYS, "block", "x").agg(kernel.alias("density"))
+    cells = cells.withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1))
+    place = lambda side: (F.col("value") + side * REACH * F.col("h") - F.col("lo")) / F.col("step")
+    first, last = F.greatest(F.ceil(place(-1)), F.lit(0)), F.least(F.floor(place(1)), F.lit(points - 1))
+    values = long.groupBy(*KEYS, "block", "value").count().join(cells, [*KEYS, "block"])
+    near = values.where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+    z = (F.col("lo") + F.col("i") * F.col("step") - F.col("value")) / F.col("h")
+    sums = near.groupBy(*KEYS, "block", "i").agg(F.sum(F.col("count") * F.exp(-0.5 * z * z)).alias("kernels"))
+    grid = cells.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    density = F.coalesce("kernels", F.lit(0.0)) / (F.col("n") * F.col("h")) / math.sqrt(2 * math.pi)
+    return grid.join(sums, [*KEYS, "block", "i"], "left").select(*KEYS, "block", (F.col("lo") + F.col("i") * F.col("step")).alias("x"), density.alias("density"))

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import STRETCH, in_stretch, running, segmented, with_halo
+
 STREAM = "stream_id"
 
 
-def _by(order: str) -> Window:
-    return Window.partitionBy(STREAM).orderBy(order)
+def _frame(rows: DataFrame, before: int, after: int) -> tuple[DataFrame, Window]:
+    return with_halo(rows, "seq", before, after), in_stretch([STREAM], "seq")
 
 
 def sliding_error_rate(errors: DataFrame, width: int) -> DataFrame:
-    """Mean error of rows seq .. seq + width - 1, for every full window of each stream (stream_id, seq, err)."""
-    rate = F.avg("err").over(_by("seq").rowsBetween(0, width - 1))
-    held = F.count("err").over(_by("seq").rowsBetween(0, width - 1))
-    return errors.select(STREAM, "seq", rate.alias("rate"), held.alias("_held")).where(F.col("_held") == width).drop("_held")
+    """Mean error of rows seq .. seq + width - 1, for every full window of each stream (stream_id, gapless seq, err)."""
+    rows, w = _frame(errors, 0, width - 1)
+    frame = w.rowsBetween(0, width - 1)
+    out = rows.select(STREAM, "seq", "_own", F.avg("err").over(frame).alias("rate"), F.count("err").over(frame).alias("_held"))
+    return out.where((F.col("_held") == width) & F.col("_own")).drop("_held", "_own")
 
 
 def gradient_start(errors: DataFrame, width: int = 20, rise: float = 0.01) -> DataFrame:
     """First position of each stream at which the moving average of `width` rows rises by more than `rise` to the next."""
-    rates = sliding_error_rate(errors, width)
-    steps = rates.withColumn("step", F.lead("rate").over(_by("seq")) - F.col("rate"))
-    return steps.where(F.col("step") > rise).groupBy(STREAM).agg(F.min("seq").alias("start"))
+    rows, w = _frame(errors, 0, width)
+    now, then = (F.avg("err").over(w.rowsBetween(i, i + width - 1)) for i in (0, 1))
+    held = F.count("err").over(w.rowsBetween(0, width))
+    steps = rows.select(STREAM, "seq", "_own", (then - now).alias("step"), held.alias("_held"))
+    return steps.where((F.col("_held") == width + 1) & F.col("_own") & (F.col("step") > rise)).groupBy(STREAM).agg(F.min("seq").alias("start"))
 
 
 def median_filter(rows: DataFrame, kernel: int, value: str = "value") -> DataFrame:
@@ -31,13 +36,14 @@ def median_filter(rows: DataFrame, kernel: int, value: str = "value") -> DataFra
     if kernel % 2 == 0:
         raise ValueError("the kernel must be odd")
     half = kernel // 2
-    w, every = _by("seq").rowsBetween(-half, half), Window.partitionBy(STREAM)
-    around = F.collect_list(value).over(w)
-    at, n = F.row_number().over(_by("seq")), F.count("*").over(every)
-    lead = F.array_repeat(F.first(value).over(w), F.greatest(half + 1 - at, F.lit(0)).cast("int"))
-    tail = F.array_repeat(F.last(value).over(w), F.greatest(half - (n - at), F.lit(0)).cast("int"))
-    full = F.array_sort(F.concat(lead, around, tail))
-    return rows.select(STREAM, "seq", F.get(full, F.lit(half)).alias("smooth"))
+    ends = rows.groupBy(STREAM).agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
+    cut, order = _frame(rows, half, half)
+    w = order.rowsBetween(-half, half)
+    framed = cut.select(STREAM, "seq", "_own", F.collect_list(value).over(w).alias("_around"), F.first(value).over(w).alias("_from"), F.last(value).over(w).alias("_to"))
+    framed = framed.where("_own").join(ends, STREAM)
+    missing = lambda edge: F.greatest(half - F.abs(F.col("seq") - F.col(edge)), F.lit(0)).cast("int")
+    full = F.array_sort(F.concat(F.array_repeat("_from", missing("_low")), "_around", F.array_repeat("_to", missing("_high"))))
+    return framed.select(STREAM, "seq", F.get(full, F.lit(half)).alias("smooth"))
 
 
 def median_filter_2d(matrix: DataFrame, kernel: int) -> DataFrame:
@@ -71,27 +77,41 @@ def repair_outliers(labels: DataFrame) -> DataFrame:
 
 def change_points(labels: DataFrame) -> DataFrame:
     """Windows whose label differs from that of the last window before that is not an outlier (-1)."""
-    real = labels.where("label <> -1")
-    old = F.lag("label").over(_by("win"))
-    found = real.withColumn("old", old)
-    first = F.min("win").over(Window.partitionBy(STREAM))
-    leading = labels.withColumn("first", first).where("win = first and label = -1").select(STREAM, F.lit(True).alias("led"))
-    return found.join(leading, STREAM, "left").where((F.col("old") != F.col("label")) | (F.col("old").isNull() & F.col("led"))).select(STREAM, "win", F.coalesce("old", F.lit(-1)).alias("old"), "label")
+    cut = segmented(labels.where("label <> -1"), "win")
+    last = cut.groupBy(STREAM, STRETCH).agg(F.max_by("label", "win").alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(STREAM).orderBy(STRETCH))).drop("_last")  # a row for each stretch
+    old = F.coalesce(F.lag("label").over(in_stretch([STREAM], "win")), F.col("_before"))
+    found = cut.join(before, [STREAM, STRETCH]).withColumn("old", old)
+    leading = labels.groupBy(STREAM).agg((F.min_by("label", "win") == -1).alias("led"))
+    changed = (F.col("old") != F.col("label")) | (F.col("old").isNull() & F.col("led"))
+    return found.join(leading, STREAM).where(changed).select(STREAM, "win", F.coalesce("old", F.lit(-1)).alias("old"), "label")
 
 
 def runs(rows: DataFrame, order: str = "seq", label: str = "label") -> DataFrame:
-    """Stretches of equal labels: number, label, first and last position, length."""
-    changed = F.coalesce((F.col(label) != F.lag(label).over(_by(order))).cast("int"), F.lit(0))
-    run = rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(_by(order)))
-    return run.groupBy(STREAM, "run").agg(F.first(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
+    """Stretches of equal labels: number, label, first and last position, length. Positions are gapless."""
+    previous = F.lag(label).over(in_stretch([STREAM], order))
+    changed = F.coalesce((F.col(label) != previous).cast("int"), F.lit(0))
+    marked = with_halo(rows.select(STREAM, order, label), order, 0, 1).withColumn("_changed", changed).where("_own")
+    run = running(marked, [STREAM], [order], {"_changed": "changed"}).withColumnRenamed("run_changed", "run")
+    return run.groupBy(STREAM, "run").agg(F.min(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
 
 
 def cusum(errors: DataFrame, baseline: float, slack: float = 0.1) -> DataFrame:
-    """s = max(0, s + err - baseline - slack) along each stream, by the identity of a running sum with its running minimum."""
-    total = F.sum(F.col("err") - (baseline + slack)).over(_by("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = errors.withColumn("total", total)
-    low = F.least(F.lit(0.0), F.min("total").over(_by("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("s", F.col("total") - low).select(STREAM, "seq", "s")
+    """s = max(0, s + err - baseline - slack) along each stream, by the identity of a running sum with its running minimum.
+
+    Each stretch of a stream sends its sum and its smallest running sum ahead.
+    """
+    up_to = Window.unboundedPreceding, 0
+    w = in_stretch([STREAM], "seq").rowsBetween(*up_to)
+    rows = segmented(errors, "seq").withColumn("_sum", F.sum(F.col("err") - (baseline + slack)).over(w))
+    rows = rows.withColumn("_low", F.min("_sum").over(w))
+    parts = rows.groupBy(STREAM, STRETCH).agg(F.max_by("_sum", "seq").alias("_all"), F.min("_low").alias("_least"))
+    earlier = Window.partitionBy(STREAM).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0)))
+    parts = parts.withColumn("_least_before", F.min(F.col("_base") + F.col("_least")).over(earlier)).drop("_all", "_least")
+    rows = rows.join(parts, [STREAM, STRETCH])
+    low = F.least(F.lit(0.0), F.col("_base") + F.col("_low"), F.col("_least_before"))
+    return rows.select(STREAM, "seq", (F.col("_base") + F.col("_sum") - low).alias("s"))
 
 
 def cusum_crossing(errors: DataFrame, baseline: float, slack: float = 0.1, threshold: float = 1.5) -> DataFrame:
