@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -10,70 +11,180 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .storage import batch_rows, materialize
 
 #: Pieces that one packing task takes, words a worker remembers before it starts forgetting, texts it gets at a time.
-PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 400_000, 1000
+PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 300_000, 2000
+#: Most characters of words that are merged together; no merge.
+LONG_WORD, NONE = 32, 2**31 - 1
 
 #: How this family of vocabularies splits text, and the printable characters that stand for bytes.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+NOT_PLAIN = "[^\x00-\x1b\x20-\u012f]"  # the last four before the space are white space in some libraries only
 
 _loaded: dict[str, Words] = {}
 
 
-class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit numbers, by a vocabulary that drops white space, never joins across
-    it and lower-cases. A text's ids are those of its white-space separated words in order; a word is encoded when it is
-    first asked for.
-
-    Lower-case letters and signs below U+0130 are the same in every normal form, so the parts of such words go straight
-    to the merges, each part once. Any other text, or one that may name a special token, takes the tokenizer's whole way.
+class Merges:
+    """The merges of a vocabulary, applied to many words at once: in each round every word merges its pair of lowest rank,
+    the leftmost of equal ones, until no word has a pair left that merges."""
+
+    def __init__(self, vocab: dict[str, int], pairs: list[tuple[str, str]], suffix: str):
+        chars = [BYTE_CHARS[b] for b in range(256)]
+        self.symbols = np.array([vocab[c] for c in chars] + [vocab[c + suffix] for c in chars], np.int32)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank = np.append(keys[order], NONE << 32), np.append(order, NONE).astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.first = self._ranks(self.symbols[:256, None], self.symbols[None])  # of pairs of bytes, the second maybe the last
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], NONE).astype(np.int32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        raw = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        width = int(sizes.max()) + 1
+        place = np.arange(width)
+        live = place < sizes[:, None]  # one row a word, one place a byte
+        at = np.where(live, raw[np.minimum((ends - sizes)[:, None] + place, len(raw) - 1)], 0).astype(np.int32)
+        at[np.arange(len(words)), sizes - 1] += 256
+        rank = np.full(at.shape, NONE, np.int32)  # of the pair of a place and the next live one
+        rank[:, :-1] = np.where(live[:, 1:], self.first[np.minimum(at[:, :-1], 255), at[:, 1:]], NONE)
+        symbol = self.symbols[at]
+        after = np.tile(place + 1, (len(words), 1))
+        before = after - 2
+        flat_symbol, flat_rank, flat_after, flat_before, flat_live = (x.ravel() for x in (symbol, rank, after, before, live))
+        todo = np.arange(len(words))
+        while len(todo):
+            rows = rank[todo]
+            column = rows.argmin(1)
+            low = rows[np.arange(len(todo)), column]
+            going = low < NONE
+            todo, column, low = todo[going], column[going], low[going]
+            start = todo * width
+            here = start + column
+            gone = start + flat_after[here]
+            flat_symbol[here] = self.merged[low]
+            flat_live[gone], flat_rank[gone], flat_rank[here] = False, NONE, NONE
+            follows = flat_after[here] = flat_after[gone]
+            has = follows < sizes[todo]
+            right = (start + follows)[has]
+            flat_before[right] = column[has]
+            flat_rank[here[has]] = self._ranks(flat_symbol[here[has]], flat_symbol[right])
+            has = flat_before[here] >= 0
+            left = (start + flat_before[here])[has]
+            flat_rank[left] = self._ranks(flat_symbol[left], flat_symbol[here[has]])
+        return symbol[live].astype("<u4"), live.sum(1)
+
+
+class Words:
+    """Ids of texts by a vocabulary that drops white space, never joins across it and lower-cases. A text's ids are those
+    of its white-space separated words in order; each distinct word of a batch of texts is looked up once.
+
+    Lower-case letters and signs below U+0130 are the same in every normal form, so the parts of new words go straight to
+    the merges, all together. Any other text, or one that may name a special token, takes the tokenizer's whole way.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-        self.merge = self.tokenizer.model.tokenize
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if word.isalpha():
-                parts = (word,)
-            elif word[:-1].isalpha():
-                parts = (word[:-1], word[-1])
-            else:
-                parts = SPLIT.findall(word)
-            if len(parts) == 1:
-                shown = word if word.isascii() and word.isprintable() else "".join(map(BYTE_CHARS.__getitem__, word.encode()))
-                ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
-            else:
-                ids = b"".join(map(self.__getitem__, parts))
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > KNOWN_WORDS:  # what was asked for since the last time stays within reach
-            self.old = dict(self)
-            self.clear()
-        plain = (text.isascii() or max(text) < "İ") and "<|" not in text
-        if not plain or any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # these are white space in Python only
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = Merges(model["vocab"], pairs, model["end_of_word_suffix"])
+        self.known, self.ids, self.ends = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that the vocabulary's pattern does not split, and their counts; long ones are merged one by one."""
+        long = {i: w for i, w in enumerate(parts) if len(w) > LONG_WORD}
+        short = [w for w in parts if len(w) <= LONG_WORD] if long else parts
+        ids, counts = self.merges.encode(short) if short else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if not long:
+            return ids, counts
+        found = iter(np.split(ids, np.cumsum(counts)[:-1]) if short else [])
+        each = []
+        for i, w in enumerate(parts):
+            shown = i in long and "".join(map(BYTE_CHARS.__getitem__, w.encode()))
+            each.append(np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4") if shown else next(found))
+        return np.concatenate(each), np.array(list(map(len, each)), np.int64)
+
+    def _add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where known words are, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words in a row, and where each word's end."""
+        starts = np.concatenate([[0], self.ends[:-1]])[places]
+        counts = self.ends[places] - starts
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(starts - (ends - counts), counts) + np.arange(total)], ends
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Put new distinct words and their parts into memory; where the words are then."""
+        alone = pc.utf8_is_alpha(words)
+        odd = words.filter(pc.invert(alone))
+        split = pc.split_pattern(pc.replace_substring_regex(odd, SPLIT, "\\1\n"), "\n")  # the last part is empty
+        parts = pa.concat_arrays([words.filter(alone), split.flatten()]).dictionary_encode()
+        places = self._places(parts.dictionary)
+        unknown = places < 0
+        if unknown.any():
+            new = parts.dictionary.filter(pa.array(unknown))
+            places[unknown] = len(self.known) + np.arange(len(new))
+            self._add(new, *self._merge(new.to_numpy(zero_copy_only=False).tolist()))
+        places = places[parts.indices.to_numpy()]
+        out, alone = np.empty(len(words), np.int64), alone.to_numpy(zero_copy_only=False)
+        out[alone] = places[: alone.sum()]
+        out[~alone] = len(self.known) + np.arange(len(odd))
+        ids, ends = self._gather(places[alone.sum() :])
+        self._add(odd, ids, np.diff(np.concatenate([[0], ends])[split.offsets.to_numpy()]))
+        return out
+
+    def _forget(self) -> None:
+        """Drop the half of the words that was learnt first."""
+        cut = len(self.known) // 2
+        start, self.known = self.ends[cut - 1], pa.concat_arrays([pa.array([""]), self.known[cut:]])
+        self.ids, self.ends = self.ids[start:], np.concatenate([[0], self.ends[cut:] - start])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit numbers; none for null."""
+        texts = texts.fill_null("")
+        whole = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, NOT_PLAIN)).to_numpy(zero_copy_only=False)
+        plain = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(whole), "", texts)))
+        words = plain.flatten().dictionary_encode()
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        places = self._places(words.dictionary)
+        if (places < 0).any():
+            places[places < 0] = self._learn(words.dictionary.filter(pa.array(places < 0)))
+        ids, ends = self._gather(places[words.indices.to_numpy()])
+        cuts = np.concatenate([[0], ends])[plain.offsets.to_numpy() - plain.offsets[0].as_py()]
+        out = np.split(ids, cuts[1:-1])
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 def words_by(path: str) -> Words:
-    """One memory of words for each worker process and vocabulary."""
+    """One vocabulary for each worker process."""
     if path not in _loaded:
         _loaded.clear()
         _loaded[path] = Words(path)
@@ -83,16 +194,19 @@ def words_by(path: str) -> Words:
 def tokenized(path: str, end_id: int, capacity: int):
     """A column function text -> lengths and checksums of the pieces of its ids."""
 
-    @pandas_udf("array<struct<length:long,ids_crc32:long>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<struct<length:long,ids_crc32:long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         end, words = np.array([end_id], "<u4").tobytes(), words_by(path)
         for texts in batches:
-            out = []
-            for text in texts:
-                ids = words.encode(text) + end if text else end
+            counts, lengths, sums = [0], [], []
+            for found in words.encode(texts) if len(texts) else []:
+                ids = found.tobytes() + end
                 pieces = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
-                out.append([{"length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for p in pieces])
-            yield pd.Series(out)
+                counts.append(len(pieces))
+                lengths += [len(p) // 4 for p in pieces]
+                sums += map(zlib.crc32, pieces)
+            pieces = pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["length", "ids_crc32"])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pieces)
 
     return run
 
