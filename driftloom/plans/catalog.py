@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, models, streams  # noqa: F401
+from . import blocks, models, streams, summaries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
