@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classifiers import with_classes
+
 
 @dataclass
 class Projector:
@@ -52,7 +54,10 @@ def classifier(rows: DataFrame, features: list[str], label: str = "label", trees
 
 
 def label_points(model, rows: DataFrame, features: list[str], name: str) -> DataFrame:
-    """Adds the model's class and its probability under `name`."""
+    """Adds the class and its probability under `name` by a forest or any model of `classifiers`."""
+    if isinstance(model, PipelineModel):
+        out = with_classes(model, rows, name)
+        return out.withColumns({name: F.col(name).cast("double"), f"{name}_p": F.array_max(f"{name}_p")})
     out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
     return out.withColumn(f"{name}_p", F.array_max(vector_to_array("probability"))).withColumnRenamed("prediction", name).drop("_x", "rawPrediction", "probability")
 
@@ -81,19 +86,37 @@ def disagreement_map(rows: DataFrame, features: list[str], before, after, size:
     return both.withColumn("differ", (F.col("c0") != F.col("c1")).cast("int"))
 
 
-def _leaves(text: str) -> list[tuple[list[tuple[int, str, float]], float]]:
-    """(conditions (feature, <= or >, threshold), class) of each leaf of a tree's description."""
-    out, stack = [], []
-    for line in text.splitlines()[1:]:
-        depth = (len(line) - len(line.lstrip())) // 1
-        stack = [s for s in stack if s[0] < depth]
-        if m := re.match(r"\s*(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line):
-            stack.append((depth, (int(m[1]), m[2], float(m[3]))))
-        elif m := re.match(r"\s*Predict: (\S+)", line):
-            out.append(([c for _, c in stack], float(m[1])))
+def _leaves(tree) -> list[tuple[list[tuple[int, str, float]], float]]:
+    """(conditions (feature, <= or >, threshold), class) of each leaf of a tree with continuous features, left to right."""
+    out = []
+
+    def walk(node, conditions: list) -> None:
+        if node.numDescendants() == 0:
+            out.append((conditions, node.prediction()))
+            return
+        split = node.split()
+        at = split.featureIndex(), split.threshold()
+        walk(node.leftChild(), [*conditions, (at[0], "<=", at[1])])
+        walk(node.rightChild(), [*conditions, (at[0], ">", at[1])])
+
+    walk(tree._call_java("rootNode"), [])
     return out
 
 
+def ordered_rules(rules: DataFrame) -> DataFrame:
+    """Rules with their place, the largest coverage first, then the most samples."""
+    return rules.withColumn("place", F.row_number().over(Window.orderBy(F.desc("coverage"), F.desc("samples"), "rule")))  # a few rules
+
+
+def unscaled(rules: DataFrame, marked: DataFrame, features: list[str], shift: dict[str, float], scale: dict[str, float]) -> DataFrame:
+    """(rule, feature, low, high, share of the map): the box of each rule's points in the units of the table."""
+    total = marked.agg(F.count("*").alias("_all"))
+    ends = [f(F.col(x) * scale[x] + shift[x]).alias(f"{n}_{x}") for x in features for n, f in (("low", F.min), ("high", F.max))]
+    boxes = marked.where("rule > 0").groupBy("rule").agg(F.count("*").alias("_n"), *ends).crossJoin(total)  # one row
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"low_{x}").alias("low"), F.col(f"high_{x}").alias("high")) for x in features])).alias("s")
+    return boxes.join(rules.select("rule"), "rule", "left_semi").select("rule", sides, (F.col("_n") / F.col("_all")).alias("area")).select("rule", "s.*", "area")
+
+
 def drift_rules(marked: DataFrame, features: list[str], depth: int = 4, min_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Rules of a small tree over `differ` (balanced classes), and marked rows with their rule (0: stable).
 
@@ -110,7 +133,7 @@ def drift_rules(marked: DataFrame, features: list[str], depth: int = 4, min_shar
     tree = DecisionTreeClassifier(featuresCol="_x", labelCol="differ", weightCol="_w", maxDepth=depth, minInstancesPerNode=max(1, int(min_share * total)), seed=0).fit(data)
     limits = marked.agg(*[F.struct(F.min(f), F.max(f)).alias(f) for f in features]).first()
     case, texts = F.lit(0), {}
-    for conditions, label in _leaves(tree.toDebugString):
+    for conditions, label in _leaves(tree):
         if label != 1.0:
             continue
         number, test = len(texts) + 1, F.lit(True)

@@ -292,12 +292,11 @@ def start_by_cusum(errors: DataFrame, drifts: DataFrame, lookback: int = 300, sl
 def start_by_threshold(errors: DataFrame, drifts: DataFrame, width: int = 10, factor: float = 1.5, run: int = 20, lookback: int = 300) -> DataFrame:
     """Adds `start`: where `run` consecutive rows before a detection first have a moving error rate over factor x baseline;
     the baseline is the stream's rate in the first 50 rows of the lookback."""
-    by = Window.partitionBy("stream_id").orderBy("seq")
-    rate = F.avg("err").over(by.rowsBetween(-(width - 1), 0))
-    full = F.count("err").over(by.rowsBetween(-(width - 1), 0)) == width
     key = ["stream_id", "drift", "warned_at", "detected_at"]
-    rates = errors.select("stream_id", "seq", "err", F.when(full, rate).alias("rate"))
-    near = _around(drifts, key, rates, F.col("detected_at") - lookback + 1, F.col("detected_at"))
+    by = Window.partitionBy(*key).orderBy("seq").rowsBetween(-(width - 1), 0)
+    wide = _around(drifts, key, errors, F.col("detected_at") - lookback - width + 2, F.col("detected_at"))
+    rates = wide.withColumn("rate", F.when(F.count("err").over(by) == width, F.avg("err").over(by)))
+    near = rates.where(F.col("seq") > F.col("detected_at") - lookback)
     w = Window.partitionBy(*key).orderBy("seq")
     base = F.avg(F.when(F.col("at") <= 50, F.col("err"))).over(Window.partitionBy(*key))
     rows = near.withColumn("at", F.row_number().over(w)).withColumn("base", base).withColumn("high", (F.coalesce(F.col("rate"), F.lit(0.0)) > factor * F.col("base")).cast("int"))
@@ -353,6 +352,30 @@ def describe(errors: DataFrame, localised: DataFrame, width: int = 50) -> DataFr
     return found.withColumn("duration", F.col("end") - F.col("start"))
 
 
+def clamped(localised: DataFrame, history: int = 1000) -> DataFrame:
+    """Starts no earlier than the errors that were kept before the detection, and none after the detection or the warning."""
+    kept = F.greatest(F.col("start"), F.col("detected_at") - history, F.lit(0))
+    return localised.withColumn("start", F.least(kept, F.col("detected_at")))
+
+
+def end_rates(errors: DataFrame, localised: DataFrame, width: int = 50) -> DataFrame:
+    """Adds `rate_end`, the error rate around the end (+- width / 2), when the whole stream is known."""
+    key = list(localised.columns)
+    near = _around(localised, key, errors, F.col("end") - width // 2, F.col("end") + width // 2)
+    return localised.join(near.groupBy("stream_id", "drift").agg(F.avg("err").alias("rate_end")), ["stream_id", "drift"], "left")
+
+
+def start_by_gradient(errors: DataFrame, drifts: DataFrame, width: int = 20, rise: float = 0.01, lookback: int = 300) -> DataFrame:
+    """Adds `start`: the first row of the lookback whose moving average of `width` rows rises by more than `rise` to the next."""
+    key = ["stream_id", "drift", "warned_at", "detected_at"]
+    near = _around(drifts, key, errors, F.col("detected_at") - lookback + 1, F.col("detected_at"))
+    by = Window.partitionBy(*key).orderBy("seq")
+    rate = lambda i: F.avg("err").over(by.rowsBetween(i, i + width - 1))
+    steps = near.withColumn("step", rate(1) - rate(0)).withColumn("held", F.count("err").over(by.rowsBetween(0, width)))
+    first = steps.where((F.col("held") == width + 1) & (F.col("step") > rise)).groupBy(*key).agg(F.min("seq").alias("start"))
+    return drifts.join(first, key, "left").withColumn("start", F.coalesce("start", "warned_at"))
+
+
 def error_summary(errors: DataFrame, drifts: DataFrame) -> DataFrame:
     """Rows, accuracy and number of drifts of each stream, with the least, mean and largest duration."""
     e = errors.groupBy("stream_id").agg(F.count("*").alias("n"), (1 - F.avg("err")).alias("accuracy"))

@@ -91,7 +91,7 @@ def runs(rows: DataFrame, order: str = "seq", label: str = "label") -> DataFrame
     """Stretches of equal labels: number, label, first and last position, length. Positions are gapless."""
     previous = F.lag(label).over(in_stretch([STREAM], order))
     changed = F.coalesce((F.col(label) != previous).cast("int"), F.lit(0))
-    marked = with_halo(rows.select(STREAM, order, label), order, 0, 1).withColumn("_changed", changed).where("_own")
+    marked = with_halo(rows.select(STREAM, order, label), order, 1, 0).withColumn("_changed", changed).where("_own")
     run = running(marked, [STREAM], [order], {"_changed": "changed"}).withColumnRenamed("run_changed", "run")
     return run.groupBy(STREAM, "run").agg(F.min(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, clusters, detectors, importance, prototypes, reduce
+from driftloom.operators import boundary, classifiers, clusters, detectors, importance, prototypes, reduce
 from driftloom.operators import recurrence as rc
+from driftloom.operators.ordered import numbered
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
 
@@ -82,8 +82,7 @@ def _user_errors(spark, sf_dir):
     """All events as one stream of errors for each user, in the order of (ts, event_id); events of no user are one stream."""
     user = F.coalesce(F.col("user_id").cast("string"), F.lit("none"))
     rows = read(spark, sf_dir, "events").select(user.alias("stream_id"), "ts", "event_id", F.coalesce(F.col("event_type") == "error", F.lit(False)).cast("int").alias("err"))
-    seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1
-    return rows.select("stream_id", seq.cast("long").alias("seq"), "err")
+    return numbered(rows, ["stream_id"], ["ts", "event_id"], "_at").select("stream_id", (F.col("_at") - 1).cast("long").alias("seq"), "err")
 
 
 @query()
@@ -136,30 +135,47 @@ def _two_class(spark, sf_dir):
 
 @query()
 def permutation_importance(spark, sf_dir):
-    found, _ = importance.drift_importance(_two_class(spark, sf_dir), FEATURES, repeats=5)
+    found, _ = importance.drift_importance(_two_class(spark, sf_dir), FEATURES)
     return rounded(found, 4)
 
 
 @query()
 def shap_importance(spark, sf_dir):
     rows = _two_class(spark, sf_dir)
-    return rounded(importance.shap_importance(importance.fit(rows, FEATURES), rows, FEATURES, 20, 50), 4)
+    return rounded(importance.shap_importance(importance.fit(rows, FEATURES), rows, FEATURES), 4)
 
 
 @query()
 def lime_importance(spark, sf_dir):
     rows = _two_class(spark, sf_dir)
-    return rounded(importance.lime_importance(importance.fit(rows, FEATURES), rows, FEATURES, 30, 100), 4)
+    return rounded(importance.lime_importance(importance.fit(rows, FEATURES), rows, FEATURES), 4)
+
+
+def _moved_boundary(spark, sf_dir):
+    """Rows whose class follows quantity in the block before and discount in the block after."""
+    return _items(spark, sf_dir).withColumn("label", F.when(F.col("block") == "before", F.col("quantity") > 0).otherwise(F.col("discount") > 0).cast("int"))
 
 
 @query()
 def boundary_rules(spark, sf_dir):
-    rows = _two_class(spark, sf_dir)
+    rows = _moved_boundary(spark, sf_dir)
     models = [boundary.classifier(rows.where(F.col("block") == b), FEATURES, depth=4) for b in ("before", "after")]
-    marked = boundary.disagreement_map(rows, FEATURES, *models, size=50)
+    marked = boundary.disagreement_map(rows, FEATURES, *models)
     return rounded(boundary.drift_rules(marked, FEATURES)[0], 4)
 
 
+@query(f"""WITH {SIGMA}, l AS (SELECT *, CASE WHEN block = 'before' THEN quantity > 0 ELSE discount > 0 END AS label FROM std)
+SELECT block, count(*) AS rows, round(avg(((CASE WHEN block = 'before' THEN quantity > 0 ELSE discount > 0 END) = label)::INT), 6) AS accuracy FROM l GROUP BY 1""")
+def stump_accuracy(spark, sf_dir):
+    """A stump finds a boundary between two values of one feature exactly."""
+    rows, out = _moved_boundary(spark, sf_dir), None
+    for b in ("before", "after"):
+        mine = rows.where(F.col("block") == b)
+        part = classifiers.accuracy(classifiers.fit(mine, FEATURES, preset="stump"), mine).select(F.lit(b).alias("block"), "rows", "accuracy")
+        out = part if out is None else out.unionAll(part)
+    return rounded(out)
+
+
 @query()
 def adjusted_mutual_information(spark, sf_dir):
     assigned = rc.nearest_prototype(vectors(spark, sf_dir), prototypes_of(spark, sf_dir))
@@ -173,12 +189,13 @@ def principal_plane(spark, sf_dir):
     return rounded(reduce.lda(rows, names, 2).transform(reduce.pca(rows, names).transform(rows, "pc"), "ld").select("row_id", "label", "pc1", "pc2", "ld1", "ld2"), 4)
 
 
-LINEAR = "(0.8 * quantity - 0.3 * discount > 0.1) <> (0.5 * quantity + 0.4 * discount > 0.0)"
-
-
-@query(f"WITH {SIGMA} SELECT round(avg(({LINEAR})::INT), 6) AS rate FROM std WHERE block = 'after'")
+@query(f"WITH {SIGMA} SELECT round(avg(((quantity > 0) <> (discount > 0))::INT), 6) AS rate FROM std WHERE block = 'after'")
 def disagreement_rate(spark, sf_dir):
-    return rounded(_items(spark, sf_dir).where("block = 'after'").agg(F.avg(F.expr(f"cast({LINEAR} as int)")).alias("rate")))
+    """Stumps of both blocks find quantity > 0 and discount > 0, which the twin compares."""
+    rows = _items(spark, sf_dir)
+    labelled = lambda f: rows.withColumn("label", (F.col(f) > 0).cast("int"))
+    models = [classifiers.fit(labelled(f), FEATURES, preset="stump") for f in ("quantity", "discount")]
+    return rounded(boundary.disagreement_rate(rows.where("block = 'after'"), FEATURES, *models))
 
 
 @query()
