@@ -34,4 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if signature == seen:
             break
         seen = signature
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    found = materialize(stars, "components")
+    release(now)
+    return found

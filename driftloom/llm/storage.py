@@ -11,13 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/driftloom-checkpoints"
     return base.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -32,11 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
+    """Delete materialized tables that no later plan reads, and let Spark drop the shuffle files of plans that are done."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._driftloom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()  # executors keep shuffle files until the driver collects the plans
 
 
 @contextmanager

@@ -45,8 +45,11 @@ def test_against_brute_force(spark, docs, texts, k, percent):
     assert Counter(map(tuple, out.collect())) == brute(texts, k, percent)
 
 
-@pytest.mark.parametrize("common", [50, 2])
-def test_shared_passages_and_chains(spark, common):
+@pytest.mark.parametrize(("common", "sent"), [(50, True), (2, True), (2, False)])
+def test_shared_passages_and_chains(spark, monkeypatch, common, sent):
+    if not sent:
+        monkeypatch.setattr(nj, "MAX_BROADCAST_COMMON", 0)
+        monkeypatch.setattr(nj, "MAX_BROADCAST_NODES", 0)
     rng = random.Random(9)
     word = lambda: f"w{rng.randint(0, 3000)}"
     passage = [word() for _ in range(40)]
@@ -62,6 +65,38 @@ def test_shared_passages_and_chains(spark, common):
     assert Counter(map(tuple, out.collect())) == brute(rows, 4, 85)
 
 
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        words = base[:]
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(150)] = f"e{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(words)))
+    out = nj.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85)
+    assert Counter(map(tuple, out.collect())) == by_index(rows, 4, 85)
+
+
+def by_index(rows, k, percent):
+    """As brute, with intersections counted by shingle, for many alike texts."""
+    import numpy as np
+
+    sets = [shingles(t, k) for _, t in rows]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    root = np.arange(len(sets))
+    linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+    while True:
+        least = np.where(linked, root[None], len(sets)).min(1)
+        if (least == root).all():
+            return Counter((d, len(s), rows[r][0]) for (d, _), s, r in zip(rows, sets, root, strict=True))
+        root = least
+
+
 def test_bitmaps_bound_the_difference():
     import numpy as np
 
