@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .storage import materialize
+from .ngram_join import window_hashes, word_hashes
+from .storage import free_name, materialize
 
 #: Words that are not 0-9, A-Z, a-z or beyond ASCII separate; A-Z become a-z. On UTF-8 bytes this is one table.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Most words of benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of about this size.
-MAX_BROADCAST_WORDS = 4_000_000
+#: Most bytes of benchmark text that one broadcast index is made of; the index holds about five times as many.
+MAX_BROADCAST_BYTES = 32_000_000
 
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -26,89 +27,121 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
-def build_index(items: list[tuple], window: int) -> tuple[dict, dict]:
-    """Ids of all benchmark words, and for each window length the items that hold each window of word ids."""
-    vocab: dict[bytes, int] = {}
-    windows: dict[int, dict[bytes, set[str]]] = {}
-    for item_id, text in items:
-        if item_id is None:
-            continue
-        ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(text)], np.int32)
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1 if size else 0):
-            windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(str(item_id))
-    return vocab, windows
-
-
-def scan(text: str | None, vocab: dict, windows: dict) -> tuple[int, np.ndarray, set[str]]:
-    """Number of words, which of them lie in a window of the index, and the items whose windows occur.
-
-    Only stretches that consist of benchmark words are looked up; equal ids are equal words, so each hit is exact.
-    """
-    words = words_of(text)
-    ids = np.fromiter(map(vocab.get, words, repeat(-1)), np.int32, len(words))
-    hit, found = np.zeros(len(ids), bool), set()
-    known = np.concatenate([[0], np.cumsum(ids >= 0)])
-    for size, table in windows.items():
-        if len(ids) < size:
-            continue
-        for i in np.flatnonzero(known[size:] - known[:-size] == size):
-            items = table.get(ids[i : i + size].tobytes())
-            if items:
-                hit[i : i + size] = True
-                found |= items
-    return len(ids), hit, found
-
-
-def _scanner(index, first: bool):
-    """A column function (text, spans so far, items so far) -> FOUND for one broadcast block of the benchmark."""
+@dataclass
+class Index:
+    """Hashed windows of benchmark items, by window length: sorted hashes, the item and the place of each, and a mask of
+    the hashes' low bits that most other windows miss. `items` holds ids and normalised texts."""
+
+    items: list[tuple[str, bytes]]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, rows: list[tuple], window: int) -> Index:
+        items, parts = [], {}
+        for item_id, text in rows:
+            words = words_of(text)
+            if item_id is None or not words:
+                continue
+            size = min(window, len(words))
+            hashes = window_hashes(word_hashes(text, WORD_BYTES), size)
+            parts.setdefault(size, []).append((hashes, np.full(len(hashes), len(items), np.int32), np.arange(len(hashes), dtype=np.int32)))
+            items.append((str(item_id), b" ".join(words)))
+        windows = {}
+        for size, found in parts.items():
+            hashes, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            mask = np.zeros(1 << max(10, (16 * len(hashes)).bit_length()), bool)
+            mask[hashes & np.uint64(len(mask) - 1)] = True
+            windows[size] = hashes[order], of[order], at[order], mask
+        return cls(items, windows)
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
+        """Number of words, which of them lie in a window of the index, and the items whose windows occur.
+
+        Windows whose hash is in the index are verified word by word.
+        """
+        hashes = word_hashes(text, WORD_BYTES) if text else np.zeros(0, np.uint64)
+        hit, found, words = np.zeros(len(hashes), bool), set(), None
+        for size, (known, of, at, mask) in self.windows.items():
+            if len(hashes) < size:
+                continue
+            mine = window_hashes(hashes, size)
+            maybe = np.flatnonzero(mask[mine & np.uint64(len(mask) - 1)])
+            first, last = np.searchsorted(known, mine[maybe]), np.searchsorted(known, mine[maybe], "right")
+            for i, a, b in zip(maybe[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                words = words_of(text) if words is None else words
+                for k in range(a, b):
+                    name, item = self.items[of[k]]
+                    if (name not in found or not hit[i : i + size].all()) and words[i : i + size] == item.split()[at[k] : at[k] + size]:
+                        hit[i : i + size] = True
+                        found.add(name)
+        return len(hashes), hit, found
+
+
+def _spans(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))) if hit.any() else []
+    return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _scanner(index):
+    """A column function text -> FOUND for one broadcast index."""
 
     @pandas_udf(FOUND)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        vocab, windows = index.value
-        for texts, spans, items in batches:
-            out = []
-            for text, old_spans, old_items in zip(texts, spans, items, strict=True):
-                n, hit, found = scan(text, vocab, windows)
-                if not first:
-                    for s in old_spans:
-                        hit[s["start"] : s["end"]] = True
-                    found |= set(old_items)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))) if hit.any() else []
-                out.append((n, int(hit.sum()), sorted(found), [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            scanned = [index.value.scan(text) for text in texts]
+            out = [(n, int(hit.sum()), sorted(found), _spans(hit)) for n, hit, found in scanned]
             yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, column: str, window: int = 10, text_col: str = "text", max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def _joined(sizes: pd.Series, parts: pd.Series, items: pd.Series) -> pd.DataFrame:
+    """What several blocks of a benchmark found in one document."""
+    out = []
+    for n, spans, names in zip(sizes, parts, items, strict=True):
+        hit = np.zeros(n, bool)
+        for s in spans:
+            hit[s["start"] : s["end"]] = True
+        out.append((n, int(hit.sum()), sorted(set(names)), _spans(hit)))
+    return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, column: str, window: int = 10, text_col: str = "text", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs with a struct `column`: n_words, n_hit, items (ids as sorted strings) and spans of hit words (end exclusive).
 
     A window is `window` consecutive words of a benchmark item; a shorter item with words is one window. A document word
-    within any occurrence of a window is hit. The index is broadcast if the benchmark has max_words words or fewer; a
-    larger one is cut into blocks of about that size, the documents are scanned once for each block and what was found
-    so far goes along, written to the shared folder.
-    Null texts have no words; items without id or words match nothing; repeated rows are scanned each; an empty
-    benchmark hits nothing. All columns of docs stay.
+    within any occurrence of a window is hit. The index is broadcast if the benchmark's texts have max_bytes or fewer; a
+    larger one is cut into blocks of about that size. Documents are then written once with a row number, scanned for each
+    block, and only what was found is joined back.
+    Null texts have no words; items without id or words match nothing; repeated rows are scanned each, whatever their
+    length; an empty benchmark hits nothing. All columns of docs stay.
     """
     sc = docs.sparkSession.sparkContext
     bench = benchmark.select(F.col("item_id"), F.col("text"))
-    total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
-    blocks = max(1, -(-total // max_words))
-    empty = F.expr("named_struct('spans', cast(array() as array<struct<start:long,end:long>>), 'items', cast(array() as array<string>))")
-    out = docs.withColumn(column, empty)
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // max_bytes))
+
+    def scanner(block: DataFrame):
+        return _scanner(sc.broadcast(Index.of([(r.item_id, r.text) for r in block.collect()], window)))(F.col(text_col))
+
+    if blocks == 1:
+        return docs.withColumn(column, scanner(bench))
+    number = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = None
     for k in range(blocks):
-        block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = sc.broadcast(build_index([(r.item_id, r.text) for r in block.collect()], window))
-        found: Column = _scanner(index, k == 0)(F.col(text_col), F.col(column)["spans"], F.col(column)["items"])
-        out = out.withColumn(column, found)
-        if k + 1 < blocks:
-            out = materialize(out, "contamination")
-    return out
+        part = rows.select(number, scanner(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).alias("f"))
+        part = materialize(part.select(number, "f.*").where(F.lit(k == 0) | (F.col("n_hit") > 0)), "contamination")
+        found = part if found is None else found.unionByName(part)
+    each = found.groupBy(number).agg(F.max("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))  # a row for each block at most
+    each = each.select(number, pandas_udf(_joined, FOUND)("n", "s", "i").alias(column))
+    return rows.join(each, number).select(*docs.columns, column)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_hit_share: float = 0.0) -> DataFrame:
-    """docs without those of which more than min_hit_share of the words (and at least one) are hit."""
-    found = with_contamination(docs, benchmark, "_contamination", window)
-    clean = F.col("_contamination.n_hit") <= F.col("_contamination.n_words") * min_hit_share
+    """docs without those of which more than min_hit_share of the words (and at least one) are hit. All columns stay."""
+    name = free_name(docs, "_contamination")
+    found = with_contamination(docs, benchmark, name, window)
+    clean = F.col(name)["n_hit"] <= F.col(name)["n_words"] * min_hit_share
     return found.where(clean).select(*docs.columns)

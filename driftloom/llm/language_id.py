@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .storage import batch_rows, free_name
+
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 12, 8
 #: Most labelled documents of one language, and windows of one document, that training takes.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 1200, 3
 #: Passes over the sample, and batches that training takes at least, however small the sample is.
 EPOCHS, LEAST_STEPS = 8, 600
 UNKNOWN = "und"
+#: Texts that Python workers get at a time in training.
+TEXT_ROWS = 1000
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -154,12 +158,14 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, seed: int = 7)
     """Fit a network to documents with a language that are not held out.
 
     Of a language with more than per_language documents about that many are taken, picked by a hash of the id; of each
-    up to WINDOWS_PER_DOC windows spread over the whole text reach the driver.
+    up to WINDOWS_PER_DOC windows spread over the whole text reach the driver. Ties in the order of windows are equal
+    windows. Repeated rows count each; an empty table gives a network without languages.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count()
     wanted = known.join(F.broadcast(counts.where("count > 0")), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * per_language) / F.col("count"))
-    rows = wanted.select("text", "lang").mapInPandas(_some_windows, "window binary, lang string").toPandas()
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        rows = wanted.select("text", "lang").mapInPandas(_some_windows, "window binary, lang string").toPandas()
     languages = sorted(rows["lang"].unique())
     net = ByteNet.fresh(languages, seed)
     if len(languages) > 1:
@@ -173,7 +179,8 @@ def with_language(docs: DataFrame, net: ByteNet, column: str, text_col: str = "t
     """docs with a struct `column`: lang_pred and score (its probability).
 
     Every text is read whole, in windows of WINDOW bytes. A text that is null or has no letter gets `und` and score 0;
-    so do all texts if nothing could be learnt. Ties go to the first language by name. All rows and columns stay.
+    so do all texts if nothing could be learnt. Ties go to the first language by name. All rows and columns stay,
+    repeated rows are read each, and an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -187,5 +194,6 @@ def with_language(docs: DataFrame, net: ByteNet, column: str, text_col: str = "t
 
 def keep_spoken(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
     """docs without those that have no letter or whose best language is less likely than min_score."""
-    found = with_language(docs, train(docs), "_language")
-    return found.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= min_score)).select(*docs.columns)
+    name = free_name(docs, "_language")
+    found, at = with_language(docs, train(docs), name), F.col(name)
+    return found.where((at["lang_pred"] != UNKNOWN) & (at["score"] >= min_score)).select(*docs.columns)

@@ -35,8 +35,8 @@ def make_items(texts):
 def test_against_brute_force(spark, docs, texts):
     items = make_items(texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for max_words in (10**6, 20):
-        rows = dc.with_contamination(docs, bench, "found", 10, max_words=max_words).select("doc_id", "text", "found.*").collect()
+    for max_bytes in (10**6, 120):
+        rows = dc.with_contamination(docs, bench, "found", 10, max_bytes=max_bytes).select("doc_id", "text", "found.*").collect()
         assert len(rows) == len(texts)
         for r in rows:
             assert (r.n_words, r.n_hit, list(r["items"])) == brute(r.text, items), r.doc_id
@@ -55,3 +55,23 @@ def test_empty_tables(spark, docs, no_docs, texts):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(docs, nothing).count() == len(texts)
     assert dc.decontaminate(no_docs, nothing).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    from driftloom.llm import language_id, ngram_join, secrets
+
+    docs = spark.createDataFrame([(1, "some plain words here", "en", 21, "a", "b", "c", 7)], "doc_id long, text string, lang string, n_chars long, _CONTAMINATION string, _language string, _clean string, _ROW int")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert dc.decontaminate(docs, bench).collect() == docs.collect()
+    assert secrets.redact_secrets(docs).collect() == docs.collect()
+    assert ngram_join.one_of_each(docs).collect() == docs.collect()
+    assert language_id.keep_spoken(docs, 0.0).columns == docs.columns
+
+
+def test_colliding_hashes_are_verified(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dc, "window_hashes", lambda words, size: np.zeros(len(words) - size + 1, np.uint64))
+    index = dc.Index.of([(1, "one two"), (2, "two three")], 10)
+    n, hit, found = index.scan("one two three two one")
+    assert (n, hit.tolist(), found) == (5, [True, True, True, False, False], {"1", "2"})
