@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .storage import free_name
+
 #: The base patterns, with the least length of what they must hold.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -25,7 +28,8 @@ KINDS = ("assign", "access", "hex", "signed_token", "private_key", "encoded_key"
 
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+)?")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK|)-----([\sA-Za-z0-9+/=:,.-]*?)-----END \1PRIVATE KEY\2-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40})PRIVATE KEY( BLOCK|)-----")
+_ARMOURED = re.compile(r"[\sA-Za-z0-9+/=:,.-]*")
 _HEX_KEY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 _IS_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _IS_B64 = bytes(104 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
@@ -116,16 +120,28 @@ def signed_tokens(text: str) -> Iterator[re.Match]:
         at = m.end() if holds else m.end(1)
 
 
+def armoured_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Armoured private keys: an end mark with the nearest begin mark of its kind before it, and a body that is a key."""
+    begun: dict[tuple[str, str], re.Match] = {}
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun = {m.groups()[1:]: m}
+        elif start := begun.pop(m.groups()[1:], None):
+            body = text[start.end() : m.start()]
+            lines = [x for x in body.split("\n") if ":" not in x]
+            sealed = "ENCRYPTED" in body or "ENCRYPTED" in m[2] or m[3]  # such a body has no structure to see
+            if _ARMOURED.fullmatch(body) and (sealed or is_key(decode_base64(re.sub(r"\s+", "", "".join(lines))))):
+                yield start.start(), m.end()
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of signed tokens, armoured keys and bare encoded keys whose structure holds."""
     found = [("signed_token", m.start(), m.end()) for m in signed_tokens(text)]
-    for m in _ARMOUR.finditer(text):
-        lines = [x for x in m[3].split("\n") if ":" not in x]
-        sealed = "ENCRYPTED" in m[0] or m[2]  # such a body has no structure to see
-        if sealed or is_key(decode_base64(re.sub(r"\s+", "", "".join(lines)))):
-            found.append(("private_key", m.start(), m.end()))
+    found += [("private_key", a, b) for a, b in armoured_keys(text)]
+    covered = sorted((a, b) for _, a, b in found)
     for m in _ENCODED.finditer(text):
-        if any(a <= m.start() < b for _, a, b in found):
+        at = bisect_right(covered, (m.start(), len(text)))
+        if at and m.start() < covered[at - 1][1]:
             continue
         as_hex = _HEX_KEY.fullmatch(m[0])
         if as_hex and is_key(bytes.fromhex(m[0])) or m[0][:2] in ("MI", "MH", "MC", "b3", "MG", "MD", "ME", "MF") and is_key(decode_base64(m[0])):
@@ -193,14 +209,20 @@ def scan_secrets(docs: DataFrame, column: str, text_col: str = "text") -> DataFr
     Base kinds are patterns (assign, access, hex), leftmost and non-overlapping for each kind, the too short dropped. Further kinds are
     reported only after decoding: signed tokens whose header names an algorithm, armoured private keys, and bare base64
     or hex whose bytes parse as a key with fitting nested lengths. Spans of different kinds may overlap.
-    Null and empty texts have no spans; every row is scanned alone; all columns of docs stay.
+    Null and empty texts have no spans; every row is scanned alone, repeated ones too; texts of any length are read
+    whole; an empty table gives none. All columns of docs stay.
     """
     return docs.withColumn(column, pandas_udf(_found, FOUND)(F.col(text_col)))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with secrets masked in `text` and `n_chars` set to the new length of changed texts. All rows stay."""
-    clean = docs.withColumn("_clean", pandas_udf(_redacted, "string")(F.col("text")))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
-    put = {"text": F.col("_clean"), "n_chars": F.when(changed, F.length("_clean")).otherwise(F.col("n_chars"))}
+    """docs with secrets masked in `text` and `n_chars` set to the new length of changed texts. All rows and columns stay.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty table stays empty. Texts of any
+    length are read whole.
+    """
+    name = free_name(docs, "_clean")
+    clean = docs.withColumn(name, pandas_udf(_redacted, "string")(F.col("text")))
+    changed = ~F.col(name).eqNullSafe(F.col("text"))
+    put = {"text": F.col(name), "n_chars": F.when(changed, F.length(name)).otherwise(F.col("n_chars"))}
     return clean.select(*[put[c].alias(c) if c in put else F.col(c) for c in docs.columns])
