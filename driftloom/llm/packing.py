@@ -20,9 +20,9 @@ from pyspark.sql.functions import arrow_udf
 from .storage import batch_rows, materialize
 
 #: Pieces that one packing task takes, words a worker remembers before it starts forgetting, texts it gets at a time.
-PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 300_000, 2000
-#: Most characters of words that are merged together; no merge.
-LONG_WORD, NONE = 32, 2**31 - 1
+PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 300_000, 1000
+#: Most characters of words that are merged together, and how many are; no merge.
+LONG_WORD, MERGED_WORDS, NONE = 32, 20_000, 2**31 - 1
 
 #: How this family of vocabularies splits text, and the printable characters that stand for bytes.
 SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
@@ -64,7 +64,7 @@ class Merges:
         rank = np.full(at.shape, NONE, np.int32)  # of the pair of a place and the next live one
         rank[:, :-1] = np.where(live[:, 1:], self.first[np.minimum(at[:, :-1], 255), at[:, 1:]], NONE)
         symbol = self.symbols[at]
-        after = np.tile(place + 1, (len(words), 1))
+        after = np.tile((place + 1).astype(np.int32), (len(words), 1))
         before = after - 2
         flat_symbol, flat_rank, flat_after, flat_before, flat_live = (x.ravel() for x in (symbol, rank, after, before, live))
         todo = np.arange(len(words))
@@ -112,7 +112,9 @@ class Words:
         """Ids of parts that the vocabulary's pattern does not split, and their counts; long ones are merged one by one."""
         long = {i: w for i, w in enumerate(parts) if len(w) > LONG_WORD}
         short = [w for w in parts if len(w) <= LONG_WORD] if long else parts
-        ids, counts = self.merges.encode(short) if short else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        done = [self.merges.encode(short[i : i + MERGED_WORDS]) for i in range(0, len(short), MERGED_WORDS)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[x for x, _ in done]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[n for _, n in done]])
         if not long:
             return ids, counts
         found = iter(np.split(ids, np.cumsum(counts)[:-1]) if short else [])
@@ -276,7 +278,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     A document is its ids and end_id; only a longer one is cut, into full pieces and a rest. Full pieces fill a sequence alone. The
     others are dealt evenly to parts of about part_items, each packed by best-fit decreasing. A dual-feasible lower
     bound certifies parts that cannot do better; the partly filled sequences of the others are dealt anew among each
-    other and packed again, and the result is kept if it saves sequences.
+    other and packed again, at most `rounds` times, and the result is kept if it saves sequences. Very long texts are
+    read whole.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count as empty (only end_id).
     Repeated rows and null ids each make pieces of their own. An empty table gives no rows. Other columns are not read.
     """
