@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm import decontamination, language_id, ngram_join, packing, secrets
 from driftloom.llm.queries import tokenizer_path
-from driftloom.llm.storage import materialize
+from driftloom.llm.storage import batch_rows, materialize
+
+#: Texts that Python workers get at a time.
+TEXT_ROWS = 1000
 
 #: No SQL expresses a trained network or a vocabulary's merges; the tests hold the stages against brute force instead.
 ORACLE_SQL = None
@@ -54,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with batch_rows(spark, TEXT_ROWS):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
