@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of one class and block that fitting centres takes; all rows are then assigned to the centres.
 FIT_ROWS = 20_000
@@ -132,11 +131,11 @@ def match_centers(before: np.ndarray, after: np.ndarray, limit: float) -> list[t
 def fit_centers(rows: DataFrame, features: list[str], k_max: int = 10, seed: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(label, block, k, center): centres of each class and block.
 
-    A class and block with more than fit_rows rows is fitted on about that many, picked at random with a seed; so a task
-    holds a bounded number of rows whatever the class's size.
+    A class and block with more than fit_rows rows is fitted on about that many, picked by a seeded hash of their values, so
+    that another partitioning picks the same; a task holds a bounded number of rows whatever the class's size.
     """
     sizes = rows.groupBy("label", "block").agg(F.count("*").alias("_n"))
-    some = rows.join(F.broadcast(sizes), ["label", "block"]).where(F.rand(seed) * F.col("_n") < fit_rows)
+    some = rows.join(F.broadcast(sizes), ["label", "block"]).where(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1_000_003)) * F.col("_n") < F.lit(1_000_003.0 * fit_rows))
     label_type = rows.schema["label"].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,75 +242,118 @@ def report_clusters(centers: DataFrame) -> DataFrame:
     return centers.groupBy("label").pivot("block", ["before", "after"]).agg(ids)
 
 
+def spanning_tree(matrix: DataFrame, core: int) -> list[tuple[float, int, int]]:
+    """Edges (reach, i, j) of a least spanning tree of a matrix (i, j, value) by the mutual reach of its rows.
+
+    The reach of a pair is the largest of its distance and both rows' distances to their core-th nearest row, themselves
+    included. In each round every part takes its shortest edge to another part; the driver sees one edge a part.
+    """
+    nearest = F.row_number().over(Window.partitionBy("i").orderBy("value"))  # one row of the matrix
+    sizes = matrix.groupBy("i").agg(F.count("*").alias("_n"))
+    cores = matrix.withColumn("_k", nearest).join(sizes, "i").where(F.col("_k") == F.least(F.lit(core), F.col("_n"))).select("i", F.col("value").alias("c"))
+    side = lambda k, c: cores.select(F.col("i").alias(k), F.col("c").alias(c))
+    pairs = matrix.where("i < j").join(side("i", "ci"), "i").join(side("j", "cj"), "j").select("i", "j", F.greatest("value", "ci", "cj").alias("d")).persist()
+    part = {r.i: r.i for r in sizes.select("i").collect()}
+
+    def find(i: int) -> int:
+        while part[i] != i:
+            part[i] = i = part[part[i]]
+        return i
+
+    edges: list[tuple[float, int, int]] = []
+    while len({find(i) for i in part}) > 1:
+        now = matrix.sparkSession.createDataFrame([(int(i), int(find(i))) for i in part], "i int, p int")
+        at = lambda k, p: F.broadcast(now.select(F.col("i").alias(k), F.col("p").alias(p)))  # noqa: E731  a row for each window
+        apart = pairs.join(at("i", "pi"), "i").join(at("j", "pj"), "j").where("pi <> pj").select(F.explode(F.array("pi", "pj")).alias("p"), F.struct("d", "i", "j").alias("e"))
+        found = [r.e for r in apart.groupBy("p").agg(F.min("e").alias("e")).collect()]
+        if not found:
+            break
+        for e in sorted(found):
+            a, b = find(e.i), find(e.j)
+            if a != b:
+                part[max(a, b)] = min(a, b)
+                edges.append((e.d, e.i, e.j))
+    pairs.unpersist()
+    return sorted(edges)
+
+
+def density_labels(points: list[int], edges: list[tuple[float, int, int]], min_cluster_size: int = 3) -> dict[int, int]:
+    """Labels (-1 for outliers) of a density hierarchy over a spanning tree in rising order, clusters by excess of mass."""
+    labels = dict.fromkeys(points, -1)
+    n = len(points)
+    if n < min_cluster_size or len(edges) < n - 1:
+        return labels
+    top, number = {p: k for k, p in enumerate(points)}, list(range(n))
+    tree, size, least = [], [1] * n, list(points)
+    for d, i, j in edges:
+        sides = []
+        for p in (top[i], top[j]):
+            while number[p] != p:
+                number[p] = p = number[number[p]]
+            sides.append(p)
+        tree.append((*sides, d))
+        number.append(n + len(tree) - 1)
+        number[sides[0]] = number[sides[1]] = n + len(tree) - 1
+        size.append(size[sides[0]] + size[sides[1]])
+        least.append(min(least[sides[0]], least[sides[1]]))
+
+    born, stability, below, start = [0.0], [0.0], [[]], [n + len(tree) - 1]
+    todo = [(start[0], 0)]
+    while todo:  # from the top: a branch that splits in two large ones ends its cluster
+        node, cluster = todo.pop()
+        while node >= n:
+            a, b, d = tree[node - n]
+            density = 1 / max(d, 1e-12)
+            large = [c for c in (a, b) if size[c] >= min_cluster_size]
+            if len(large) != 1:
+                stability[cluster] += (density - born[cluster]) * size[node]
+                for c in large:
+                    below[cluster].append(len(born))
+                    todo.append((c, len(born)))
+                    born.append(density)
+                    stability.append(0.0)
+                    below.append([])
+                    start.append(c)
+                break
+            stability[cluster] += (density - born[cluster]) * (size[node] - size[large[0]])
+            node = large[0]
+
+    value, keeps = list(stability), [[c] for c in range(len(born))]
+    for c in reversed(range(len(born))):  # a cluster's parts have larger numbers
+        parts = sum(value[k] for k in below[c])
+        if below[c] and (c == 0 or parts > stability[c]):
+            value[c], keeps[c] = parts, [x for k in below[c] for x in keeps[k]]
+    for label, c in enumerate(sorted((c for c in keeps[0] if c), key=lambda c: least[start[c]])):
+        inner = [start[c]]
+        while inner:
+            node = inner.pop()
+            if node >= n:
+                inner += tree[node - n][:2]
+            else:
+                labels[points[node]] = label
+    return labels
+
+
 def hdbscan(distance_matrix: np.ndarray, min_cluster_size: int = 3) -> np.ndarray:
-    """Labels (-1 for outliers) of a density hierarchy over a precomputed matrix of windows, clusters by excess of mass."""
+    """Labels (-1 for outliers) of the rows of a matrix in memory."""
     n = len(distance_matrix)
-    core = np.sort(distance_matrix, 1)[:, min(min_cluster_size - 1, n - 1)]
+    core = np.sort(distance_matrix, 1)[:, min(min_cluster_size, n) - 1]
     reach = np.maximum(np.maximum(core[:, None], core[None]), distance_matrix)
-    inside, best, edges = np.zeros(n, bool), np.full(n, np.inf), []
-    near = np.zeros(n, int)
-    inside[0] = True
-    best, near = reach[0].copy(), np.zeros(n, int)
+    inside, best, near, edges = np.arange(n) == 0, reach[0].copy(), np.zeros(n, int), []
     for _ in range(n - 1):
         j = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[j], near[j], j))
+        edges.append((float(best[j]), int(near[j]), j))
         inside[j] = True
         closer = reach[j] < best
         best[closer], near[closer] = reach[j][closer], j
-    members, parent_of, tree = {i: [i] for i in range(n)}, list(range(n)), []
-    for d, a, b in sorted(edges, key=lambda e: e[0]):
-        a, b = parent_of[a], parent_of[b]
-        node = n + len(tree)
-        tree.append((a, b, d))
-        members[node] = members[a] + members[b]
-        for i in members[node]:
-            parent_of[i] = node
-    labels, stability, children, born, points = {}, {}, {}, {}, {}
-    root = n + len(tree) - 1
-    if n < min_cluster_size or root < n:
-        return np.full(n, -1)
-
-    def grow(node: int, cluster: int) -> None:
-        while node >= n:
-            a, b, d = tree[node - n]
-            lam = 1 / max(d, 1e-12)
-            big = [c for c in (a, b) if len(members[c]) >= min_cluster_size]
-            if len(big) == 2:
-                stability[cluster] += (lam - born[cluster]) * len(members[node])
-                for c in big:
-                    child = len(stability)
-                    children[cluster].append(child)
-                    stability[child], children[child], born[child], points[child] = 0.0, [], lam, members[c]
-                    grow(c, child)
-                return
-            if not big:
-                stability[cluster] += (lam - born[cluster]) * len(members[node])
-                return
-            lost = len(members[node]) - len(members[big[0]])
-            stability[cluster] += (lam - born[cluster]) * lost
-            node = big[0]
-
-    stability[0], children[0], born[0], points[0] = 0.0, [], 0.0, members[root]
-    grow(root, 0)
-
-    def chosen(c: int) -> tuple[float, list[int]]:
-        below = [chosen(k) for k in children[c]]
-        total = sum(s for s, _ in below)
-        if below and (c == 0 or total > stability[c]):
-            return total, [k for _, ks in below for k in ks]
-        return stability[c], [c] if c else []
-
-    for label, c in enumerate(sorted(chosen(0)[1], key=lambda c: min(points[c]))):
-        labels.update(dict.fromkeys(points[c], label))
-    return np.array([labels.get(i, -1) for i in range(n)])
+    return np.array(list(density_labels(list(range(n)), sorted(edges), min_cluster_size).values()))
 
 
 def cluster_windows(matrix: DataFrame, min_cluster_size: int = 3) -> DataFrame:
-    """(win, label) of a matrix (i, j, value) of distances between windows. One row of the matrix stands for a window of a
-    thousand rows or more; its clustering is a small problem of one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        square = pdf.pivot(index="i", columns="j", values="value").sort_index().sort_index(axis=1)
-        return pd.DataFrame({"win": square.index.astype("int32"), "label": hdbscan(square.to_numpy(float), min_cluster_size).astype("int32")})
+    """(win, label) of a matrix (i, j, value) of distances between windows, -1 for outliers.
 
-    return matrix.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: run(pdf), T.StructType([T.StructField("win", T.IntegerType()), T.StructField("label", T.IntegerType())]))
+    Distances stay distributed; the driver holds a spanning tree, one edge for each window of a thousand rows or more.
+    """
+    points = sorted(r.i for r in matrix.select("i").distinct().collect())
+    labels = density_labels(points, spanning_tree(matrix, min_cluster_size), min_cluster_size)
+    return matrix.sparkSession.createDataFrame([(int(w), int(k)) for w, k in labels.items()], "win int, label int")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clusters import kmeans
-
-#: Rows of a class that a selector may choose from; a larger class is cut down to about that many by a hash of the row id.
+#: Distinct leaf combinations of a class that a selector may choose from; of more, about that many by a hash of the row id.
 CANDIDATES = 1500
 
 
@@ -33,121 +34,156 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("double")), F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
-def candidates(leafed: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    sizes = leafed.groupBy("label").agg(F.count("*").alias("_n"))
-    pick = F.pmod(F.xxhash64("row_id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * limit) / F.col("_n")
-    return leafed.join(F.broadcast(sizes), "label").where(pick).drop("_n")
-
-
-def _similarities(leaves: np.ndarray) -> np.ndarray:
-    return (leaves[:, None, :] == leaves[None]).mean(2)
+def _likeness(candidates: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Share of trees in which each candidate and each row have the same leaf."""
+    return sum((candidates[:, None, t] == rows[None, :, t]).astype(np.float32) for t in range(rows.shape[1])) / rows.shape[1]
 
 
-def greedy_medoids(sim: np.ndarray, k: int) -> list[int]:
-    """k rows, each the one that raises the sum of every row's best likeness most; ties go to the first."""
-    chosen, best = [], np.zeros(len(sim))
-    for _ in range(min(k, len(sim))):
-        gain = np.maximum(sim, best).sum(1) - best.sum()
-        gain[chosen] = -1
-        i = int(gain.argmax())
-        chosen.append(i)
-        best = np.maximum(best, sim[i])
-    return chosen
+class _Greedy:
+    """Gains of candidates over all rows, as one distributed pass for each choice.
 
-
-def greedy_over_classes(sims: dict, n: int | None, weighted: bool, alpha: float | None = None) -> dict[object, list[int]]:
-    """Rows of all classes, each time from the class that gains most (by the share of its size if weighted).
-
-    It stops at n rows; with alpha, where a gain falls within alpha of the one before; and where nothing gains.
+    Rows are collapsed to distinct (label, leaves) with their number. The driver holds the candidates and what is chosen;
+    each task sums the gains of its rows for every candidate.
     """
-    chosen = {c: [] for c in sims}
-    best = {c: np.zeros(len(s)) for c, s in sims.items()}
-    last = None
-    while n is None or sum(map(len, chosen.values())) < n:
-        top = None
-        for c, s in sims.items():
-            gain = np.maximum(s, best[c]).sum(1) - best[c].sum()
-            gain[chosen[c]] = -1
-            i = int(gain.argmax())
-            value = gain[i] / len(s) if weighted else gain[i]
-            if top is None or value > top[0]:
-                top = value, c, i
-        if top is None or top[0] <= 1e-12:
-            break
-        if alpha is not None and last is not None and abs(last - top[0]) / top[0] <= alpha and all(chosen.values()):
-            break
-        last, c = top[0], top[1]
-        chosen[c].append(top[2])
-        best[c] = np.maximum(best[c], sims[c][top[2]])
-    return chosen
-
-
-def greedy_accuracy(leaves: np.ndarray, labels: np.ndarray, n: int) -> list[int]:
-    """Rows that raise the accuracy of the nearest prototype's label most, one after another, until none does."""
-    sim = _similarities(leaves)
-    chosen, best, guess = [], np.full(len(labels), -1.0), np.full(len(labels), -10**9)
-    while len(chosen) < n:
-        closer = sim > best
-        hits = np.where(closer, labels[:, None] == labels[None], (guess == labels)[None]).mean(1)
-        hits[chosen] = -1
-        i = int(hits.argmax())
-        if chosen and hits[i] <= (guess == labels).mean():
-            break
-        chosen.append(i)
-        guess = np.where(closer[i], labels[i], guess)
-        best = np.maximum(best, sim[i])
-    return chosen
+
+    def __init__(self, leafed: DataFrame, limit: int):
+        distinct = leafed.groupBy("label", "leaves").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+        self.rows = distinct.persist()
+        sizes = self.rows.groupBy("label").agg(F.count("*").alias("_n"), F.sum("n").alias("_rows"))
+        self.sizes = {r.label: r._rows for r in sizes.collect()}
+        pick = F.pmod(F.xxhash64("row_id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * limit) / F.col("_n")
+        few = self.rows.join(F.broadcast(sizes), "label").where(pick).select("label", "row_id", "leaves").toPandas().sort_values("row_id", ignore_index=True)
+        self.labels, self.ids = few["label"].to_numpy(), few["row_id"].to_numpy()
+        self.leaves = np.array(few["leaves"].tolist()).reshape(len(few), -1)
+        self.of = {c: np.flatnonzero(self.labels == c) for c in sorted(self.sizes)}
+
+    def _sums(self, where, of: np.ndarray, part) -> np.ndarray:
+        """part(candidates, rows, labels, numbers) summed over all rows."""
+        sent = self.rows.sparkSession.sparkContext.broadcast(self.leaves[of])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(sent.value))
+            for pdf in batches:
+                for i in range(0, len(pdf), 500):
+                    few = pdf.iloc[i : i + 500]
+                    total += part(sent.value, np.array(few["leaves"].tolist()), few["label"].to_numpy(), few["n"].to_numpy(float))
+            yield pd.DataFrame({"at": np.arange(len(total)), "part": total})
+
+        found = self.rows.where(where).mapInPandas(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("sum")).collect()
+        out = np.zeros(len(of))
+        for r in found:
+            out[r["at"]] = r["sum"]
+        sent.unpersist()
+        return out
+
+    def gains(self, label, chosen: list[int]) -> np.ndarray:
+        """By how much each candidate of a class raises the sum of its rows' best likeness to what is chosen."""
+        taken = self.leaves[chosen]
+
+        def part(candidates, rows, labels, n):
+            best = _likeness(taken, rows).max(0) if len(taken) else np.zeros(len(rows), np.float32)
+            return (np.maximum(_likeness(candidates, rows) - best, 0).astype(float) * n).sum(1)
+
+        out = np.round(self._sums(F.col("label").eqNullSafe(F.lit(label)), self.of[label], part), 6)
+        out[np.isin(self.of[label], chosen)] = -1
+        return out
+
+    def hits(self, chosen: list[int]) -> np.ndarray:
+        """Rows whose most alike prototype has their label, if each candidate were chosen too; last, as it is."""
+        taken, guesses, mine = self.leaves[chosen], self.labels[chosen], self.labels
+
+        def part(candidates, rows, labels, n):
+            like = _likeness(taken, rows) if len(taken) else np.full((1, len(rows)), -1, np.float32)
+            best = like.max(0)
+            right = guesses[like.argmax(0)] == labels if len(taken) else np.zeros(len(rows), bool)
+            closer = _likeness(candidates, rows) > best
+            return (np.where(closer, mine[:, None] == labels[None], right[None]) * n).sum(1)
+
+        return self._sums(F.lit(True), np.arange(len(self.ids)), part)
+
+    def medoids(self, label, k: int) -> list[int]:
+        chosen: list[int] = []
+        for _ in range(min(k, len(self.of[label]))):
+            chosen.append(int(self.of[label][self.gains(label, chosen).argmax()]))
+        return chosen
+
+    def over_classes(self, classes: list, n: int | None, weighted: bool, alpha: float | None = None) -> dict[object, list[int]]:
+        """Each time a row of the class that gains most (by the share of its size if weighted).
+
+        It stops at n rows; with alpha, where a gain falls within alpha of the one before; and where nothing gains.
+        """
+        chosen, last = {c: [] for c in classes}, None
+        gain = {c: self.gains(c, []) for c in classes if len(self.of[c])}
+        while gain and (n is None or sum(map(len, chosen.values())) < n):
+            value = lambda c: gain[c].max() / self.sizes[c] if weighted else gain[c].max()
+            c = max(gain, key=value)
+            top = value(c)
+            if top <= 1e-6 / (self.sizes[c] if weighted else 1):
+                break
+            if alpha is not None and last is not None and abs(last - top) / top <= alpha and all(chosen.values()):
+                break
+            last = top
+            chosen[c].append(int(self.of[c][gain[c].argmax()]))
+            gain[c] = self.gains(c, chosen[c])
+        return chosen
+
+    def accurate(self, n: int) -> list[int]:
+        """Rows that raise the accuracy of the nearest prototype's label most, one after another, until none does."""
+        chosen, now = [], -1.0
+        while len(chosen) < n:
+            hits = self.hits(chosen)
+            hits[chosen] = -1
+            if not len(hits) or hits.max() <= now:
+                break
+            now = hits.max()
+            chosen.append(int(hits.argmax()))
+        return chosen
 
 
 def select(leafed: DataFrame, method: str = "apete", k: int = 3, alpha: float = 0.01, limit: int = CANDIDATES) -> DataFrame:
     """(row_id, class) of the prototypes of leafed rows (row_id, label, leaves), by one of kmedoids (k of each class), total
     and weighted (k in all), accuracy (k in all) and apete (as many as pay, then at least two of a class that has fewer).
 
-    Selection looks at all candidates of all classes at once: `limit` of each class at most, whatever its size.
+    Every row counts in the gains. Candidates are the distinct leaf combinations of each class, by their first row, about
+    `limit` of them at most, picked by hash. Each choice is one pass over the rows.
     """
     if method not in ("kmedoids", "total", "weighted", "accuracy", "apete"):
         raise ValueError(f"unknown selector {method}")
-    label_type = leafed.schema["label"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", ignore_index=True)
-        leaves, labels = np.array(pdf["leaves"].tolist()), pdf["label"].to_numpy()
-        of = {c: np.flatnonzero(labels == c) for c in np.unique(labels)}
-        if method == "accuracy":
-            picks = greedy_accuracy(leaves, labels, k)
+    greedy = _Greedy(leafed, limit)
+    classes = list(greedy.of)
+    if method == "accuracy":
+        picks = greedy.accurate(k)
+    else:
+        if method == "kmedoids":
+            chosen = {c: greedy.medoids(c, k) for c in classes}
+        elif method == "apete":
+            chosen = greedy.over_classes(classes, None, False, alpha)
+            for c in classes:
+                if len(chosen[c]) <= 2:
+                    chosen[c] = greedy.over_classes([c], None, False, max(alpha, 0.05))[c]
         else:
-            sims = {c: _similarities(leaves[i]) for c, i in of.items()}
-            if method == "kmedoids":
-                chosen = {c: greedy_medoids(s, k) for c, s in sims.items()}
-            elif method == "apete":
-                chosen = greedy_over_classes(sims, None, False, alpha)
-                for c, rows in chosen.items():
-                    if len(rows) <= 2:
-                        chosen[c] = greedy_over_classes({c: sims[c]}, None, False, max(alpha, 0.05))[c]
-            else:
-                chosen = greedy_over_classes(sims, k, method == "weighted")
-            picks = [of[c][i] for c, rows in chosen.items() for i in rows]
-        return pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[picks], "class": labels[picks]})
-
-    few = candidates(leafed, limit).select("row_id", "label", "leaves")
-    return few.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: run(pdf), f"row_id long, class {label_type}")
-
-
-def kmeans_prototypes(rows: DataFrame, features: list[str], k: int = 3, limit: int = CANDIDATES, seed: int = 0) -> DataFrame:
-    """(row_id, class): for each class the real rows nearest to the centres of k-means, each row once."""
-    label_type = rows.schema["label"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", ignore_index=True)
-        x = pdf[features].to_numpy(float)
-        centers, _ = kmeans(x, min(k, len(x)), np.random.default_rng(seed))
-        d, picks = ((centers[:, None] - x[None]) ** 2).sum(2), []
-        for row in d:
-            row[picks] = np.inf
-            picks.append(int(row.argmin()))
-        return pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[picks], "class": pdf["label"].iloc[0]})
-
-    return candidates(rows.select("row_id", "label", *features), limit).groupBy("label").applyInPandas(run, f"row_id long, class {label_type}")
+            chosen = greedy.over_classes(classes, k, method == "weighted")
+        picks = [i for c in classes for i in chosen[c]]
+    greedy.rows.unpersist()
+    kind = leafed.schema["label"].dataType.simpleString()
+    rows = [(int(greedy.ids[i]), greedy.labels[i].item() if hasattr(greedy.labels[i], "item") else greedy.labels[i]) for i in picks]
+    return leafed.sparkSession.createDataFrame(rows, f"row_id long, class {kind}")
+
+
+def kmeans_prototypes(rows: DataFrame, features: list[str], k: int = 3, seed: int = 0) -> DataFrame:
+    """(row_id, class): for each class the real rows nearest to the centres of k-means over all its rows, each row once."""
+    kind, out = rows.schema["label"].dataType.simpleString(), []
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+    for c in sorted(r.label for r in rows.select("label").distinct().collect()):  # a few classes
+        mine = data.where(F.col("label").eqNullSafe(F.lit(c)))
+        centers = KMeans(k=k, seed=seed, featuresCol="_x").fit(mine).clusterCenters()
+        taken: list[int] = []
+        for center in sorted(centers, key=tuple):
+            away = sum((F.col(f) - float(v)) ** 2 for f, v in zip(features, center, strict=True))
+            near = mine.where(~F.col("row_id").isin(taken)).orderBy(away, "row_id").select("row_id").first()
+            taken += [near.row_id] if near else []
+        out += [(i, c) for i in taken]
+    return rows.sparkSession.createDataFrame(out, f"row_id long, class {kind}")
 
 
 def assign(leafed: DataFrame, protos: DataFrame) -> DataFrame:

@@ -64,12 +64,12 @@ def cluster_stats_shift(spark, sf_dir):
 
 @query()
 def drift_strength(spark, sf_dir):
-    return rounded(clusters.detect(_items(spark, sf_dir), FEATURES, k_max=4))
+    return rounded(clusters.detect(_items(spark, sf_dir), FEATURES))
 
 
 @query()
 def xmeans_clusters(spark, sf_dir):
-    centers = clusters.global_ids(clusters.fit_centers(_items(spark, sf_dir), FEATURES, 4), 0.7)
+    centers = clusters.global_ids(clusters.fit_centers(_items(spark, sf_dir), FEATURES), 0.7)
     return centers.select("label", "block", "cluster", "status", F.transform("center", lambda x: F.round(x, 4)).alias("center"))
 
 
@@ -103,30 +103,30 @@ def detector_comparison(spark, sf_dir):
 
 
 def _vector_rows(spark, sf_dir):
-    return vectors(spark, sf_dir).select("row_id", "label", *[F.col("center")[i].alias(f"x{i}") for i in range(8)])
+    return vectors(spark, sf_dir).select("row_id", "label", *[F.col("center")[i].alias(f"x{i}") for i in range(64)])
 
 
 @query()
 def apete_prototypes(spark, sf_dir):
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     rows = _vector_rows(spark, sf_dir)
     leafed = prototypes.with_leaves(prototypes.fit_forest(rows, names), rows, names)
-    return prototypes.select(leafed, "apete", limit=300)
+    return prototypes.select(leafed, "apete")
 
 
 @query()
 def prototype_quality(spark, sf_dir):
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     rows = _vector_rows(spark, sf_dir)
     leafed = prototypes.with_leaves(prototypes.fit_forest(rows, names), rows, names).persist()
-    chosen = prototypes.select(leafed, "kmedoids", 2, limit=300).withColumnRenamed("row_id", "proto_id")
+    chosen = prototypes.select(leafed, "kmedoids", 2).withColumnRenamed("row_id", "proto_id")
     protos = chosen.join(leafed.select(F.col("row_id").alias("proto_id"), "leaves"), "proto_id")
     return rounded(prototypes.group_metrics(prototypes.assign(leafed, protos)))
 
 
 @query()
 def kmeans_prototypes(spark, sf_dir):
-    return prototypes.kmeans_prototypes(_vector_rows(spark, sf_dir), [f"x{i}" for i in range(8)])
+    return prototypes.kmeans_prototypes(_vector_rows(spark, sf_dir), [f"x{i}" for i in range(64)])
 
 
 def _two_class(spark, sf_dir):
@@ -184,7 +184,7 @@ def adjusted_mutual_information(spark, sf_dir):
 
 @query()
 def principal_plane(spark, sf_dir):
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     rows = _vector_rows(spark, sf_dir)
     return rounded(reduce.lda(rows, names, 2).transform(reduce.pca(rows, names).transform(rows, "pc"), "ld").select("row_id", "label", "pc1", "pc2", "ld1", "ld2"), 4)
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, classifiers, detectors, ordered, reports
+from driftloom.operators import boundary, classifiers, clusters, detectors, ordered, prototypes, reports
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +106,55 @@ def test_starts(spark):
     assert detectors.clamped(started, 10).first().start == 205
     ended = detectors.end_rates(rows, started.withColumn("end", F.lit(240).cast("long")), 20)
     assert ended.first().rate_end == 1.0
+
+
+def likeness(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+
+
+def greedy(rows, of, k):
+    """Rows of class `of`, each the one that raises the sum of all rows' best likeness most; the first of equal ones."""
+    mine, chosen = [r for r in rows if r[1] == of], []
+    best = [0.0] * len(mine)
+    for _ in range(k):
+        gain = {c[0]: round(sum(max(likeness(c[2], r[2]) - b, 0) for r, b in zip(mine, best, strict=True)), 6) for c in mine if c[0] not in chosen}
+        pick = min(gain, key=lambda i: (-gain[i], i))
+        chosen.append(pick)
+        leaves = next(r[2] for r in mine if r[0] == pick)
+        best = [max(b, likeness(leaves, r[2])) for r, b in zip(mine, best, strict=True)]
+    return chosen
+
+
+def test_medoids_count_every_row(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, [rng.randrange(3) for _ in range(4)]) for i in range(150)]
+    frame = spark.createDataFrame(rows, "row_id long, label int, leaves array<int>").repartition(5)
+    got = prototypes.select(frame, "kmedoids", 3).collect()
+    assert {c: [r.row_id for r in got if r["class"] == c] for c in (0, 1)} == {c: greedy(rows, c, 3) for c in (0, 1)}
+
+
+def test_accuracy_selector_never_falls(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 3, [(i % 3) * (rng.random() < 0.7) for _ in range(5)]) for i in range(90)]
+    rows = [(i, c, [int(x) for x in leaves]) for i, c, leaves in rows]
+    frame = spark.createDataFrame(rows, "row_id long, label int, leaves array<int>")
+    chosen = [r.row_id for r in prototypes.select(frame, "accuracy", 5).collect()]
+
+    def right(protos):
+        return sum(max(protos, key=lambda p: (likeness(rows[p][2], r[2]), -protos.index(p))) % 3 == r[1] for r in rows)
+
+    scores = [right(chosen[: k + 1]) for k in range(len(chosen))]
+    assert scores == sorted(scores) and scores[0] == max(right([i]) for i in range(90))
+
+
+def test_windows_cluster_as_in_memory(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(3):
+        x = np.concatenate([rng.normal(c, 0.2, 8) for c in (0, 4, 9)] + [rng.uniform(-20, 30, 6)])
+        d = np.abs(x[:, None] - x[None])
+        matrix = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(len(x)) for j in range(len(x))], "i int, j int, value double")
+        got = {r.win: r.label for r in clusters.cluster_windows(matrix).collect()}
+        assert [got[i] for i in range(len(x))] == clusters.hdbscan(d).tolist()
+        assert len(set(got.values())) >= 3
