@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,7 +26,7 @@ MAX_BROADCAST_ROWS, SALTS = 200_000, 16
 
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select option button audio video canvas".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select option button audio video canvas".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -62,6 +63,7 @@ def parse(page: str) -> Node:
     """Tree of block elements. Inline markup is transparent; missing end tags end where HTML ends them."""
     root = Node("#root", 1, False, False)
     stack, buffer, at = [root], [], 0
+    opened: Counter[str] = Counter()  # elements in the stack by name; most stray end tags close nothing
     quiet = 0  # depth inside a noisy inline element
 
     def flush() -> None:
@@ -103,11 +105,12 @@ def parse(page: str) -> Node:
                 noisy_inline.append(name)
                 quiet = 1
         elif closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].tag == name:
                     flush()
                     noisy_inline.clear()
                     quiet = 0
+                    opened.subtract(n.tag for n in stack[i:])
                     del stack[i:]
                     break
                 if stack[i].tag in ("article", "body", "td", "th") and name in ("p", "li", "div"):
@@ -117,14 +120,15 @@ def parse(page: str) -> Node:
             noisy_inline.clear()
             quiet = 0
             if stack[-1].tag == "p":
-                stack.pop()
+                opened[stack.pop().tag] -= 1
             ends = CLOSES.get(name)
             while ends and stack[-1].tag in ends:
-                stack.pop()
+                opened[stack.pop().tag] -= 1
             parent = stack[-1]
             node = Node(name, *_style(parent.path, parent.noise, parent.main, name, m[3]))
             parent.parts.append(node)
             stack.append(node)
+            opened[name] += 1
     flush()
     return root
 

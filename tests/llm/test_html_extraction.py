@@ -81,3 +81,16 @@ def test_generated_pages(spark):
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("<br>|</?p>|</?h1>", inner)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_formulas_and_objects_keep_their_text():
+    page = "<body><article><p>Energy is <math><mi>E</mi><mo>=</mo><mn>2</mn></math> here.</p><object data='x'>shown instead</object></article></body>"
+    assert he.main_text(page, {}) == "Energy is E=2 here.\nshown instead"
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    he.parse("<div>" * 8000 + "</section>" * 8000 + "text")
+    assert time.time() - began < 3
