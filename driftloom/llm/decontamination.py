@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .ngram_join import window_hashes, word_hashes
-from .storage import free_name, materialize
+from .storage import free_name, give_back, materialize
 
 #: Words that are not 0-9, A-Z, a-z or beyond ASCII separate; A-Z become a-z. On UTF-8 bytes this is one table.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -92,6 +92,7 @@ def _scanner(index):
             scanned = [index.value.scan(text) for text in texts]
             out = [(n, int(hit.sum()), sorted(found), _spans(hit)) for n, hit, found in scanned]
             yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
+        give_back()
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .storage import batch_rows, free_name
+from .storage import batch_rows, free_name, give_back
 
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 12, 8
 #: Most labelled documents of one language, and windows of one document, that training takes.
@@ -185,9 +185,11 @@ def with_language(docs: DataFrame, net: ByteNet, column: str, text_col: str = "t
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts in batches:
             names, scores = model.value.predict([None if t is None else str(t) for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        give_back()
 
     return docs.withColumn(column, pandas_udf(predict, "lang_pred string, score double")(F.col(text_col)))
 

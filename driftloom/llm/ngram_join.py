@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .components import components
-from .storage import batch_rows, free_name, materialize, release
+from .storage import batch_rows, free_name, give_back, materialize, release
 
 #: Rows that Python workers get at a time: texts, and pairs of whole sets.
 TEXT_ROWS, PAIR_ROWS = 1000, 200
@@ -130,12 +130,14 @@ def _fingerprint(items: np.ndarray) -> bytes | None:
 
 def _prefixes(k: int, percent: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts in batches:
             out = []
             for text in texts:
                 s = shingle_set(text, k)
                 out.append((len(s), _fingerprint(s), s[: prefix_length(len(s), percent)] if len(s) else None))
             yield pd.DataFrame(out, columns=["n", "fp", "prefix"])
+        give_back()
 
     return pandas_udf(run, "n long, fp binary, prefix array<long>")
 
@@ -149,6 +151,7 @@ def _whole_sets(k: int, percent: int):
                 band = band_of(len(s), percent)
                 out.append((s, bitmap(s, band, percent), bitmap(s, band + 1, percent)))
             yield pd.DataFrame(out, columns=["items", "bits", "bits_above"])
+        give_back()
 
     return pandas_udf(run, "items array<long>, bits array<long>, bits_above array<long>")
 
@@ -157,6 +160,7 @@ def _fingerprints(k: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([_fingerprint(shingle_set(t, k)) for t in texts], dtype=object)
+        give_back()
 
     return pandas_udf(run, "binary")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .storage import batch_rows, materialize
+from .storage import KEPT, batch_rows, give_back, materialize
 
 #: Pieces that one packing task takes, words a worker remembers before it starts forgetting, texts it gets at a time.
 PART_ITEMS, KNOWN_WORDS, TEXT_ROWS = 100_000, 300_000, 1000
@@ -30,9 +30,6 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 NOT_PLAIN = "[^\x00-\x1b\x20-\u012f]"  # the last four before the space are white space in some libraries only
 
-_loaded: dict[str, Words] = {}
-
-
 class Merges:
     """The merges of a vocabulary, applied to many words at once: in each round every word merges its pair of lowest rank,
     the leftmost of equal ones, until no word has a pair left that merges."""
@@ -187,10 +184,9 @@ class Words:
 
 def words_by(path: str) -> Words:
     """One vocabulary for each worker process."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    if f"words {path}" not in KEPT:
+        KEPT[f"words {path}"] = Words(path)
+    return KEPT[f"words {path}"]
 
 
 def tokenized(path: str, end_id: int, capacity: int):
@@ -208,6 +204,7 @@ def tokenized(path: str, end_id: int, capacity: int):
                 lengths += [len(p) // 4 for p in pieces]
                 sums += map(zlib.crc32, pieces)
             pieces = pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["length", "ids_crc32"])
+            give_back(f"words {path}")
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pieces)
 
     return run

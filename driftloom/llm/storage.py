@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +43,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+#: What a Python worker keeps for later tasks of the same kind, by name.
+KEPT: dict[str, object] = {}
+
+
+def give_back(keep: str = "") -> None:
+    """Drop what this Python worker keeps for other kinds of tasks, and return freed memory to the machine.
+
+    Workers live on after a task and would hold both.
+    """
+    for name in [k for k in KEPT if k != keep]:
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads, and let Spark drop the shuffle files of plans that are done."""
     for df in tables:
