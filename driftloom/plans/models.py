@@ -164,7 +164,7 @@ def boundary_rules(spark, sf_dir):
     return rounded(boundary.drift_rules(marked, FEATURES)[0], 4)
 
 
-@query(f"""WITH {SIGMA}, l AS (SELECT *, CASE WHEN block = 'before' THEN quantity > 0 ELSE discount > 0 END AS label FROM std)
+@query(f"""WITH {SIGMA}, l AS (SELECT * REPLACE (CASE WHEN block = 'before' THEN quantity > 0 ELSE discount > 0 END AS label) FROM std)
 SELECT block, count(*) AS rows, round(avg(((CASE WHEN block = 'before' THEN quantity > 0 ELSE discount > 0 END) = label)::INT), 6) AS accuracy FROM l GROUP BY 1""")
 def stump_accuracy(spark, sf_dir):
     """A stump finds a boundary between two values of one feature exactly."""
