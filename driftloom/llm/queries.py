@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding
+from . import decontamination, exact_dedup, html_extraction, language_id, lexical_search, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +73,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"), "copies", ["doc_id"]).select("doc_id", "copies.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op6_ngram_join, op7_html_extraction, op8_packing, op9_language_id, op10_secrets, op12_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op6_ngram_join, op7_html_extraction, op8_packing, op9_language_id, op10_secrets, op11_lexical_search, op12_exact_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -98,6 +102,13 @@ links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON
  WHERE 100 * least(na.n, nb.n) >= 85 * greatest(na.n, nb.n) GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(y) AS component_id FROM reach JOIN d ON reach.x = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op11_lexical_search": rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS all_terms FROM d), c AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM c, s GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 10 + (90 * len(w)::BIGINT * n_docs) // all_terms AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT DISTINCT i, item_id, unnest(coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])) AS t FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+scored AS (SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN c USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
     "op12_exact_dedup": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,
 row_number() OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) = 1 AS kept, sha256(k) AS text_sha256 FROM d""",
