@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extraction, language_id, lexical_search, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding
+from . import decontamination, exact_dedup, html_extraction, language_id, lexical_search, license_scan, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"), "copies", ["doc_id"]).select("doc_id", "copies.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op6_ngram_join, op7_html_extraction, op8_packing, op9_language_id, op10_secrets, op11_lexical_search, op12_exact_dedup)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), every=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_quality_rules, op4_quality_classifier, op5_license_scan, op6_ngram_join, op7_html_extraction, op8_packing, op9_language_id, op10_secrets, op11_lexical_search, op12_exact_dedup, op13_spelling_variants)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
