@@ -102,10 +102,10 @@ def is_key(data: bytes | None) -> bool:
 
 
 def is_signed_header(part: str) -> bool:
-    """A JSON object that names an algorithm."""
+    """A JSON object that names an algorithm. One nested too deeply to be parsed is none."""
     try:
         header = json.loads(decode_base64(part) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 

@@ -74,3 +74,13 @@ def test_scan_and_redact(spark, docs, texts, no_docs):
     for r in clean.collect():
         assert not se.find_secrets(r.text)[1] and r.n_chars == len(r.text or "")
     assert se.redact_secrets(docs).count() == len(texts) and se.redact_secrets(no_docs).count() == 0
+
+
+def test_deeply_nested_header_is_no_token(spark):
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+    good = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    text = f"{deep}.abcdef.gh and {good}.abcdef.gh"
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    found = se.scan_secrets(docs, "found").select("found.spans").first()[0]
+    assert [(x.kind, text[x.start : x.end]) for x in found] == [("signed_token", f"{good}.abcdef.gh")]
+    assert se.redact_secrets(docs).first().text == f"{deep}.abcdef.gh and [SECRET]"
