@@ -27,55 +27,102 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, .. of size[k] numbers, for all k after each other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+@dataclass
+class Windows:
+    """Distinct windows of one length: sorted hashes, where the words of each lie, the items that hold it (owners from
+    ends[k - 1] to ends[k]), and a mask of the hashes' low bits that most other windows miss."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    ends: np.ndarray
+    owners: np.ndarray
+    mask: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, words: np.ndarray) -> Windows:
+        order = np.argsort(hashes, kind="stable")
+        hashes, at, item = hashes[order], at[order], item[order]
+        first = np.searchsorted(hashes, hashes)
+        other = np.zeros(len(hashes), bool)
+        for j in range(size):
+            other |= words[at + j] != words[at[first] + j]
+        kind = np.zeros(len(hashes), np.int64)  # windows of one hash that differ count as several
+        for h in np.unique(hashes[other]):
+            names: dict[bytes, int] = {}
+            for k in range(np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")):
+                kind[k] = names.setdefault(words[at[k] : at[k] + size].tobytes(), len(names))
+        order = np.lexsort((item, kind, hashes))
+        hashes, kind, at, item = hashes[order], kind[order], at[order], item[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (kind[1:] != kind[:-1])
+        owned = new.copy()
+        owned[1:] |= item[1:] != item[:-1]
+        mask = np.zeros(1 << max(10, (16 * int(new.sum())).bit_length()), bool)
+        mask[hashes & np.uint64(len(mask) - 1)] = True
+        ends = np.add.reduceat(owned.astype(np.int64), np.flatnonzero(new)).cumsum()
+        return cls(hashes[new], at[new], ends, item[owned], mask)
+
+
 @dataclass
 class Index:
-    """Hashed windows of benchmark items, by window length: sorted hashes, the item and the place of each, and a mask of
-    the hashes' low bits that most other windows miss. `items` holds ids and normalised texts."""
+    """Windows of benchmark items by length. Words have numbers; `words` holds those of all items after each other."""
 
-    items: list[tuple[str, bytes]]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    names: list[str]
+    vocabulary: dict[bytes, int]
+    words: np.ndarray
+    windows: dict[int, Windows]
 
     @classmethod
     def of(cls, rows: list[tuple], window: int) -> Index:
-        items, parts = [], {}
+        names, vocabulary, numbers, parts, at = [], {}, [], {}, 0
         for item_id, text in rows:
             words = words_of(text)
             if item_id is None or not words:
                 continue
             size = min(window, len(words))
             hashes = window_hashes(word_hashes(text, WORD_BYTES), size)
-            parts.setdefault(size, []).append((hashes, np.full(len(hashes), len(items), np.int32), np.arange(len(hashes), dtype=np.int32)))
-            items.append((str(item_id), b" ".join(words)))
-        windows = {}
-        for size, found in parts.items():
-            hashes, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            mask = np.zeros(1 << max(10, (16 * len(hashes)).bit_length()), bool)
-            mask[hashes & np.uint64(len(mask) - 1)] = True
-            windows[size] = hashes[order], of[order], at[order], mask
-        return cls(items, windows)
+            parts.setdefault(size, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), len(names))))
+            numbers.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            names.append(str(item_id))
+            at += len(words)
+        numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        windows = {size: Windows.of(size, *(np.concatenate(x) for x in zip(*found, strict=True)), numbers) for size, found in parts.items()}
+        return cls(names, vocabulary, numbers, windows)
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """Number of words, which of them lie in a window of the index, and the items whose windows occur.
 
-        Windows whose hash is in the index are verified word by word.
+        Windows whose hash is in the index are verified word by word, each against the one distinct window of its hash.
         """
         hashes = word_hashes(text, WORD_BYTES) if text else np.zeros(0, np.uint64)
-        hit, found, words = np.zeros(len(hashes), bool), set(), None
-        for size, (known, of, at, mask) in self.windows.items():
+        edge, found, mine = np.zeros(len(hashes) + 1, np.int64), set(), None
+        for size, known in self.windows.items():
             if len(hashes) < size:
                 continue
-            mine = window_hashes(hashes, size)
-            maybe = np.flatnonzero(mask[mine & np.uint64(len(mask) - 1)])
-            first, last = np.searchsorted(known, mine[maybe]), np.searchsorted(known, mine[maybe], "right")
-            for i, a, b in zip(maybe[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-                words = words_of(text) if words is None else words
-                for k in range(a, b):
-                    name, item = self.items[of[k]]
-                    if (name not in found or not hit[i : i + size].all()) and words[i : i + size] == item.split()[at[k] : at[k] + size]:
-                        hit[i : i + size] = True
-                        found.add(name)
-        return len(hashes), hit, found
+            windows = window_hashes(hashes, size)
+            maybe = np.flatnonzero(known.mask[windows & np.uint64(len(known.mask) - 1)])
+            first = np.searchsorted(known.hashes, windows[maybe])
+            count = np.searchsorted(known.hashes, windows[maybe], "right") - first
+            if not count.any():
+                continue
+            if mine is None:
+                mine = np.array([self.vocabulary.get(w, -1) for w in words_of(text)], np.int32)
+            place, which = np.repeat(maybe, count), _ranges(first, count)
+            same = np.ones(len(place), bool)
+            for j in range(size):
+                same &= mine[place + j] == self.words[known.at[which] + j]
+            starts, which = np.unique(place[same]), np.unique(which[same])
+            edge[starts] += 1
+            edge[starts + size] -= 1
+            begin = np.where(which > 0, known.ends[which - 1], 0)
+            found.update(self.names[i] for i in np.unique(known.owners[_ranges(begin, known.ends[which] - begin)]).tolist())
+        return len(hashes), np.cumsum(edge[:-1]) > 0, found
 
 
 def _spans(hit: np.ndarray) -> list[dict]:

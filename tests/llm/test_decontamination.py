@@ -75,3 +75,14 @@ def test_colliding_hashes_are_verified(monkeypatch):
     index = dc.Index.of([(1, "one two"), (2, "two three")], 10)
     n, hit, found = index.scan("one two three two one")
     assert (n, hit.tolist(), found) == (5, [True, True, True, False, False], {"1", "2"})
+
+
+def test_long_items_and_equal_words_take_linear_time():
+    import time
+
+    varied = " ".join(f"w{i % 70_001}" for i in range(100_000))
+    for text in (varied, "same " * 100_000):
+        began = time.time()
+        index = dc.Index.of([(1, text), (2, text), (3, "other words")], 10)
+        n, hit, found = index.scan(text)
+        assert (n, hit.all(), found) == (100_000, True, {"1", "2"}) and time.time() - began < 5
