@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.scratch import materialize
+
 from .ordered import running, segmented
 
 
 def majority_errors(rows: DataFrame) -> DataFrame:
     """Errors (stream_id, seq, err) of predicting the most frequent label so far, ties to the largest label; the first row
     of a stream counts as an error. Rows are (stream_id, seq, label); there are few distinct labels."""
+    rows = materialize(rows.select("stream_id", "seq", "label"), "labels")
     labels = rows.select("label").distinct().agg(F.array_sort(F.collect_set("label")).alias("ls"))
     spread = rows.crossJoin(F.broadcast(labels)).select("stream_id", "seq", "label", F.explode("ls").alias("cand"))
     spread = segmented(spread.withColumn("_hit", (F.col("label") == F.col("cand")).cast("long")), "seq")
@@ -240,29 +243,35 @@ class Chain:
         return None
 
 
-def detect(errors: DataFrame, detector: str = "ddm", grace: int = 100) -> DataFrame:
-    """(stream_id, drift, warned_at, detected_at) of each stream of (stream_id, seq, err).
+def detect_all(errors: DataFrame, names: Sequence[str], grace: int = 100) -> DataFrame:
+    """(detector, stream_id, drift, warned_at, detected_at) of each detector in each stream of (stream_id, seq, err).
 
-    A detector's state depends on every row before, so each stream is one ordered fold; streams run in parallel, and a
-    stream's batches pass through its task one after another, never all at once.
+    A detector's state depends on every row before, so each stream is one ordered fold, which all detectors share; streams
+    run in parallel, and a stream's batches pass through its task one after another, never all at once.
     """
-    if detector not in DETECTORS:
-        raise ValueError(f"unknown detector {detector}; one of {sorted(DETECTORS)}")
+    if unknown := set(names) - set(DETECTORS):
+        raise ValueError(f"unknown detectors {sorted(unknown)}; some of {sorted(DETECTORS)}")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, chain, count = None, None, 0
+        stream, chains, counts = None, {}, {}
         for pdf in batches:
             out = []
             for s, seq, err in zip(pdf["stream_id"], pdf["seq"], pdf["err"], strict=True):
                 if s != stream:
-                    stream, chain, count = s, Chain(detector, grace), 0
-                if found := chain.update(int(seq), int(err)):
-                    out.append((s, count, *found))
-                    count += 1
-            yield pd.DataFrame(out, columns=["stream_id", "drift", "warned_at", "detected_at"])
+                    stream, chains, counts = s, {name: Chain(name, grace) for name in names}, dict.fromkeys(names, 0)
+                for name, chain in chains.items():
+                    if found := chain.update(int(seq), int(err)):
+                        out.append((name, s, counts[name], *found))
+                        counts[name] += 1
+            yield pd.DataFrame(out, columns=["detector", "stream_id", "drift", "warned_at", "detected_at"])
+
+    ordered = errors.select("stream_id", "seq", "err").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInPandas(fold, "detector string, stream_id string, drift long, warned_at long, detected_at long")
+
 
-    ordered = errors.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    return ordered.mapInPandas(fold, "stream_id string, drift long, warned_at long, detected_at long")
+def detect(errors: DataFrame, detector: str = "ddm", grace: int = 100) -> DataFrame:
+    """(stream_id, drift, warned_at, detected_at) of one detector (see detect_all)."""
+    return detect_all(errors, [detector], grace).drop("detector")
 
 
 def _around(drifts: DataFrame, key: list[str], rows: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -272,21 +281,23 @@ def _around(drifts: DataFrame, key: list[str], rows: DataFrame, low: Column, hig
 
 
 def start_by_cusum(errors: DataFrame, drifts: DataFrame, lookback: int = 300, slack: float = 0.1, threshold: float = 1.5) -> DataFrame:
-    """Adds `start`: the first row of the `lookback` rows before a detection where the sum of errors above baseline and slack,
-    never below 0, exceeds the threshold; the baseline is the mean of their first min(50, quarter) rows. 0 before row 50."""
+    """Adds `start`: the first of the `lookback` rows before a detection at which the sum of errors above baseline and slack,
+    never below 0, exceeds the threshold. The baseline is the mean of their first min(50, quarter) rows, and the sum begins
+    behind these; without a crossing the start is there too. Fewer than 20 rows start at their first, detections before row
+    50 at 0."""
     key = ["stream_id", "drift", "warned_at", "detected_at"]
-    near = _around(drifts, key, errors, F.col("detected_at") - lookback + 1, F.col("detected_at"))
-    by = Window.partitionBy(*key).orderBy("seq")
-    n = F.count("*").over(Window.partitionBy(*key))
-    placed = near.withColumn("at", F.row_number().over(by)).withColumn("head", F.least(F.lit(50), F.greatest(F.floor(n / 4), F.lit(1))))
-    base = F.avg(F.when(F.col("at") <= F.col("head"), F.col("err"))).over(Window.partitionBy(*key))
-    total = F.sum(F.col("err") - F.col("base") - slack).over(by)
-    rows = placed.withColumn("base", base).withColumn("total", total)
-    low = F.least(F.lit(0.0), F.min("total").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("s", F.col("total") - low).where(F.col("s") > threshold)
-    first = rows.groupBy(*key).agg(F.min("seq").alias("start"))
-    out = drifts.join(first, key, "left")
-    return out.withColumn("start", F.when(F.col("detected_at") < 50, F.lit(0)).otherwise(F.coalesce("start", "warned_at")))
+    first = F.greatest(F.col("detected_at") - lookback, F.lit(0))
+    n = F.col("detected_at") - first
+    head = F.least(F.lit(50), F.floor(n / 4))
+    near = _around(drifts, key, errors, first, F.col("detected_at") - 1)
+    by = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    early = F.col("seq") < first + head
+    base = F.avg(F.when(early, F.col("err"))).over(Window.partitionBy(*key))
+    rows = near.withColumn("_base", base).withColumn("_total", F.sum(F.when(early, 0.0).otherwise(F.col("err") - F.col("_base") - slack)).over(by))
+    rows = rows.withColumn("_s", F.col("_total") - F.least(F.lit(0.0), F.min("_total").over(by))).where(~early & (F.col("_s") > threshold))
+    crossed = rows.groupBy(*key).agg(F.min("seq").alias("_crossed"))
+    start = F.when(F.col("detected_at") < 50, F.lit(0)).when(n < 20, first).otherwise(F.coalesce("_crossed", first + head))
+    return drifts.join(crossed, key, "left").withColumn("start", start.cast("long")).drop("_crossed")
 
 
 def start_by_threshold(errors: DataFrame, drifts: DataFrame, width: int = 10, factor: float = 1.5, run: int = 20, lookback: int = 300) -> DataFrame:

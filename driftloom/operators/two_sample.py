@@ -119,9 +119,9 @@ def spearman(long: DataFrame, order: list[str], threshold: float = 0.9) -> DataF
     `order` names the columns of the total order. |rho| below the threshold is drift.
     """
     placed = numbered(long.select(*KEYS, "block", "value", *order), [*KEYS, "block"], order, "at")
-    pairs = placed.where("block = 'before'").withColumnRenamed("value", "x").join(placed.where("block = 'after'").withColumnRenamed("value", "y"), [*KEYS, "at"])
-    pairs = pairs.select(*KEYS, "at", "x", "y")
-    ranked = mid_ranks(mid_ranks(pairs, KEYS, "x", "rx"), KEYS, "y", "ry")
+    side = lambda b: F.max(F.when(F.col("block") == b, F.struct("value"))).alias(b)
+    pairs = placed.groupBy(*KEYS, "at").agg(side("before"), side("after")).where("before is not null and after is not null")
+    ranked = mid_ranks(pairs.select(*KEYS, F.col("before.value").alias("x"), F.col("after.value").alias("y")), KEYS, {"x": "rx", "y": "ry"})
     cells = ranked.groupBy(*KEYS).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("stat"))
     return cells.withColumn("drift", F.coalesce(F.abs("stat") < threshold, F.lit(True)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.scratch import materialize
+
 from .ordered import STRETCH, in_stretch, running, segmented, with_halo
 
 STREAM = "stream_id"
@@ -91,7 +93,7 @@ def runs(rows: DataFrame, order: str = "seq", label: str = "label") -> DataFrame
     """Stretches of equal labels: number, label, first and last position, length. Positions are gapless."""
     previous = F.lag(label).over(in_stretch([STREAM], order))
     changed = F.coalesce((F.col(label) != previous).cast("int"), F.lit(0))
-    marked = with_halo(rows.select(STREAM, order, label), order, 1, 0).withColumn("_changed", changed).where("_own")
+    marked = with_halo(materialize(rows.select(STREAM, order, label), "runs"), order, 1, 0).withColumn("_changed", changed).where("_own")
     run = running(marked, [STREAM], [order], {"_changed": "changed"}).withColumnRenamed("run_changed", "run")
     return run.groupBy(STREAM, "run").agg(F.min(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
 
@@ -103,7 +105,7 @@ def cusum(errors: DataFrame, baseline: float, slack: float = 0.1) -> DataFrame:
     """
     up_to = Window.unboundedPreceding, 0
     w = in_stretch([STREAM], "seq").rowsBetween(*up_to)
-    rows = segmented(errors, "seq").withColumn("_sum", F.sum(F.col("err") - (baseline + slack)).over(w))
+    rows = segmented(materialize(errors.select(STREAM, "seq", "err"), "errors"), "seq").withColumn("_sum", F.sum(F.col("err") - (baseline + slack)).over(w))
     rows = rows.withColumn("_low", F.min("_sum").over(w))
     parts = rows.groupBy(STREAM, STRETCH).agg(F.max_by("_sum", "seq").alias("_all"), F.min("_low").alias("_least"))
     earlier = Window.partitionBy(STREAM).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch

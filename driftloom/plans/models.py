@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, classifiers, clusters, detectors, importance, prototypes, reduce
+from driftloom.operators import boundary, classifiers, clusters, importance, prototypes, reduce
 from driftloom.operators import recurrence as rc
-from driftloom.operators.ordered import numbered
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
 
@@ -78,30 +77,6 @@ def hdbscan_windows(spark, sf_dir):
     return clusters.cluster_windows(matrix(spark, sf_dir))
 
 
-def _user_errors(spark, sf_dir):
-    """All events as one stream of errors for each user, in the order of (ts, event_id); events of no user are one stream."""
-    user = F.coalesce(F.col("user_id").cast("string"), F.lit("none"))
-    rows = read(spark, sf_dir, "events").select(user.alias("stream_id"), "ts", "event_id", F.coalesce(F.col("event_type") == "error", F.lit(False)).cast("int").alias("err"))
-    return numbered(rows, ["stream_id"], ["ts", "event_id"], "_at").select("stream_id", (F.col("_at") - 1).cast("long").alias("seq"), "err")
-
-
-@query()
-def drift_descriptions(spark, sf_dir):
-    e = _user_errors(spark, sf_dir)
-    found = detectors.detect(e, "hddm_w")
-    localised = detectors.end_by_peak(e, detectors.start_by_cusum(e, found))
-    return rounded(detectors.describe(e, localised))
-
-
-@query()
-def detector_comparison(spark, sf_dir):
-    e, out = _user_errors(spark, sf_dir), None
-    for name in detectors.DETECTORS:
-        part = detectors.detect(e, name).select(F.lit(name).alias("detector"), "stream_id", "drift", "warned_at", "detected_at")
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
 def _vector_rows(spark, sf_dir):
     return vectors(spark, sf_dir).select("row_id", "label", *[F.col("center")[i].alias(f"x{i}") for i in range(64)])
 

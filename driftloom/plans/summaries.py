@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters, detectors, reports
-from driftloom.operators import windows as wn
+from driftloom.operators import clusters, reports
 from driftloom.sources.tables import event_stream, read, row_windows
 
 from .blocks import EVENTS, ITEMS, SHIFTS, events, items
 from .models import FEATURES, SIGMA, _fixed
 from .registry import query, rounded
-from .streams import DIST, ERR, SEQ, WIN, errors, labelled_windows, vectors
+from .streams import DIST, WIN, labelled_windows, vectors
 
 FIRSTS = f"{WIN}, pr AS (SELECT win, label, value FROM (SELECT *, row_number() OVER (PARTITION BY win, label ORDER BY seq) AS k FROM (SELECT (seq // 1000)::INT AS win, event_type AS label, value, seq FROM ev WHERE seq // 1000 < (SELECT count(*) // 1000 FROM events))) WHERE k <= 2)"
 
@@ -120,23 +119,3 @@ def matched_clustering_accuracy(spark, sf_dir):
     price = F.col("o_totalprice")
     band = F.when(price < 50000, 0).when(price < 100000, 1).when(price < 150000, 2).when(price < 200000, 3).otherwise(4)
     return rounded(reports.clustering_accuracy(read(spark, sf_dir, "orders").withColumn("band", band), "o_orderpriority", "band"))
-
-
-DRIFTS = "d AS (SELECT * FROM (VALUES (0, 200, 250, 500), (1, 600, 700, 900)) t(drift, a, det, b))"
-
-
-@query(f"""WITH {ERR}, {DRIFTS}, r AS (SELECT seq, avg(err) OVER (ORDER BY seq ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS rate FROM err), f AS (SELECT * FROM r WHERE seq <= (SELECT count(*) FROM err) - 100),
-p AS (SELECT drift, arg_max(seq, (rate, -seq)) AS peak, max(rate) AS rate FROM f JOIN d ON seq BETWEEN a AND b GROUP BY 1), s AS (SELECT drift, avg(err) AS w FROM err JOIN d ON seq BETWEEN a - 25 AND a + 25 GROUP BY 1)
-SELECT 'events' AS stream_id, drift, a::BIGINT AS start, peak AS "end", peak - a AS duration, round(w, 6) AS rate_start, round(rate, 6) AS rate_end, round(rate - w, 6) AS increase, round(CASE WHEN w > 0 THEN (rate - w) / w * 100 END, 6) AS change_pct FROM d JOIN p USING (drift) JOIN s USING (drift)""")
-def corrected_drift_report(spark, sf_dir):
-    e = errors(spark, sf_dir)
-    drifts = spark.createDataFrame([("events", 0, 200, 250, 500), ("events", 1, 600, 700, 900)], "stream_id string, drift int, start long, detected_at long, end long")
-    peaks = wn.peak_in_range(wn.sliding_error_rate(e, 100), drifts).select("stream_id", "drift", "peak", "rate")
-    return rounded(reports.drift_report(detectors.describe(e, drifts), peaks))
-
-
-@query(f"""WITH {ERR}, {DRIFTS}, x AS (SELECT count(*) AS n, 1 - avg(err) AS accuracy FROM err) SELECT n, round(accuracy, 6) AS accuracy, 2::BIGINT AS drifts, 300.0::DOUBLE AS avg_duration, 300::BIGINT AS min_duration, 300::BIGINT AS max_duration FROM x""")
-def error_stream_summary(spark, sf_dir):
-    drifts = spark.createDataFrame([("events", 0, 200, 500), ("events", 1, 600, 900)], "stream_id string, drift int, start long, end long").withColumn("duration", F.col("end") - F.col("start"))
-    found = detectors.error_summary(errors(spark, sf_dir), drifts)
-    return rounded(found.select("n", "accuracy", "drifts", F.col("mean_duration").alias("avg_duration"), "min_duration", "max_duration"))
