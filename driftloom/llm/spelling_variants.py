@@ -9,20 +9,20 @@ from itertools import groupby
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import batch_rows, give_back, materialize, release
 
 #: Bytes of text split at once; texts and words that a worker gets at a time; words counted before they are passed on.
 BLOCK_BYTES, TEXT_ROWS, WORD_ROWS, HELD_WORDS = 1 << 20, 1000, 20_000, 300_000
-#: Longest grams used, and words of one posting list (or of its askers) that one task meets.
-MAX_GRAM, LIST_WORDS = 3, 2000
+#: Words of one posting list (or of its askers) that one task meets at once.
+LIST_WORDS = 2000
 
 #: Letters are A-Z, a-z and U+00C0 to U+00FF: one byte each in Latin-1, where all others become a space and A-Z a-z.
 LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
 
-_LIST = ["gram", "pos", "len"]
+_LIST = ["grams", "pos", "gap", "len"]
 
 
 def letter_runs(text: str | None) -> Counter:
@@ -124,7 +124,7 @@ def _list_joiner(q: int):
         now, sides = None, ([], [])
         for rows in batches:
             found = []
-            keys = zip(rows["gram"], rows["pos"], rows["len"], rows["i"], rows["a"], strict=True)
+            keys = zip(*(rows[c] for c in (*_LIST, "i", "a")), strict=True)
             for key, asks, word, n in zip(keys, rows["asks"], rows["word"], rows["n"], strict=True):
                 if key != now:
                     found += near_in_list(*sides, q) if sides[0] and sides[1] else []
@@ -138,29 +138,38 @@ def _list_joiner(q: int):
     return run
 
 
+def gram_size(min_chars: int) -> int:
+    """The longest grams of which one edit always leaves two intact in words of min_chars letters."""
+    if min_chars < 3:
+        raise ValueError("words of fewer than 3 letters have no two grams that one edit leaves intact")
+    return 2 if min_chars >= 5 else 1
+
+
 def near_words(words: DataFrame, min_chars: int = 6, list_words: int = LIST_WORDS) -> DataFrame:
     """(a, n_a, b, n_b): each pair of distinct words of (word, n) one edit apart, once; a is the longer or the later.
 
-    One edit leaves all but q of the longer word's positional grams of q letters intact, so of the q + 1 rarest grams of
-    both words one is shared: only these are posted, under gram, position and length. Every word asks for its own as they
-    stand and as one deleted letter shifts them. A list with more than list_words words or askers is cut into blocks of
-    that many, each meeting each, so no task holds a whole frequent list and none is cut short.
-    Words need min_chars letters or more, so that at least one gram stays intact (q is at most half of it). Words must be
-    distinct; repeated ones would pair as often.
+    One edit leaves all but q of the longer word's positional grams of q letters intact. So of the q + 2 rarest grams of
+    both words two are shared: only pairs of these are posted, under both grams, their positions and the word's length.
+    Every word asks for its own pairs as they stand and as one deleted letter shifts them. A list with more than list_words
+    words or askers is cut into blocks of that many, each meeting each, so no task holds a whole frequent list and none is
+    cut short. Words need min_chars letters or more. They must be distinct; repeated ones would pair as often.
     """
-    q = max(1, min(MAX_GRAM, min_chars // 2))
-    size = F.char_length("word")
+    q, size = gram_size(min_chars), F.char_length("word")
     grams = words.select("word", "n", size.alias("len"), F.explode(F.sequence(F.lit(1), size - (q - 1))).alias("pos")).withColumn("gram", F.substring("word", F.col("pos"), F.lit(q)))
-    shares = grams.groupBy("gram").agg(F.count("*").alias("words"))  # at most 90**3 grams exist, whatever the corpus
-    first = F.row_number().over(Window.partitionBy("word").orderBy("words", "gram", "pos"))
-    rare = grams.join(F.broadcast(shares), "gram").withColumn("nth", first).where(F.col("nth") <= q + 1)
-
-    place = lambda shift, shorter, asks: F.struct((F.col("pos") - shift).alias("pos"), (F.col("len") - shorter).alias("len"), F.lit(asks).alias("asks"))
-    rows = rare.select("gram", "word", "n", F.explode(F.array(place(0, 0, 0), place(0, 0, 1), place(0, 1, 1), place(1, 1, 1))).alias("at")).select("gram", "at.*", "word", "n")
-    rows = materialize(rows.where("pos > 0"), "gram-lists")
+    shares = grams.groupBy("gram").agg(F.count("*").alias("words"))  # at most 90**2 grams exist, whatever the corpus
+    ranked = grams.join(F.broadcast(shares), "gram").groupBy("word").agg(F.first("n").alias("n"), F.first("len").alias("len"), F.array_sort(F.collect_list(F.struct("words", "gram", "pos"))).alias("grams"))
+    rare = F.array_sort(F.transform(F.slice("grams", 1, q + 2), lambda g: F.struct(g["pos"].alias("pos"), g["gram"].alias("gram"))))
+    pair = lambda x, y: F.struct(F.concat(x["gram"], y["gram"]).alias("grams"), x["pos"].alias("pos"), (y["pos"] - x["pos"]).alias("gap"))
+    pairs = F.flatten(F.transform("rare", lambda x, k: F.transform(F.slice("rare", k + 2, q + 2), lambda y: pair(x, y))))
+    posted = ranked.withColumn("rare", rare).select("word", "n", "len", F.explode(pairs).alias("p")).select("p.*", "word", "n", "len")
+
+    place = lambda pos, gap, shorter, asks: F.struct((F.col("pos") - pos).alias("pos"), (F.col("gap") - gap).alias("gap"), (F.col("len") - shorter).alias("len"), F.lit(asks).alias("asks"))
+    places = F.explode(F.array(place(0, 0, 0, 0), place(0, 0, 0, 1), place(0, 0, 1, 1), place(0, 1, 1, 1), place(1, 0, 1, 1)))
+    rows = posted.select("grams", "word", "n", places.alias("at")).select("grams", "at.*", "word", "n")
+    rows = materialize(rows.where(f"pos > 0 AND gap > 0 AND len >= {int(min_chars)}"), "gram-lists")
     parts = lambda asks: F.ceil(F.sum((F.col("asks") == asks).cast("int")) / list_words).cast("int")
-    # lists that nobody asks for, or that hold nothing, go; long ones are cut
-    lists = rows.groupBy(*_LIST).agg(parts(0).alias("n_i"), parts(1).alias("n_a")).where("n_i > 0 AND n_a > 0")
+    # lists that nobody else asks for, or that hold nothing, go; long ones are cut
+    lists = rows.groupBy(*_LIST).agg(parts(0).alias("n_i"), parts(1).alias("n_a"), F.count("*").alias("held")).where("n_i > 0 AND n_a > 0 AND held > 2").drop("held")
     mine = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
     all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cut = rows.join(lists, _LIST).withColumn("i", F.explode(F.when(F.col("asks") == 0, F.array(mine("n_i"))).otherwise(all_("n_i"))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -15,7 +14,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BACKGROUND, SAMPLE, LIME_ROWS, EXACT_FEATURES = 100, 500, 100, 10
+from driftloom.sources.scratch import materialize
+
+from . import shapley
+
+BACKGROUND, SAMPLE, LIME_ROWS = 100, 500, 100
 
 
 def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 20, depth: int = 6, seed: int = 0) -> Model:
@@ -56,29 +59,18 @@ def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns)).limit(n)
 
 
-def shap_importance(model: Model, rows: DataFrame, features: list[str], background: int = BACKGROUND, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """Mean absolute Shapley value of each feature for class 1 over `sample` rows against `background` rows.
+def shap_importance(model: Model, rows: DataFrame, features: list[str], background: int = BACKGROUND, sample: int = SAMPLE, seed: int = 0, budget: int | None = None) -> DataFrame:
+    """(feature, importance, deviation): mean and population deviation of the absolute Shapley value of each feature for class 1
+    over `sample` rows against `background` rows.
 
-    All coalitions of up to EXACT_FEATURES features are scored: a row for each sampled row, coalition and background row.
+    Values come from a weighted fit over coalitions of any number of features (see shapley.kernel_shap), which is exact
+    as long as all coalitions are within the budget.
     """
-    if len(features) > EXACT_FEATURES:
-        raise ValueError(f"exact values need {EXACT_FEATURES} features or fewer")
-    d = len(features)
-    x = _sample(rows.select(*features), sample, seed).withColumn("row", F.monotonically_increasing_id())
-    back = _sample(rows.select(*features), background, seed + 1).select(F.struct(*features).alias("bg"))
-    masks = rows.sparkSession.range(2**d).select(F.col("id").alias("mask"))
-    cells = x.crossJoin(F.broadcast(masks)).crossJoin(F.broadcast(back))  # all three sides have fixed bounds
-    cells = cells.withColumns({f: F.when(F.shiftright("mask", i).bitwiseAND(1) == 1, F.col(f)).otherwise(F.col(f"bg.{f}")) for i, f in enumerate(features)}).drop("bg")
-    value = score(model, cells, features).groupBy("row", "mask").agg(F.avg("p1").alias("v"))
-    parts = []
-    for i, f in enumerate(features):
-        size = F.bit_count("mask")
-        with_, without = F.shiftright("mask", i).bitwiseAND(1) == 1, F.shiftright("mask", i).bitwiseAND(1) == 0
-        weight = lambda s: F.element_at(F.array(*[F.lit(math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)) for k in range(d)]), s + 1)
-        phi = F.sum(F.when(with_, F.col("v") * weight(size - 1)).when(without, -F.col("v") * weight(size)))
-        parts.append(phi.alias(f))
-    values = value.groupBy("row").agg(*parts)
-    return values.unpivot(["row"], features, "feature", "phi").groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    few = _sample(rows.select(*features), sample, seed).select(F.monotonically_increasing_id().alias("row_id"), x.alias("x"))
+    back = _sample(rows.select(*features), background, seed + 1).select(x.alias("x"))
+    few = materialize(few, "explained")  # row numbers are given once
+    return shapley.importances(shapley.kernel_shap(shapley.probability_of(model), few, back, len(features), budget, seed), features)
 
 
 def lime_importance(model: Model, rows: DataFrame, features: list[str], n_rows: int = LIME_ROWS, perturbations: int = 200, ridge: float = 1.0, seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, classifiers, clusters, importance, prototypes, reduce
+from driftloom.operators import boundary, classifiers, clusters, importance, prototypes, reduce, shapley
 from driftloom.operators import recurrence as rc
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
@@ -120,6 +120,23 @@ def shap_importance(spark, sf_dir):
     return rounded(importance.shap_importance(importance.fit(rows, FEATURES), rows, FEATURES), 4)
 
 
+#: A linear score of embeddings: weights -2, -1, 0, 1, 2 in turn.
+LINEAR = "(k - 1) % 5 - 2"
+
+
+@query(f"""WITH x AS (SELECT vec_id AS row_id, k, embedding[k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)), b AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL),
+m AS (SELECT k, avg(v) AS v FROM b GROUP BY 1), z AS (SELECT sum(({LINEAR}) * v) AS base FROM m)
+SELECT row_id, (k - 1)::INT AS feature, round(base, 6) AS base, round(({LINEAR}) * (x.v - m.v), 6) + 0.0 AS phi FROM x JOIN m USING (k) CROSS JOIN z""")
+def shap_linear_vectors(spark, sf_dir):
+    """Shapley values of a linear score of all 64 dimensions, against the mean of each class; the twin has the closed form."""
+    rows = vectors(spark, sf_dir)
+    back = rows.groupBy("label").agg(F.array(*[F.avg(F.col("center")[i]) for i in range(64)]).alias("x"))
+    score = lambda cells: cells.withColumn("value", F.aggregate(F.transform("x", lambda x, i: x * (F.pmod(i, F.lit(5)) - 2)), F.lit(0.0), lambda s, x: s + x))
+    found = shapley.kernel_shap(score, rows.select("row_id", F.col("center").alias("x")), back, 64, 200)
+    long = rounded(found.select("row_id", F.posexplode("phi").alias("feature", "phi"), "base"))
+    return long.withColumn("phi", F.col("phi") + 0.0)
+
+
 @query()
 def lime_importance(spark, sf_dir):
     rows = _two_class(spark, sf_dir)
