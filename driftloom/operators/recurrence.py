@@ -40,13 +40,14 @@ def displacement_by_class(a: DataFrame, b: DataFrame, penalty: float = CLASS_PEN
     return both.select("label", F.coalesce(l2(F.col("x"), F.col("y")), F.lit(penalty)).alias("distance"))
 
 
-def window_distances(centers: DataFrame, penalty: float = MEAN_PENALTY) -> DataFrame:
-    """Mean centroid displacement of all pairs of windows win_a < win_b, over the classes that either has.
+def window_distances(centers: DataFrame, penalty: float = MEAN_PENALTY, pairs: DataFrame | None = None) -> DataFrame:
+    """Mean centroid displacement of all pairs of windows win_a < win_b (or the given pairs), over the classes that either has.
 
     The stream's windows, not its rows, are paired: (win, label, center) holds one row for each window and class.
     """
-    wins = centers.select("win").distinct()
-    pairs = wins.select(F.col("win").alias("win_a")).join(wins.select(F.col("win").alias("win_b")), F.col("win_a") < F.col("win_b"))
+    if pairs is None:
+        wins = centers.select("win").distinct()
+        pairs = wins.select(F.col("win").alias("win_a")).join(wins.select(F.col("win").alias("win_b")), F.col("win_a") < F.col("win_b"))
     labels = centers.select("label").distinct()
     side = lambda s, c: centers.select(F.col("win").alias(f"win_{s}"), "label", F.col("center").alias(c))
     cells = pairs.join(F.broadcast(labels)).join(side("a", "x"), ["win_a", "label"], "left").join(side("b", "y"), ["win_b", "label"], "left").where("x is not null or y is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, drifts, models, streams, summaries  # noqa: F401
+from . import blocks, concepts, drifts, models, streams, summaries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
