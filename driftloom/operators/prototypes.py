@@ -232,3 +232,37 @@ def reassignment_impact(leafed: DataFrame, a: DataFrame, b: DataFrame) -> DataFr
         return rows.groupBy("extra_id").agg(F.abs(F.avg(hit.cast("double")) - F.avg(F.col("hit").cast("double"))).alias("change")).agg(F.avg("change").alias("impact"))
 
     return one_way(a, b).unionAll(one_way(b, a)).agg(F.avg("impact").alias("impact"))
+
+
+def best_two(rows: DataFrame, protos: DataFrame) -> DataFrame:
+    """(row_id, label, predicted, one, two): the likest prototype of each row and the likest of the others, as structs of likeness,
+    proto_id and class; ties go to the lowest id, and two is null where there is one prototype only. Prototypes are few."""
+    listed = protos.agg(F.array_sort(F.collect_list(F.struct("proto_id", "class", F.col("leaves").alias("pl")))).alias("ps"))
+    ranked = F.array_sort(F.transform("ps", lambda p: F.struct((-similarity(F.col("leaves"), p["pl"])).alias("away"), p["proto_id"].alias("proto_id"), p["class"].alias("class"))))
+    return rows.crossJoin(F.broadcast(listed)).withColumn("_r", ranked).select("row_id", "label", "predicted", F.get("_r", F.lit(0)).alias("one"), F.get("_r", F.lit(1)).alias("two"))
+
+
+def contributions(rows: DataFrame, protos: DataFrame, against: str = "predicted") -> DataFrame:
+    """(proto_id, class, contribution): by how much the balanced accuracy of the prototypes falls when one of them is left out.
+
+    The balanced accuracy is the mean over the classes of `against` (the forest's `predicted` or the `label`) of the share of
+    rows whose likest prototype has the class. Without its likest prototype a row falls to the second, so one pass over rows
+    and their best two gives the accuracy without each prototype; only sums by class and prototype are joined. Prototypes
+    that no row is likest to contribute 0; without any other prototype all of the accuracy is lost. Rows without a class
+    don't count.
+    """
+    near = best_two(rows, protos).where(F.col(against).isNotNull())
+    own, other = F.col("one.class").eqNullSafe(F.col(against)), F.coalesce(F.col("two.class") == F.col(against), F.lit(False))
+    cells = near.groupBy(F.col(against).alias("_class"), F.col("one.proto_id").alias("proto_id")).agg(
+        F.count("*").alias("_rows"), (F.sum(own.cast("int")) - F.sum(other.cast("int"))).alias("_lost")
+    )
+    sizes = near.groupBy(F.col(against).alias("_class")).agg(F.count("*").alias("_size"))  # a row for each class
+    classes = sizes.agg(F.count("*").alias("_classes"))
+    falls = cells.join(F.broadcast(sizes), "_class").groupBy("proto_id").agg(F.sum(F.col("_lost") / F.col("_size")).alias("_fall"))
+    out = protos.select("proto_id", "class").join(falls, "proto_id", "left").crossJoin(F.broadcast(classes))
+    return out.select("proto_id", "class", F.coalesce(F.col("_fall") / F.col("_classes"), F.lit(0.0)).alias("contribution"))
+
+
+def mean_contribution(rows: DataFrame, protos: DataFrame, against: str = "predicted") -> DataFrame:
+    """The mean contribution of a set of prototypes."""
+    return contributions(rows, protos, against).agg(F.avg("contribution").alias("contribution"))

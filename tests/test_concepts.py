@@ -129,3 +129,26 @@ def test_windows_far_apart_differ_more(spark):
     mean = lambda rs, c: np.mean([r[c] for r in rs])
     assert mean(apart, "prototype_reassignment_impact") > mean(alike, "prototype_reassignment_impact")
     assert mean(apart, "centroid_displacement") > mean(alike, "centroid_displacement")
+
+
+def test_contribution_is_the_fall_without_each(spark, rows):
+    from driftloom.operators import prototypes
+
+    data = rows.withColumn("predicted", F.col("label")).withColumn("predicted", F.when(F.col("row_id") % 7 == 0, None).otherwise(F.col("predicted")))
+    protos = rows.where("row_id % 23 = 0").select(F.col("row_id").alias("proto_id"), F.col("label").alias("class"), "leaves")
+    all_, sets = [r for r in data.collect() if r.predicted is not None], protos.collect()
+
+    def balanced(ps):
+        hits = {}
+        for r in all_:
+            near = min(ps, key=lambda p: (-sum(x == y for x, y in zip(r.leaves, p.leaves, strict=True)), p.proto_id))
+            hits.setdefault(r.predicted, []).append(near["class"] == r.predicted)
+        return np.mean([np.mean(h) for h in hits.values()])
+
+    found = {r.proto_id: r.contribution for r in prototypes.contributions(data, protos).collect()}
+    assert set(found) == {p.proto_id for p in sets}
+    for p in sets:
+        assert abs(found[p.proto_id] - (balanced(sets) - balanced([q for q in sets if q is not p]))) < 1e-9
+    assert abs(prototypes.mean_contribution(data, protos).first().contribution - np.mean(list(found.values()))) < 1e-9
+    one = protos.limit(1)
+    assert abs(prototypes.contributions(data, one).first().contribution - balanced(one.collect())) < 1e-9
