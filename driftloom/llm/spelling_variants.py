@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -92,34 +93,50 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + 1 :] == b[i:])
 
 
-def near_in_list(indexed: list[tuple[str, int]], asking: list[tuple[str, int]], q: int) -> Iterator[tuple[str, int, str, int]]:
+def near_in_list(indexed: list[tuple[str, int]], asking: list[tuple[str, int]], q: int, shared: tuple[int, ...] = ()) -> Iterator[tuple[str, int, str, int]]:
     """Pairs (a, its n, b, its n) one edit apart of an asking word a and an indexed word b.
 
-    Indexed words have one length, asking words the same or one more. Postings of the indexed words by gram and position
-    are merged in a heap for each asking word, under the positions that one edit allows: the same, or one less where the
-    asking word is longer. Words that come up as often as one edit leaves grams intact are verified.
+    Indexed words have one length, asking words the same or one more. All are known to share the grams at the places `shared`
+    of the indexed words. Postings of the other grams by position are merged in a heap for each asking word, the shortest
+    first, under the positions that one edit allows: the same, or one more where the asking word is longer. Words that come
+    up as often as one edit leaves grams intact are verified; an asking word with fewer lists than that has none.
     """
-    postings = defaultdict(list)
+    size = len(indexed[0][0])
+    places = [p for p in range(size - q + 1) if p not in shared]
+    postings: list[defaultdict[str, list[int]]] = [defaultdict(list) for _ in places]
     for at, (word, _) in enumerate(indexed):
-        for p in range(len(word) - q + 1):
-            postings[word[p : p + q], p].append(at)
-    size = len(indexed[0][0]) if indexed else 0
+        for p, lists in zip(places, postings, strict=True):
+            lists[word[p : p + q]].append(at)
+    lookups = [(p, lists.get) for p, lists in zip(places, postings, strict=True)]
     for a, n in asking:
-        lists = []
-        for p in range(len(a) - q + 1):
-            for at in (p,) if len(a) == size else (p, p - 1):
-                if (a[p : p + q], at) in postings:
-                    lists.append(postings[a[p : p + q], at])
-        bound = len(a) - 2 * q + 1
-        for at, same in groupby(heapq.merge(*lists)):
+        longer = len(a) > size
+        bound = len(a) - 2 * q + 1 - len(shared)
+        lists = [found for p, get in lookups if (found := get(a[p : p + q]))]
+        if longer:
+            lists += [found for p, get in lookups if (found := get(a[p + 1 : p + 1 + q]))]
+        if len(lists) < bound:
+            continue
+        if bound < 1:
+            few, rest = [range(len(indexed))], []
+        else:  # words with `bound` grams are in one of all but the bound - 1 longest lists, which are only looked up
+            lists.sort(key=len)
+            few, rest = lists[: len(lists) - bound + 1], lists[len(lists) - bound + 1 :]
+        for at, same in groupby(heapq.merge(*few) if len(few) > 1 else few[0]):
             b, m = indexed[at]
-            if (len(a) > size or a > b) and sum(1 for _ in same) >= bound and one_edit(a, b):
+            if (longer or a > b) and sum(1 for _ in same) + sum(_holds(x, at) for x in rest) >= bound and one_edit(a, b):
                 yield a, n, b, m
 
 
+def _holds(places: list[int], at: int) -> bool:
+    i = bisect_left(places, at)
+    return i < len(places) and places[i] == at
+
+
 def _list_joiner(q: int):
     """Task: rows come in order of their list and block; each block is held while its pairs are made."""
 
+    shared = lambda key: (key[1] - 1, key[1] + key[2] - 1)  # places of the two grams of a list
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sides = None, ([], [])
         for rows in batches:
@@ -127,11 +144,11 @@ def _list_joiner(q: int):
             keys = zip(*(rows[c] for c in (*_LIST, "i", "a")), strict=True)
             for key, asks, word, n in zip(keys, rows["asks"], rows["word"], rows["n"], strict=True):
                 if key != now:
-                    found += near_in_list(*sides, q) if sides[0] and sides[1] else []
+                    found += near_in_list(*sides, q, shared(now)) if sides[0] and sides[1] else []
                     now, sides = key, ([], [])
                 sides[asks].append((word, n))
             yield pd.DataFrame(found, columns=["a", "n_a", "b", "n_b"])
-        found = list(near_in_list(*sides, q)) if sides[0] and sides[1] else []
+        found = list(near_in_list(*sides, q, shared(now))) if sides[0] and sides[1] else []
         yield pd.DataFrame(found, columns=["a", "n_a", "b", "n_b"])
         give_back()
 
