@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.scratch import materialize
+
 from .classifiers import with_classes
 
 
@@ -124,6 +126,7 @@ def drift_rules(marked: DataFrame, features: list[str], depth: int = 4, min_shar
     range. Columns: rule, text, samples, coverage (of all differing points), confidence. The tree has 2**depth leaves at most,
     which the driver turns into one conditional expression.
     """
+    marked = materialize(marked, "marked-map")  # scored once, read by the tree, its limits and its rules
     total, hits = marked.agg(F.count("*"), F.sum("differ")).first()
     if not hits:
         spark = marked.sparkSession

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.scratch import materialize
+
 #: Rows of one class and block that fitting centres takes; all rows are then assigned to the centres.
 FIT_ROWS = 20_000
 
@@ -354,6 +356,7 @@ def cluster_windows(matrix: DataFrame, min_cluster_size: int = 3) -> DataFrame:
 
     Distances stay distributed; the driver holds a spanning tree, one edge for each window of a thousand rows or more.
     """
+    matrix = materialize(matrix, "window-matrix")  # every round of the tree reads it
     points = sorted(r.i for r in matrix.select("i").distinct().collect())
     labels = density_labels(points, spanning_tree(matrix, min_cluster_size), min_cluster_size)
     return matrix.sparkSession.createDataFrame([(int(w), int(k)) for w, k in labels.items()], "win int, label int")

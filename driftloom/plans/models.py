@@ -181,6 +181,28 @@ def principal_plane(spark, sf_dir):
     return rounded(reduce.lda(rows, names, 2).transform(reduce.pca(rows, names).transform(rows, "pc"), "ld").select("row_id", "label", "pc1", "pc2", "ld1", "ld2"), 4)
 
 
+@query()
+def independent_axes(spark, sf_dir):
+    """Scores of all embeddings on the four axes along which they are least normal."""
+    names = [f"x{i}" for i in range(64)]
+    rows = _vector_rows(spark, sf_dir)
+    return rounded(reduce.ica(rows, names, 4, 30).transform(rows, "ic").select("row_id", "label", *[f"ic{i}" for i in range(1, 5)]), 3)
+
+
+@query()
+def factor_scores(spark, sf_dir):
+    names = [f"x{i}" for i in range(64)]
+    rows = _vector_rows(spark, sf_dir)
+    return rounded(reduce.factor_analysis(rows, names, 3).scores.transform(rows, "f").select("row_id", "label", "f1", "f2", "f3"), 4)
+
+
+@query()
+def landmark_plane(spark, sf_dir):
+    """All embeddings placed by their distances to a hundred of them."""
+    rows = vectors(spark, sf_dir).select("row_id", "label", F.col("center").alias("x"))
+    return rounded(reduce.landmark_scaling(rows, 2, 100).transform(rows).select("row_id", "label", "z1", "z2"), 4)
+
+
 @query(f"WITH {SIGMA} SELECT round(avg(((quantity > 0) <> (discount > 0))::INT), 6) AS rate FROM std WHERE block = 'after'")
 def disagreement_rate(spark, sf_dir):
     """Stumps of both blocks find quantity > 0 and discount > 0, which the twin compares."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftloom.operators import clusters, reports
+from driftloom.sources.scratch import materialize
 from driftloom.sources.tables import event_stream, read, row_windows
 
 from .blocks import EVENTS, ITEMS, SHIFTS, events, items
@@ -20,7 +21,7 @@ def window_prototypes(spark, sf_dir):
     rows = row_windows(event_stream(spark, sf_dir), 1000).select("win", F.col("event_type").alias("label"), "value", "seq")
     keyed = rows.withColumn("_key", F.struct("win", "label"))
     first = reports.first_of_each(keyed, "_key", "seq", 2)
-    return first.select("win", "label", F.col("seq").alias("proto_id"), F.array("value").alias("center"))
+    return materialize(first.select("win", "label", F.col("seq").alias("proto_id"), F.array("value").alias("center")), "first-rows")
 
 
 @query(f"""WITH {FIRSTS}, n AS (SELECT win, count(*) AS rows FROM w GROUP BY 1), c AS (SELECT n.win, rows, coalesce(k, 0) AS k FROM n LEFT JOIN (SELECT win, count(*) AS k FROM pr GROUP BY 1) USING (win))
