@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,3 +67,40 @@ def typed(column: str) -> Column:
     """The narrowest of long, double and string that reads the text, by name."""
     c = F.col(column)
     return F.when(c.try_cast("long").isNotNull(), "long").when(c.try_cast("double").isNotNull(), "double").otherwise("string")
+
+
+#: Categories of a column that are spread over columns of their own.
+MAX_CATEGORIES = 1000
+
+
+@dataclass(frozen=True)
+class ColumnTransformer:
+    """Numbers by mean and deviation, categories as 0/1 columns of all but the first; fitted once, applied to any rows.
+
+    Numbers without spread become 0. Categories that were not there when it was fitted, and missing ones, are 0 in all columns.
+    """
+
+    numbers: dict[str, tuple[float, float]]
+    categories: dict[str, list]
+
+    @classmethod
+    def fit(cls, rows: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> ColumnTransformer:
+        """One pass for all numbers and one for all categories, which are few by a check."""
+        numbers, categories = {}, {}
+        if numeric:
+            got = rows.agg(*[F.struct(F.avg(c), F.stddev_pop(c)) for c in numeric]).first()
+            numbers = {c: (got[i][0] or 0.0, got[i][1] or 1.0) for i, c in enumerate(numeric)}
+        if categorical:
+            pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(categorical)])).alias("p")
+            seen = rows.select(pairs).select("p.*").where("v is not null").distinct().limit(MAX_CATEGORIES * len(categorical) + 1).collect()
+            for i, c in enumerate(categorical):
+                categories[c] = sorted(r.v for r in seen if r.i == i)
+                if len(categories[c]) > MAX_CATEGORIES or len(seen) > MAX_CATEGORIES * len(categorical):
+                    raise ValueError(f"more than {MAX_CATEGORIES} categories in {c}")
+        return cls(numbers, categories)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with their fitted columns replaced: numbers in place, categories as <column>_<category>."""
+        put = {c: (F.col(c) - mean) / deviation for c, (mean, deviation) in self.numbers.items()}
+        made = {f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)) for c, values in self.categories.items() for v in values[1:]}
+        return rows.select(*[put[c].alias(c) if c in put else F.col(c) for c in rows.columns if c not in self.categories], *[x.alias(n) for n, x in made.items()])

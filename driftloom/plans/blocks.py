@@ -222,3 +222,12 @@ def linear_unscale_fit(spark, sf_dir):
 def recoded_customers(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     return c.select("c_custkey", encoding.in_ranges("c_acctbal", [(0, "negative"), (5000, "low")], "high").alias("balance"), encoding.in_set("c_mktsegment", ["BUILDING", "MACHINERY"]).alias("industrial"))
+
+
+@query("""WITH f AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer)
+SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal, (c_mktsegment = 'BUILDING')::INT AS "c_mktsegment_BUILDING", (c_mktsegment = 'FURNITURE')::INT AS "c_mktsegment_FURNITURE",
+ (c_mktsegment = 'HOUSEHOLD')::INT AS "c_mktsegment_HOUSEHOLD", (c_mktsegment = 'MACHINERY')::INT AS "c_mktsegment_MACHINERY" FROM customer, f""")
+def transformed_customers(spark, sf_dir):
+    """Balances by mean and deviation, segments as columns of all but the first."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return rounded(encoding.ColumnTransformer.fit(rows, ["c_acctbal"], ["c_mktsegment"]).transform(rows))

@@ -26,27 +26,40 @@ def normal(seed: int, column: str, mean: float = 0.0, deviation: float = 1.0) ->
     return mean + deviation * F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
 
 
-def drift_probability(position: int, width: int) -> Column:
-    """Share of the new concept around a position: a sigmoid over `width` rows, a hard switch below 2."""
-    if width < 2:
+def drift_probability(position: int, width: int, hard_below: int = 2) -> Column:
+    """Share of the new concept around a position: a sigmoid over `width` rows, a hard switch where it has fewer than hard_below."""
+    if width < hard_below:
         return (F.col("seq") >= position).cast("double")
     x = F.least(F.greatest(-4.0 * (F.col("seq") - position) / width, F.lit(-500.0)), F.lit(500.0))
     return 1 / (1 + F.exp(x))
 
 
-def is_new(seed: int, position: int, width: int) -> Column:
+def is_new(seed: int, position: int, width: int, hard_below: int = 2) -> Column:
     """One mask for features and target of a row."""
-    return uniform(seed, "mix") < drift_probability(position, width)
+    return uniform(seed, "mix") < drift_probability(position, width, hard_below)
 
 
 def _rows(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "seq")
 
 
+#: Thresholds of the four variants, and widths below which the drift is a hard switch.
+SEA_LIMITS = (8.0, 9.0, 7.0, 9.5)
+SEA_HARD_BELOW, HYPERPLANE_HARD_BELOW = 5, 50
+
+
+def sea_variants(spark: SparkSession, n: int, variants: Sequence[int] = (0, 1, 2, 3), seed: int = 42) -> DataFrame:
+    """A stream of n rows in equal parts, one for each variant in turn; rows that don't divide evenly are left out."""
+    part = n // len(variants)
+    limit = F.element_at(F.array(*[F.lit(SEA_LIMITS[v]) for v in variants]), (F.col("seq") / part).cast("int") + 1)
+    df = _rows(spark, part * len(variants)).withColumns({f"x{i}": uniform(seed, f"x{i}", 0, 10) for i in (1, 2, 3)})
+    return df.withColumn("target", (F.col("x1") + F.col("x2") <= limit).cast("int"))
+
+
 def sea(spark: SparkSession, n_before: int, n_after: int, width: int = 1, seed: int = 42, variants: tuple[int, int] = (0, 3)) -> DataFrame:
     """Three features in [0, 10]; the target says whether the first two exceed a threshold that the drift changes."""
-    limits = (8.0, 9.0, 7.0, 9.5)
-    limit = F.when(is_new(seed, n_before, width), limits[variants[1]]).otherwise(limits[variants[0]])
+    limits = SEA_LIMITS
+    limit = F.when(is_new(seed, n_before, width, SEA_HARD_BELOW), limits[variants[1]]).otherwise(limits[variants[0]])
     df = _rows(spark, n_before + n_after).withColumns({f"x{i}": uniform(seed, f"x{i}", 0, 10) for i in (1, 2, 3)})
     return df.withColumn("target", (F.col("x1") + F.col("x2") <= limit).cast("int"))
 
@@ -61,7 +74,7 @@ def hyperplane(spark: SparkSession, n_before: int, n_after: int, n_features: int
     total = lambda ws: reduce(lambda a, b: a + b, (F.col(c) * w for c, w in zip(names, ws, strict=True)))
     new = [1.2 - w if i < n_drift_features else w for i, w in enumerate(weights)]
     label = lambda ws: (total(ws) >= sum(ws) / 2).cast("int")
-    target = F.when(is_new(seed, n_before, width), label(new)).otherwise(label(weights))
+    target = F.when(is_new(seed, n_before, width, HYPERPLANE_HARD_BELOW), label(new)).otherwise(label(weights))
     return df.withColumn("target", F.when(uniform(seed, "noise") < noise, 1 - target).otherwise(target))
 
 
