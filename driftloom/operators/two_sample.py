@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .ordered import by_value, mid_ranks, null_safe_join, numbered, quantiles
 
 KEYS = ["label", "feature"]
-BINS, SMALL, EXACT_SUMS, REACH = 30, 1e-10, 50_000, 9.0
+BINS, SMALL, REACH = 30, 1e-10, 9.0
 
 
 def scaled_by_before(long: DataFrame) -> DataFrame:
@@ -147,6 +147,17 @@ def ad_p_value(stat: Column) -> Column:
     return F.least(F.greatest(inside, F.lit(AD_LEVELS[-1])), F.lit(AD_LEVELS[0]))
 
 
+def harmonic(m: Column, listed: int = 64) -> tuple[Column, Column]:
+    """Sums of 1 / i and of 1 / i**2 up to m: term by term up to `listed`, beyond by their expansions, which are exact in double
+    precision there."""
+    terms = lambda power: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(listed)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.pow(i.cast("double"), F.lit(power)))
+    r = 1.0 / m
+    r2 = r * r
+    first = F.log(m) + 0.5772156649015329 + r / 2 - r2 * (1 / 12 - r2 * (1 / 120 - r2 / 252))
+    second = math.pi**2 / 6 - r * (1 - r / 2 + r2 * (1 / 6 - r2 * (1 / 30 - r2 / 42)))
+    return F.when(m <= listed, terms(1)).otherwise(first), F.when(m <= listed, terms(2)).otherwise(second)
+
+
 def anderson_darling(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-sample Anderson-Darling with mid-ranks: raw statistic a2, normalised stat, p_value and drift."""
     rows = cumulative(long)
@@ -159,12 +170,9 @@ def anderson_darling(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     cells = rows.groupBy(*KEYS).agg(F.max("n0").alias("n_before"), F.max("n1").alias("n_after"), (F.sum(part) * F.max((total - 1) / total)).alias("a2"))
     n = (F.col("n_before") + F.col("n_after")).cast("double")
     big_h = F.try_divide(F.lit(1), F.col("n_before")) + F.try_divide(F.lit(1), F.col("n_after"))
-    few = n <= EXACT_SUMS  # beyond, the sums are at their limits up to terms of log(n) / n
-    last = F.when(few, n - 1).otherwise(2).cast("int")
-    small_h = F.when(few, F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda s, i: s + 1.0 / i)).otherwise(F.log(n - 1) + 0.5772156649015329 + 1 / (2 * (n - 1)))
-    # sum over i < j of 1 / ((n - i) j): for each i the harmonic tail, by one pass that carries both sums
-    tail = F.aggregate(F.sequence(F.lit(2), last), F.struct(F.lit(0.0).alias("g"), (1 / (n - 1)).alias("inner")), lambda s, j: F.struct((s["g"] + s["inner"] / j).alias("g"), (s["inner"] + 1 / (n - j)).alias("inner")), lambda s: s["g"])
-    tail = F.when(few, tail).otherwise(math.pi**2 / 6)
+    small_h, squares = harmonic(n - 1)
+    # the sum over i < j < n of 1 / ((n - i) j) has this closed form, by the convolution of harmonic numbers
+    tail = squares - 2 * small_h / n
     k = 2
     a = (4 * F.col("tail") - 6) * (k - 1) + (10 - 6 * F.col("tail")) * F.col("inverse_sizes")
     bb = (2 * F.col("tail") - 4) * k**2 + 8 * F.col("harmonic") * k + (2 * F.col("tail") - 14 * F.col("harmonic") - 4) * F.col("inverse_sizes") - 8 * F.col("harmonic") + 4 * F.col("tail") - 6

@@ -132,7 +132,19 @@ def anderson_darling_raw(spark, sf_dir):
     return rounded(ts.anderson_darling(events(spark, sf_dir)).select("label", "feature", "a2"))
 
 
-@query()
+#: log p as a quadratic of the critical values, by DuckDB's own normal equations.
+AD_FIT = f"""crit AS (SELECT unnest({list(ts.AD_CRITICAL)}::DOUBLE[]) AS x, ln(unnest({list(ts.AD_LEVELS)}::DOUBLE[])) AS y), sm AS (SELECT count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x ** 2) AS s2, sum(x ** 3) AS s3, sum(x ** 4) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM crit),
+det AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS dt FROM sm), coef AS (SELECT (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / dt AS q0,
+ (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / dt AS q1, (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / dt AS q2 FROM det)"""
+
+
+@query(f"""WITH {ITEMS}, {CUMULATIVE}, t AS (SELECT *, c0 + c1 AS l, n0 + n1 AS n, k0 + k1 - (c0 + c1) / 2 AS b, k0 - c0 / 2 AS m0, k1 - c1 / 2 AS m1 FROM cum),
+a AS (SELECT label, feature, max(n0)::BIGINT AS n_before, max(n1)::BIGINT AS n_after, (max(n) - 1) / max(n) * sum(l / n * ((n * m0 - b * n0) ** 2 / nullif(n0, 0) + (n * m1 - b * n1) ** 2 / nullif(n1, 0)) / nullif(b * (n - b) - n * l / 4, 0)) AS a2 FROM t GROUP BY ALL),
+ns AS (SELECT DISTINCT n_before + n_after AS n FROM a), hs AS (SELECT n, sum(1 / i) AS h, sum(1 / i * (1 / i)) AS h2 FROM ns, range(1, n) r(i) GROUP BY 1),
+v AS (SELECT a.*, hs.n::DOUBLE AS n, 1 / nullif(n_before, 0) + 1 / nullif(n_after, 0) AS hh, h, h2 - 2 * h / hs.n AS g FROM a JOIN hs ON hs.n = n_before + n_after),
+s AS (SELECT *, (a2 - 1) / sqrt((((4 * g - 6) + (10 - 6 * g) * hh) * n ** 3 + ((2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * hh - 8 * h + 4 * g - 6) * n ** 2 + ((6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * hh + 4 * h) * n + (2 * h + 6) * 4 - 8 * h) / ((n - 1) * (n - 2) * (n - 3))) AS stat FROM v), {AD_FIT},
+p AS (SELECT s.*, greatest(least(CASE WHEN stat <= 0.325 THEN 0.25 WHEN stat >= 6.546 THEN 0.001 ELSE exp(q0 + q1 * stat + q2 * stat * stat) END, 0.25), 0.001) AS p_value FROM s, coef)
+SELECT label, feature, n_before, n_after, round(a2, 6) AS a2, CASE WHEN n_before > 0 AND n_after > 0 THEN round(stat, 6) END AS stat, round(p_value, 6) AS p_value, CASE WHEN n_before = 0 OR n_after = 0 THEN true ELSE coalesce(p_value < 0.05, false) END AS drift FROM p""")
 def anderson_darling_test(spark, sf_dir):
     return rounded(ts.anderson_darling(items(spark, sf_dir)))
 

@@ -60,3 +60,19 @@ def test_empty(rows):
     assert ordered.quantiles(none, ["k"], {"m": 0.5}).collect() == []
     long = none.select(F.col("k").alias("label"), F.col("g").alias("feature"), F.lit("before").alias("block"), "value", "id")
     assert block_stats.group_stats(long).collect() == [] and two_sample.spearman(long, ["id"]).collect() == []
+
+
+@pytest.mark.parametrize("listed", [64, 3])
+def test_harmonic_sums(spark, listed):
+    places = [1, 2, 3, 10, 63, 64, 65, 66, 100, 1000, 20_000]
+    h, h2 = two_sample.harmonic(F.col("m").cast("double"), listed)
+    for r in spark.createDataFrame([(m,) for m in places], "m long").select("m", h.alias("h"), h2.alias("h2")).collect():
+        error = 1e-13 if listed == 64 or r.m >= 64 or r.m <= 3 else 1e-8
+        assert abs(r.h - sum(1 / i for i in range(1, r.m + 1))) < error and abs(r.h2 - sum(1 / i**2 for i in range(1, r.m + 1))) < error
+
+
+def test_closed_form_of_the_double_sum(spark):
+    for n in (4, 5, 30, 200):
+        double = sum(1 / ((n - i) * j) for i in range(1, n) for j in range(i + 1, n))
+        h, h2 = two_sample.harmonic(F.lit(float(n - 1)))
+        assert abs(spark.range(1).select((h2 - 2 * h / n).alias("g")).first().g - double) < 1e-12
