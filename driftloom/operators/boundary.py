@@ -81,9 +81,10 @@ def disagreement_rate(rows: DataFrame, features: list[str], before, after) -> Da
     return both.agg(F.avg((F.col("c0") != F.col("c1")).cast("double")).alias("rate"))
 
 
-def disagreement_map(rows: DataFrame, features: list[str], before, after, size: int = 200) -> DataFrame:
-    """The grid with the class and confidence of both models and whether they disagree."""
-    points = grid(rows, Projector.fit(rows, features), size)
+def disagreement_map(rows: DataFrame, features: list[str], before, after, size: int = 200, projector=None) -> DataFrame:
+    """The grid with the class and confidence of both models and whether they disagree, in the plane of principal axes or of a given
+    projector, such as local_affine.LocalAffine."""
+    points = grid(rows, projector or Projector.fit(rows, features), size)
     both = label_points(after, label_points(before, points, features, "c0"), features, "c1")
     return both.withColumn("differ", (F.col("c0") != F.col("c1")).cast("int"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, classifiers, clusters, importance, prototypes, reduce, shapley
+from driftloom.operators import boundary, classifiers, clusters, importance, local_affine, prototypes, reduce, shapley
 from driftloom.operators import recurrence as rc
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
@@ -196,6 +196,14 @@ def factor_scores(spark, sf_dir):
     return rounded(reduce.factor_analysis(rows, names, 3).scores.transform(rows, "f").select("row_id", "label", "f1", "f2", "f3"), 4)
 
 
+@query()
+def local_affine_plane(spark, sf_dir):
+    """All embeddings in a plane, each by a fit of its own to control points."""
+    names = [f"x{i}" for i in range(64)]
+    rows = _vector_rows(spark, sf_dir)
+    return rounded(local_affine.LocalAffine.fit(rows, names, 60).transform(rows).select("row_id", "label", "u", "v"), 4)
+
+
 @query()
 def landmark_plane(spark, sf_dir):
     """All embeddings placed by their distances to a hundred of them."""
