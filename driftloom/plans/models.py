@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import boundary, classifiers, clusters, importance, local_affine, prototypes, reduce, shapley
+from driftloom.operators import boundary, classifiers, clusters, importance, local_affine, neural_projection, prototypes, reduce, shapley
 from driftloom.operators import recurrence as rc
 from driftloom.sources import generators as gen
 from driftloom.sources.tables import read, with_blocks
@@ -204,6 +204,14 @@ def local_affine_plane(spark, sf_dir):
     return rounded(local_affine.LocalAffine.fit(rows, names, 60).transform(rows).select("row_id", "label", "u", "v"), 4)
 
 
+@query()
+def neural_plane(spark, sf_dir):
+    """All embeddings in a plane learnt with their labels."""
+    names = [f"x{i}" for i in range(64)]
+    rows = _vector_rows(spark, sf_dir)
+    return rounded(neural_projection.NeuralPlane.fit(rows, names, epochs=10).transform(rows).select("row_id", "label", "u", "v"), 3)
+
+
 @query()
 def landmark_plane(spark, sf_dir):
     """All embeddings placed by their distances to a hundred of them."""
