@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.scratch import materialize
 
+from .block_stats import group_stats
+
 #: Rows of one class and block that fitting centres takes; all rows are then assigned to the centres.
 FIT_ROWS = 20_000
 
@@ -186,7 +188,9 @@ def cluster_stats(assigned: DataFrame, features: list[str]) -> DataFrame:
     The shift is relative to |before| (or absolute where that is below 1e-10) and NULL where a side is missing.
     """
     long = assigned.unpivot(["label", "cluster", "block"], features, "feature", "value")
-    stats = long.groupBy("label", "cluster", "feature").pivot("block", ["before", "after"]).agg(F.median("value").alias("median"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    cells = group_stats(long, ["label", "cluster", "block", "feature"])
+    side = lambda b: [F.max(F.when(F.col("block") == b, F.col(s))).alias(f"{b}_{s}") for s in ("median", "mean", "std")]
+    stats = cells.groupBy("label", "cluster", "feature").agg(*side("before"), *side("after"))
     stat = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"before_{s}").alias("before"), F.col(f"after_{s}").alias("after")) for s in ("median", "mean", "std")]))
     rows = stats.select("label", "cluster", "feature", stat.alias("s")).select("label", "cluster", "feature", "s.*")
     base = F.when(F.abs("before") < 1e-10, F.lit(1.0)).otherwise(F.abs("before"))
@@ -232,7 +236,7 @@ def detect(rows: DataFrame, features: list[str], t: Thresholds | None = None, k_
     """End to end over standardised rows (label, block, features): strength and decision of each class."""
     t = t or Thresholds()
     limit = t.scaled(t.match, len(features))
-    centers = global_ids(fit_centers(rows, features, k_max, seed), limit).persist()
+    centers = materialize(global_ids(fit_centers(rows, features, k_max, seed), limit), "centers")
     assigned = assign(rows, centers, features)
     count = centers.select("label", "cluster", (F.col("status") != "matched").alias("drift")).distinct()
     return strength(count, flag_stats(cluster_stats(assigned, features), t.stats_shift), centroid_shift(assigned, features, t.scaled(t.centroid_shift, len(features))), mean_distance_shift(assigned, t.distance_shift), t)

@@ -43,7 +43,7 @@ def permutation_importance(model: Model, rows: DataFrame, features: list[str], l
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # 1024 buckets
     at = F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1
-    placed = keyed.join(F.broadcast(counts), "_b").withColumn("at", at).select("at", F.col(label).alias("label"), *features).persist()
+    placed = materialize(keyed.join(F.broadcast(counts), "_b").withColumn("at", at).select("at", F.col(label).alias("label"), *features), "placed")
     base = score(model, placed, features).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     rng = np.random.default_rng(seed)
     offsets = [(f, r, int(rng.integers(1, max(n, 2)))) for f in features for r in range(repeats)]
@@ -80,7 +80,7 @@ def lime_importance(model: Model, rows: DataFrame, features: list[str], n_rows:
     """
     stats = rows.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
     sd = {f: stats[f] or 1.0 for f in features}
-    x = _sample(rows.select(*features), n_rows, seed).withColumn("row", F.monotonically_increasing_id()).persist()
+    x = materialize(_sample(rows.select(*features), n_rows, seed).withColumn("row", F.monotonically_increasing_id()), "explained")
     noise = rows.sparkSession.range(perturbations).select(F.col("id").alias("k"))
     u = lambda f, s: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(f + s), "row", "k"), 11).cast("double") + 1) / (2.0**53 + 1)
     cells = x.crossJoin(F.broadcast(noise)).withColumns({f"z_{f}": F.sqrt(-2 * F.log(u(f, "a"))) * F.cos(2 * math.pi * u(f, "b")) for f in features})

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 CLASS_PENALTY, MEAN_PENALTY = 10.0, 2.0
+#: Prototypes of a class that a row of the other side meets at once.
+BLOCK = 500
 
 
 def class_distribution(windows: DataFrame) -> DataFrame:
@@ -113,9 +115,16 @@ def minimal_distance(a: DataFrame, b: DataFrame, penalty: float = MEAN_PENALTY)
     penalty for each that the larger side has more; prototypes are (class, proto_id, center)."""
     na, nb = (x.groupBy("class").agg(F.count("*").alias(f"n_{s}")) for x, s in ((a, "a"), (b, "b")))
     sizes = na.join(nb, "class", "full_outer").fillna(0, ["n_a", "n_b"])
-    pairs = a.select("class", F.col("proto_id").alias("pa"), F.col("center").alias("x")).join(b.select("class", F.col("proto_id").alias("pb"), F.col("center").alias("y")), "class").withColumn("d", l2(F.col("x"), F.col("y")))
-    near = lambda p, s: pairs.groupBy("class", p).agg(F.min("d").alias("d")).groupBy("class").agg(F.avg("d").alias(f"mean_{s}"))
-    cells = sizes.join(near("pa", "a"), "class", "left").join(near("pb", "b"), "class", "left")
+
+    def near(x: DataFrame, y: DataFrame, s: str, n: str) -> DataFrame:
+        """Mean distance of x to the nearest of y: y in blocks of about BLOCK, so that a row is made for each block, not each pair."""
+        block = F.pmod(F.xxhash64("proto_id"), F.ceil(F.col(n) / BLOCK))
+        blocks = y.join(sizes.select("class", n), "class").groupBy("class", block.alias("_block")).agg(F.collect_list("center").alias("_centers"))
+        least = F.array_min(F.transform("_centers", lambda c: l2(F.col("center"), c)))
+        each = x.join(blocks, "class").groupBy("class", "proto_id").agg(F.min(least).alias("d"))
+        return each.groupBy("class").agg(F.avg("d").alias(f"mean_{s}"))
+
+    cells = sizes.join(near(a, b, "a", "n_b"), "class", "left").join(near(b, a, "b", "n_a"), "class", "left")
     lead = F.when(F.col("n_a") <= F.col("n_b"), F.col("mean_a")).otherwise(F.col("mean_b"))
     return cells.select("class", (F.coalesce(lead, F.lit(0.0)) + penalty * F.abs(F.col("n_a") - F.col("n_b"))).alias("distance"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.sources.scratch import materialize
@@ -64,17 +67,29 @@ def median_filter_2d(matrix: DataFrame, kernel: int) -> DataFrame:
 
 def repair_outliers(labels: DataFrame) -> DataFrame:
     """Labels (stream_id, win, label) where a window between two equal real labels takes theirs, left to right, so that a
-    repaired label counts for the next window. A stream of window labels is short: one value for many rows."""
-    listed = labels.groupBy(STREAM).agg(F.array_sort(F.collect_list(F.struct("win", F.col("label").cast("int").alias("label")))).alias("ls"))
+    repaired label counts for the next window.
 
-    def step(done: Column, k: Column) -> Column:
-        ls = F.col("ls")
-        left, right, own = F.get(done, F.size(done) - 1), F.get(ls, k + 1)["label"], F.get(ls, k)["label"]
-        take = left.isNotNull() & right.isNotNull() & (left == right) & (left != -1)
-        return F.concat(done, F.array(F.when(take, left).otherwise(own)))
+    Each stream is one ordered fold that holds a window and the one before it, batch by batch; streams run in parallel.
+    """
 
-    fold = F.aggregate(F.sequence(F.lit(0), F.size("ls") - 1), F.array().cast("array<int>"), step)
-    return listed.withColumn("done", fold).select(STREAM, F.posexplode("done").alias("at", "label"), "ls").select(STREAM, F.get("ls", F.col("at"))["win"].alias("win"), "label")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, done, held = None, None, None  # the last settled label, and the window that waits for the next one
+        for pdf in batches:
+            out = []
+            for s, win, label in zip(pdf[STREAM], pdf["win"], pdf["label"], strict=True):
+                if held is not None:
+                    same = s == stream and done is not None and done == label and done != -1
+                    done = done if same else held[1]
+                    out.append((stream, held[0], done))
+                if held is None or s != stream:
+                    stream, done = s, None
+                held = win, label
+            yield pd.DataFrame(out, columns=[STREAM, "win", "label"])
+        yield pd.DataFrame([] if held is None else [(stream, *held)], columns=[STREAM, "win", "label"])
+
+    win = labels.schema["win"].dataType.simpleString()
+    ordered = labels.select(STREAM, "win", F.col("label").cast("int").alias("label")).repartition(STREAM).sortWithinPartitions(STREAM, "win")
+    return ordered.mapInPandas(fold, f"{STREAM} string, win {win}, label int")
 
 
 def change_points(labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import boundary, classifiers, clusters, importance, local_affine, neural_projection, prototypes, reduce, shapley
 from driftloom.operators import recurrence as rc
 from driftloom.sources import generators as gen
+from driftloom.sources.scratch import materialize
 from driftloom.sources.tables import read, with_blocks
 
 from .registry import query, rounded
@@ -93,7 +94,7 @@ def apete_prototypes(spark, sf_dir):
 def prototype_quality(spark, sf_dir):
     names = [f"x{i}" for i in range(64)]
     rows = _vector_rows(spark, sf_dir)
-    leafed = prototypes.with_leaves(prototypes.fit_forest(rows, names), rows, names).persist()
+    leafed = materialize(prototypes.with_leaves(prototypes.fit_forest(rows, names), rows, names), "leafed")
     chosen = prototypes.select(leafed, "kmedoids", 2).withColumnRenamed("row_id", "proto_id")
     protos = chosen.join(leafed.select(F.col("row_id").alias("proto_id"), "leaves"), "proto_id")
     return rounded(prototypes.group_metrics(prototypes.assign(leafed, protos)))

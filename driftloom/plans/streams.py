@@ -91,23 +91,31 @@ def change_points(spark, sf_dir):
     return wn.change_points(window_labels(spark, sf_dir)).select("win", "old", "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOP}, l AS (SELECT win, label, lead(label) OVER (ORDER BY win) AS ahead, row_number() OVER (ORDER BY win) AS k FROM lab),
+r AS (SELECT k, win, label AS done FROM l WHERE k = 1 UNION ALL SELECT l.k, l.win, CASE WHEN r.done = l.ahead AND r.done <> -1 THEN r.done ELSE l.label END FROM r JOIN l ON l.k = r.k + 1)
+SELECT 'events' AS stream_id, win, done AS label FROM r""")
 def repaired_labels(spark, sf_dir):
     return wn.repair_outliers(window_labels(spark, sf_dir))
 
 
-@query(f"""WITH {SEQ}, n AS (SELECT seq, event_type, value FROM ev WHERE seq < 5000), k AS (SELECT a.seq, unnest([-2, -1, 0, 1, 2]) AS d FROM n a), b AS (SELECT max(seq) AS hi FROM n)
-SELECT k.seq, round(median(v.value), 6) AS smooth FROM k, b, n v WHERE v.seq = least(greatest(k.seq + k.d, 0), b.hi) GROUP BY k.seq""")
+def _median_of(kernel: int) -> str:
+    return f"""WITH {SEQ}, k AS (SELECT seq, unnest(range({-(kernel // 2)}, {kernel // 2 + 1})) AS d FROM ev), b AS (SELECT max(seq) AS hi FROM ev)
+SELECT k.seq, round(median(v.value), 6) AS smooth FROM k, b, ev v WHERE v.seq = least(greatest(k.seq + k.d, 0), b.hi) GROUP BY k.seq"""
+
+
+def _median_filtered(spark, sf_dir, kernel: int):
+    rows = event_stream(spark, sf_dir).select(F.lit("events").alias("stream_id"), "seq", "value")
+    return rounded(wn.median_filter(rows, kernel).select("seq", "smooth"))
+
+
+@query(_median_of(9))
 def median_filtered_values(spark, sf_dir):
-    rows = event_stream(spark, sf_dir).where("seq < 5000").select(F.lit("events").alias("stream_id"), "seq", "value")
-    return rounded(wn.median_filter(rows, 5).select("seq", "smooth"))
+    return _median_filtered(spark, sf_dir, 9)
 
 
-@query()
+@query(_median_of(5))
 def median_filtered_stream(spark, sf_dir):
-    """As median_filtered_values, whose SQL takes the first 5,000 events, over the whole stream."""
-    rows = event_stream(spark, sf_dir).select(F.lit("events").alias("stream_id"), "seq", "value")
-    return rounded(wn.median_filter(rows, 5).select("seq", "smooth"))
+    return _median_filtered(spark, sf_dir, 5)
 
 
 WIN = f"{SEQ}, w AS (SELECT (seq // 1000)::INT AS win, event_type AS label, value FROM ev WHERE seq // 1000 < (SELECT count(*) // 1000 FROM events))"
@@ -213,21 +221,29 @@ def prototype_coverage(spark, sf_dir):
     return rounded(rc.coverage(rc.nearest_prototype(vectors(spark, sf_dir), prototypes(spark, sf_dir))))
 
 
-@query("""WITH a AS (SELECT vec_id, label AS c, embedding AS v FROM embeddings WHERE vec_id % 25 = 0), b AS (SELECT vec_id, label AS c, embedding AS v FROM embeddings WHERE vec_id % 20 = 1),
+def _minimal(left: str) -> str:
+    return f"""WITH a AS (SELECT vec_id, label AS c, embedding AS v FROM embeddings WHERE {left}), b AS (SELECT vec_id, label AS c, embedding AS v FROM embeddings WHERE NOT ({left})),
 n AS (SELECT c, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb FROM (SELECT c, 'a' AS s FROM a UNION ALL SELECT c, 'b' FROM b) GROUP BY 1),
 d AS (SELECT a.c, a.vec_id AS x, b.vec_id AS y, sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) ** 2))) AS d FROM a JOIN b USING (c)),
 ma AS (SELECT c, avg(d) AS m FROM (SELECT c, x, min(d) AS d FROM d GROUP BY ALL) GROUP BY 1), mb AS (SELECT c, avg(d) AS m FROM (SELECT c, y, min(d) AS d FROM d GROUP BY ALL) GROUP BY 1)
-SELECT n.c AS class, round(coalesce(CASE WHEN na <= nb THEN ma.m ELSE mb.m END, 0) + 2 * abs(na - nb), 6) AS distance FROM n LEFT JOIN ma ON n.c = ma.c LEFT JOIN mb ON n.c = mb.c""")
-def minimal_distance(spark, sf_dir):
+SELECT n.c AS class, round(coalesce(CASE WHEN na <= nb THEN ma.m ELSE mb.m END, 0) + 2 * abs(na - nb), 6) AS distance FROM n LEFT JOIN ma ON n.c = ma.c LEFT JOIN mb ON n.c = mb.c"""
+
+
+def _sides(spark, sf_dir, left):
     v = vectors(spark, sf_dir).select(F.col("row_id").alias("proto_id"), F.col("label").alias("class"), "center")
-    return rounded(rc.minimal_distance(v.where("proto_id % 25 = 0"), v.where("proto_id % 20 = 1")))
+    return rounded(rc.minimal_distance(v.where(left), v.where(~left)))
+
+
+@query(_minimal("embedding[1] > 0"))
+def minimal_distance(spark, sf_dir):
+    """All embeddings on either side of zero in their first dimension."""
+    return _sides(spark, sf_dir, F.col("center")[0] > 0)
 
 
-@query()
+@query(_minimal("vec_id % 2 = 0"))
 def minimal_distance_halves(spark, sf_dir):
-    """As minimal_distance, whose SQL takes 9 % of the rows, between the two halves of all embeddings."""
-    v = vectors(spark, sf_dir).select(F.col("row_id").alias("proto_id"), F.col("label").alias("class"), "center")
-    return rounded(rc.minimal_distance(v.where("proto_id % 2 = 0"), v.where("proto_id % 2 <> 0")))
+    """Two halves of all embeddings."""
+    return _sides(spark, sf_dir, F.col("proto_id") % 2 == 0)
 
 
 @query(f"""WITH {PROTO}, t AS (SELECT label AS u, cls AS v, count(*) AS n FROM near GROUP BY ALL), a AS (SELECT sum(n) AS m FROM t GROUP BY u), b AS (SELECT sum(n) AS m FROM t GROUP BY v),
