@@ -27,6 +27,19 @@ def entropy_and_imbalance(windows: DataFrame) -> DataFrame:
     return shares.groupBy("win").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), (F.max("n") / F.min("n")).alias("imbalance"))
 
 
+def window_composition(windows: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(win, label, n, percent, prototypes): class_distribution with the number of prototypes (win, label) of each class."""
+    held = prototypes.groupBy("win", "label").agg(F.count("*").alias("prototypes"))
+    return class_distribution(windows).join(held, ["win", "label"], "left").fillna(0, ["prototypes"])
+
+
+def window_summary(windows: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(win, rows, prototypes, compression, entropy, imbalance): how many rows a window's prototypes stand for, in percent that they
+    save, and how its classes are spread (see entropy_and_imbalance)."""
+    sizes = window_composition(windows, prototypes).groupBy("win").agg(F.sum("n").alias("rows"), F.sum("prototypes").alias("prototypes"))
+    return sizes.withColumn("compression", 100.0 * (1 - F.col("prototypes") / F.col("rows"))).join(entropy_and_imbalance(windows), "win")
+
+
 def class_means(windows: DataFrame, features: list[str]) -> DataFrame:
     """Mean vector of each class in each window."""
     return windows.groupBy("win", "label").agg(F.array(*[F.avg(f) for f in features]).alias("center"))

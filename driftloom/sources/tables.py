@@ -73,6 +73,15 @@ def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*features).dropna("any")
 
 
+def clamped_windows(before: int, after: int, n_windows: int) -> tuple[int, int]:
+    """Two windows inside a stream of n_windows (two at least), the first before the second: indexes beyond the stream are moved to
+    its ends, and a second one that does not come later to the place behind the first."""
+    if n_windows < 2:
+        raise ValueError("a stream of fewer than two windows has no pair")
+    before = min(max(before, 0), n_windows - 2)
+    return before, min(max(after, before + 1), n_windows - 1)
+
+
 def pair_of_windows(df: DataFrame, before: int, after: int) -> DataFrame:
     """The rows of two windows of a windowed stream, tagged as blocks."""
     if not 0 <= before < after:

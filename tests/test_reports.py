@@ -158,3 +158,11 @@ def test_windows_cluster_as_in_memory(spark):
         got = {r.win: r.label for r in clusters.cluster_windows(matrix).collect()}
         assert [got[i] for i in range(len(x))] == clusters.hdbscan(d).tolist()
         assert len(set(got.values())) >= 3
+
+
+def test_clamped_windows():
+    from driftloom.sources.tables import clamped_windows
+
+    assert clamped_windows(3, 5, 10) == (3, 5) and clamped_windows(-4, 99, 10) == (0, 9) and clamped_windows(9, 2, 10) == (8, 9) and clamped_windows(4, 4, 10) == (4, 5)
+    with pytest.raises(ValueError, match="fewer than two"):
+        clamped_windows(0, 1, 1)
