@@ -229,20 +229,29 @@ def disagreement_rate(spark, sf_dir):
     return rounded(boundary.disagreement_rate(rows.where("block = 'after'"), FEATURES, *models))
 
 
+def _events_in_blocks(spark, sf_dir) -> tuple[int, int]:
+    """Events before and from 2024-01-15 on: generated streams are as long as the stream that they stand beside."""
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    return tuple(read(spark, sf_dir, "events").agg(F.count(F.when(early, 1)), F.count(F.when(~early, 1))).first())
+
+
 @query()
 def sea_stream(spark, sf_dir):
-    return gen.sea(spark, 1000, 1000, 200)
+    """A generated stream whose concept moves where the events' second block begins."""
+    before, after = _events_in_blocks(spark, sf_dir)
+    return gen.sea(spark, before, after, 200)
 
 
 @query()
 def multi_window_stream(spark, sf_dir):
-    return gen.multi_window(spark, "rbf", 30, 1000, "9000,18000", 500)
+    """Windows of a generated stream, as many as the events fill, with drifts after a third and two thirds of them."""
+    n = max(3, sum(_events_in_blocks(spark, sf_dir)) // 500)
+    return gen.multi_window(spark, "rbf", n, 500, f"{n // 3 * 500},{2 * n // 3 * 500}", 200)
 
 
 @query()
 def generated_stream_drift(spark, sf_dir):
-    """Distances between the windows of a generated stream, whose concepts are known."""
-    rows = gen.multi_window(spark, "sea", 20, 1000, "10000", 1).withColumn("win", F.floor(F.col("seq") / 1000).cast("int")).withColumn("label", F.col("target"))
+    """Distances between the windows of a generated stream as long as the events, whose concepts are known."""
+    n = max(4, sum(_events_in_blocks(spark, sf_dir)) // 500)
+    rows = gen.multi_window(spark, "sea", n, 500, f"{n // 2 * 500}", 1).withColumn("win", F.floor(F.col("seq") / 500).cast("int")).withColumn("label", F.col("target"))
     return rounded(rc.window_distances(rc.class_means(rows, ["x0", "x1", "x2"])))
-
-
