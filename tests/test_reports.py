@@ -166,3 +166,20 @@ def test_clamped_windows():
     assert clamped_windows(3, 5, 10) == (3, 5) and clamped_windows(-4, 99, 10) == (0, 9) and clamped_windows(9, 2, 10) == (8, 9) and clamped_windows(4, 4, 10) == (4, 5)
     with pytest.raises(ValueError, match="fewer than two"):
         clamped_windows(0, 1, 1)
+
+
+def test_margin_classifier(spark):
+    import random
+
+    from driftloom.operators import boundary, classifiers
+
+    rng = random.Random(3)
+    points = [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(400)]
+    rows = spark.createDataFrame([(x, y, int(x + 2 * y > 0.1)) for x, y in points], "x double, y double, label int")
+    model = classifiers.fit(rows, ["x", "y"], preset="svm")
+    assert classifiers.accuracy(model, rows).first().accuracy > 0.97
+    for r in classifiers.with_classes(model, rows).collect():
+        assert abs(sum(r.predicted_p) - 1) < 1e-12 and (r.predicted_p[1] > 0.5) == (r.predicted == 1)
+    other = classifiers.fit(rows.withColumn("label", (rows.x > 0).cast("int")), ["x", "y"], preset="svm")
+    marked = boundary.disagreement_map(rows, ["x", "y"], model, other, size=20)
+    assert 0 < marked.where("differ = 1").count() < 400
