@@ -21,8 +21,9 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Puts the state of streaming queries that start from now on into RocksDB."""
+    """Puts the state of streaming queries that start from now on into RocksDB, of which batches write what they changed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +155,7 @@ def prequential_stream(rows: DataFrame, features: Sequence[str], width: float =
 
 def sliding_windows(rows: DataFrame, size: int, step: int, idle_ms: int | None = None) -> DataFrame:
     """(stream_id, win, last, mean) of rows (stream_id, seq, value): window win holds `size` rows from row win * step on, as soon as
-    its last row (seq `last`) arrives. With idle_ms, streams are forgotten after so long without rows."""
+    its last row (seq `last`) arrives. With idle_ms, streams are forgotten after so long without rows; such a query waits for its
+    timers, so a run of what is available now would not end."""
     mode = "none" if idle_ms is None else "processingTime"
     return rows.groupBy("stream_id").transformWithStateInPandas(SlidingProcessor(size, step, idle_ms), "stream_id string, win long, last long, mean double", "append", mode)

@@ -12,6 +12,8 @@ from driftloom.streaming import stateful
 @pytest.fixture(scope="module")
 def rows(spark):
     stateful.use_state_store(spark)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # every partition has a state store with files of its own
     rng, out = random.Random(1), []
     for s in ("a", "b"):
         for i in range(900):
@@ -20,20 +22,17 @@ def rows(spark):
             out.append((s, i, None if i % 97 == 5 else label, None if i % 101 == 7 else rng.gauss(label * 2 + shift, 1), rng.gauss(-label, 2), int(rng.random() < (0.6 if i > 500 else 0.1)), float(i % 13)))
     yield spark.createDataFrame(out, "stream_id string, seq long, label int, x double, y double, err int, value double").cache()
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
-def stream(spark, rows, folder, op, starts=2):
-    """Rows in three micro-batches of mixed order; the query stops and starts anew from its checkpoint in between."""
+def stream(spark, rows, folder, op):
+    """Rows in three micro-batches of mixed order; before the last the query stops and starts anew from its checkpoint."""
     source, sink, check = (str(folder / x) for x in ("in", "out", "check"))
-    for k in range(3):
-        rows.where(F.floor(F.col("seq") / 300) == k).orderBy(F.xxhash64("seq")).coalesce(1).write.mode("append").parquet(source)
-        if k < starts:
-            run = op(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
-            q = run.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
-            q.awaitTermination()
-    q = op(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)).writeStream.format("parquet")
-    q = q.option("path", sink).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for parts in ((0, 1), (2,)):
+        for k in parts:
+            rows.where(F.floor(F.col("seq") / 300) == k).orderBy(F.xxhash64("seq")).coalesce(1).write.mode("append").parquet(source)
+        arriving = op(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)).writeStream.format("parquet")
+        arriving.option("path", sink).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return sorted(map(tuple, spark.read.parquet(sink).collect()), key=repr)
 
 
@@ -50,12 +49,33 @@ def test_learner(spark, rows, tmp_path):
 
 
 def test_sliding(spark, rows, tmp_path):
-    found = stream(spark, rows, tmp_path, lambda s: stateful.sliding_windows(s.select("stream_id", "seq", "value"), 100, 40, 3_600_000))
+    found = stream(spark, rows, tmp_path, lambda s: stateful.sliding_windows(s.select("stream_id", "seq", "value"), 100, 40))
     values = [float(i % 13) for i in range(900)]
     want = [(s, k, 40 * k + 99, sum(values[40 * k : 40 * k + 100]) / 100) for s in "ab" for k in range(21)]
     assert found == sorted(want, key=repr)
 
 
+def test_idle_streams_are_forgotten(spark, rows, tmp_path):
+    import time
+
+    source = str(tmp_path / "in")
+    put = lambda low: rows.where(f"stream_id = 'a' and seq >= {low} and seq < {low + 10}").select("stream_id", "seq", "value").coalesce(1).write.mode("append").parquet(source)
+    put(0)
+    arriving = spark.readStream.schema("stream_id string, seq long, value double").parquet(source)
+    query = stateful.sliding_windows(arriving, 5, 5, 1000).writeStream.format("memory").queryName("slid").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while spark.table("slid").count() < 2 and time.time() < until:
+            time.sleep(0.5)
+        time.sleep(8)
+        put(10)
+        while spark.table("slid").count() < 4 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted((r.win, r.last) for r in spark.table("slid").collect()) == [(0, 4), (0, 14), (1, 9), (1, 19)]
+
+
 def brute(rows, width=bayes.WIDTH):
     out, known = [], {}
     for r in rows:
