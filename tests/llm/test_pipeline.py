@@ -42,4 +42,4 @@ def test_stages_on_the_small_tables(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [f"op{n}_{q}" for n, q in enumerate(("sharding", "decontamination", "quality_rules", "quality_classifier", "license_scan", "ngram_join", "html_extraction", "packing", "language_id", "secrets"), 1)]
+    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [f"op{n}_{q}" for n, q in enumerate(("sharding", "decontamination", "quality_rules", "quality_classifier", "license_scan", "ngram_join", "html_extraction", "packing", "language_id", "secrets", "lexical_search", "exact_dedup", "spelling_variants"), 1)]
