@@ -16,8 +16,8 @@ from driftloom.sources.scratch import materialize
 from .nearest import nearest
 
 CLASS_PENALTY, MEAN_PENALTY = 10.0, 2.0
-#: Prototypes of a class that a row of the other side meets at once, and prototypes that are broadcast at once.
-BLOCK, MAX_PROTOTYPES = 500, 65_536
+#: Prototypes of a class on either side that meet in one task, and prototypes that are broadcast at once.
+BLOCK, MAX_PROTOTYPES = 4_096, 65_536
 
 
 def class_distribution(windows: DataFrame) -> DataFrame:
@@ -163,21 +163,31 @@ def coverage(assigned: DataFrame) -> DataFrame:
 
 def minimal_distance(a: DataFrame, b: DataFrame, penalty: float = MEAN_PENALTY) -> DataFrame:
     """By class, the mean distance of each prototype of the smaller side to its nearest on the larger side, plus the
-    penalty for each that the larger side has more; prototypes are (class, proto_id, center)."""
+    penalty for each that the larger side has more; prototypes are (class, proto_id, center).
+
+    Of each class only the smaller side asks. Both sides are cut into blocks of about BLOCK; two blocks meet in one task, which
+    returns a row for each that asks. Places that the larger side has several times count once.
+    """
     na, nb = (x.groupBy("class").agg(F.count("*").alias(f"n_{s}")) for x, s in ((a, "a"), (b, "b")))
-    sizes = na.join(nb, "class", "full_outer").fillna(0, ["n_a", "n_b"])
-
-    def near(x: DataFrame, y: DataFrame, s: str, n: str) -> DataFrame:
-        """Mean distance of x to the nearest of y: y in blocks of about BLOCK, so that a row is made for each block, not each pair."""
-        block = F.pmod(F.xxhash64("proto_id"), F.ceil(F.col(n) / BLOCK))
-        blocks = y.join(sizes.select("class", n), "class").groupBy("class", block.alias("_block")).agg(F.collect_list("center").alias("_centers"))
-        least = F.array_min(F.transform("_centers", lambda c: l2(F.col("center"), c)))
-        each = x.join(blocks, "class").groupBy("class", "proto_id").agg(F.min(least).alias("d"))
-        return each.groupBy("class").agg(F.avg("d").alias(f"mean_{s}"))
-
-    cells = sizes.join(near(a, b, "a", "n_b"), "class", "left").join(near(b, a, "b", "n_a"), "class", "left")
-    lead = F.when(F.col("n_a") <= F.col("n_b"), F.col("mean_a")).otherwise(F.col("mean_b"))
-    return cells.select("class", (F.coalesce(lead, F.lit(0.0)) + penalty * F.abs(F.col("n_a") - F.col("n_b"))).alias("distance"))
+    sizes = materialize(na.join(nb, "class", "full_outer").fillna(0, ["n_a", "n_b"]), "sizes")
+    both = a.withColumn("_side", F.lit("a")).unionByName(b.withColumn("_side", F.lit("b")), allowMissingColumns=True).where("center is not null").join(sizes, "class")
+    few = (F.col("_side") == "a") == (F.col("n_a") <= F.col("n_b"))
+    blocks = lambda n: F.ceil(F.greatest(n("n_a", "n_b"), F.lit(1)) / BLOCK)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    asks = both.where(few).select("class", "proto_id", "center", F.pmod(F.xxhash64("proto_id"), blocks(F.least)).alias("x"), spread(F.greatest).alias("y"))
+    places = both.where(~few).select("class", "center", blocks(F.greatest).alias("_n"), F.col("n_a"), F.col("n_b")).distinct()
+    asked = places.select(F.col("class").alias("c"), F.col("center").alias("at"), F.pmod(F.xxhash64("center"), F.col("_n")).alias("v"), spread(F.least).alias("u"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d = nearest(np.stack(x["center"].to_list()).astype(float), np.stack(y["at"].to_list()).astype(float))[1] if len(x) and len(y) else np.zeros(0)
+        few = x.iloc[: len(d)]
+        return pd.DataFrame({"class": few["class"], "proto_id": few["proto_id"], "d": d})
+
+    kinds = dict(asks.dtypes)
+    each = asks.groupBy("class", "x", "y").cogroup(asked.groupBy("c", "u", "v")).applyInPandas(near, f"class {kinds['class']}, proto_id {kinds['proto_id']}, d double")
+    means = each.groupBy("class", "proto_id").agg(F.min("d").alias("d")).groupBy("class").agg(F.avg("d").alias("mean"))
+    cells = sizes.join(means, "class", "left")
+    return cells.select("class", (F.coalesce("mean", F.lit(0.0)) + penalty * F.abs(F.col("n_a") - F.col("n_b"))).alias("distance"))
 
 
 def contingency(assigned: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

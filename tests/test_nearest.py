@@ -44,3 +44,18 @@ def test_nearest_prototype(points, monkeypatch, at_once):
     want = {r.row_id: min((float(nn.exact_distances(np.array([r.center]), np.array([c]))[0]), i, k) for i, k, c in sets) for r in points.collect()}
     assert {r.row_id: (r.distance, r.proto_id, r.proto_class) for r in found.collect()} == want
     assert rc.nearest_prototype(points, protos.where("proto_id < 0")).where("proto_id is null").count() == 300
+
+
+@pytest.mark.parametrize("block", [4_096, 9])
+def test_minimal_distance_in_blocks(points, monkeypatch, block):
+    monkeypatch.setattr(rc, "BLOCK", block)
+    sets = points.withColumnsRenamed({"row_id": "proto_id", "label": "class"}).where("class < 2 or proto_id < 200")
+    a, b = sets.where("proto_id % 5 = 0 and class > 0 or proto_id % 5 > 0 and class = 0"), sets.where("proto_id % 5 > 0 and class > 0")
+    sides = [{c: [r.center for r in s.collect() if r["class"] == c] for c in range(3)} for s in (a, b)]
+    found = rc.minimal_distance(a, b)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()  # blocks meet blocks, rows don't
+    for r in found.collect():
+        few, many = sorted((s[r["class"]] for s in sides), key=len)
+        mean = np.mean([min(np.linalg.norm(np.subtract(x, y)) for y in many) for x in few]) if few and many else 0
+        assert r.distance == pytest.approx(mean + 2.0 * (len(many) - len(few)))
+    assert found.count() == 3
