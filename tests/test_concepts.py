@@ -88,6 +88,19 @@ def test_measures_by_definition(rows):
         assert abs(impacts[a, b] - sum(ways) / 2) < 1e-9
 
 
+@pytest.mark.parametrize("sides", [(256, 32), (2, 1)])
+def test_all_windows_meet_in_blocks(rows, monkeypatch, sides):
+    monkeypatch.setattr(cc, "SIDES", sides)
+    protos = cc.select_by_window(rows, tree_weights(leaf_counts(rows)))
+    found = cc.window_measures(rows, protos)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan and "Generate explode" in plan  # no row for each row and pair
+    given = cc.window_measures(rows, protos, cc.all_pairs(protos)).collect()
+    key = lambda r: (r.win_a, r.win_b)
+    pairs = zip(sorted(found.collect(), key=key), sorted(given, key=key), strict=True)
+    assert len(given) == 6 and all(np.allclose(tuple(a), tuple(b), atol=1e-12) for a, b in pairs)
+
+
 def test_equal_groupings_agree():
     assert all(abs(v - 1) < 1e-9 for v in cc.indices(np.diag([5, 9, 3])))
     assert abs(cc.indices(np.array([[10, 10], [10, 10]]))[0]) < 0.06
