@@ -14,10 +14,13 @@ from pyspark.sql.functions import pandas_udf
 from driftloom.sources.scratch import materialize
 
 from .nearest import nearest
+from .tiles import for_each_pair, pack
 
 CLASS_PENALTY, MEAN_PENALTY = 10.0, 2.0
 #: Prototypes of a class on either side that meet in one task, and prototypes that are broadcast at once.
 BLOCK, MAX_PROTOTYPES = 4_096, 65_536
+#: Windows on either side whose distances one task takes.
+SIDES = 512, 256
 
 
 def class_distribution(windows: DataFrame) -> DataFrame:
@@ -60,14 +63,60 @@ def displacement_by_class(a: DataFrame, b: DataFrame, penalty: float = CLASS_PEN
     return both.select("label", F.coalesce(l2(F.col("x"), F.col("y")), F.lit(penalty)).alias("distance"))
 
 
+def class_distances(first: pd.DataFrame, second: pd.DataFrame, penalty: float, matched: bool) -> pd.DataFrame:
+    """(win_a, win_b, distance) of packed windows of first that come before those of second: the mean over the classes that either
+    has of the distance of its centers. A class has one center, and costs the penalty where one is missing; matched, it has
+    any number, the smaller side looks up the nearest of the larger, and each that has no partner adds the penalty."""
+    both = pd.concat([first, second], ignore_index=True)
+    sizes = both["labels"].map(len).to_numpy(int)
+    codes, names = pd.factorize(np.concatenate([np.asarray(x, object) for x in both["labels"]] or [np.zeros(0, object)]))
+    void = np.concatenate([np.asarray(x, bool) for x in both["void"]] or [np.zeros(0, bool)])
+    lengths = np.array([len(f) for f in both["flat"]], int)
+    dim = int(max([-(-f // max(n, 1)) for f, n in zip(lengths, sizes, strict=True)], default=1)) or 1
+    values = np.concatenate([np.asarray(f, float) for f in both["flat"]] or [np.zeros(0)]).reshape(-1, dim)
+    owner = np.repeat(np.arange(len(both)), sizes)
+    nulls = np.bincount(owner[codes < 0], minlength=len(both)) > 0
+    n, wins = len(first), both["win"].to_numpy()
+    total, count = np.zeros((n, len(both) - n)), np.zeros((n, len(both) - n), np.int64)
+    if matched:
+        count += nulls[:n, None] | nulls[None, n:]
+    for c in range(len(names)):
+        mine = np.flatnonzero(codes == c)
+        place = np.arange(len(mine)) - np.searchsorted(owner[mine], owner[mine])
+        m = int(place.max()) + 1
+        at, blank, held = np.full((m, len(both), dim), np.inf), np.zeros((m, len(both)), bool), np.bincount(owner[mine], minlength=len(both))
+        at[place, owner[mine]], blank[place, owner[mine]] = values[mine], void[mine]
+        na, nb = held[:n, None], held[None, n:]
+        with np.errstate(all="ignore"):
+            away = lambda i, j: np.sqrt(sum(((at[i, :n, k][:, None] - at[j, None, n:, k]) ** 2 for k in range(dim)), 0.0))  # noqa: E731, B023
+            if matched:
+                near = [np.full((m, *total.shape), np.inf) for _ in range(2)]
+                for i in range(m):
+                    for j in range(m):
+                        there = (held[:n, None] > i) & (held[None, n:] > j)
+                        d = np.where(there, away(i, j), np.inf)
+                        near[0][i], near[1][j] = np.fmin(near[0][i], d), np.fmin(near[1][j], d)
+                mean = lambda x, k: np.where(np.arange(m)[:, None, None] < k, x, 0.0).sum(0) / np.maximum(k, 1)  # noqa: E731, B023
+                d = np.where(np.minimum(na, nb) > 0, np.where(na <= nb, mean(near[0], na), mean(near[1], nb)), 0.0) + penalty * np.abs(na - nb)
+            else:
+                d = np.where((na > 0) & (nb > 0) & ~blank[0, :n, None] & ~blank[0, None, n:], away(0, 0), penalty)
+        some = (na > 0) | (nb > 0)
+        total += np.where(some, d, 0.0)
+        count += some
+    i, j = np.nonzero((count > 0) & (wins[:n, None] < wins[None, n:]))
+    return pd.DataFrame({"win_a": wins[i], "win_b": wins[n + j], "distance": total[i, j] / count[i, j]})
+
+
 def window_distances(centers: DataFrame, penalty: float = MEAN_PENALTY, pairs: DataFrame | None = None) -> DataFrame:
     """Mean centroid displacement of all pairs of windows win_a < win_b (or the given pairs), over the classes that either has.
 
     The stream's windows, not its rows, are paired: (win, label, center) holds one row for each window and class.
     """
     if pairs is None:
-        wins = centers.select("win").distinct()
-        pairs = wins.select(F.col("win").alias("win_a")).join(wins.select(F.col("win").alias("win_b")), F.col("win_a") < F.col("win_b"))
+        sets = materialize(pack(centers.where("label is not null")), "window-centers")
+        win = centers.schema["win"].dataType.simpleString()
+        measure = lambda a, b: class_distances(a, b, penalty, False)
+        return for_each_pair(sets, sets, measure, f"win_a {win}, win_b {win}, distance double", SIDES)
     labels = centers.select("label").distinct()
     side = lambda s, c: centers.select(F.col("win").alias(f"win_{s}"), "label", F.col("center").alias(c))
     cells = pairs.join(F.broadcast(labels)).join(side("a", "x"), ["win_a", "label"], "left").join(side("b", "y"), ["win_b", "label"], "left").where("x is not null or y is not null")
@@ -76,10 +125,10 @@ def window_distances(centers: DataFrame, penalty: float = MEAN_PENALTY, pairs: D
 
 def full_matrix(distances: DataFrame, n: int) -> DataFrame:
     """Both triangles and the zero diagonal of windows 0 .. n - 1, as (i, j, value)."""
-    up = distances.select(F.col("win_a").cast("int").alias("i"), F.col("win_b").cast("int").alias("j"), F.col("distance").alias("value"))
-    spark = distances.sparkSession
-    diagonal = spark.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0.0).alias("value"))
-    return up.unionAll(up.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")).unionAll(diagonal)
+    cell = lambda i, j: F.struct(F.col(i).cast("int").alias("i"), F.col(j).cast("int").alias("j"), F.col("distance").alias("value"))
+    both = distances.select(F.explode(F.array(cell("win_a", "win_b"), cell("win_b", "win_a"))).alias("c")).select("c.*")  # distances are taken once
+    diagonal = distances.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(0.0).alias("value"))
+    return both.unionAll(diagonal)
 
 
 def matrix_summary(matrix: DataFrame) -> DataFrame:

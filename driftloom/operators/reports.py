@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.scratch import materialize
+
 from .clusters import assignment
 from .ordered import by_value, null_safe_join, numbered
+from .recurrence import SIDES, class_distances, window_distances
+from .tiles import for_each_pair, pack
 
 #: Distinct labels that can be matched on the driver; points whose neighbours are sought in one broadcast.
 MAX_MATCHED, MAX_POINTS = 2_000, 5_000
@@ -221,8 +225,9 @@ def window_minimal_distances(prototypes: DataFrame, penalty: float = 2.0, pairs:
     its rows. Of each class the smaller side looks up the larger one; each prototype without a partner adds the penalty.
     """
     if pairs is None:
-        wins = prototypes.select("win").distinct()
-        pairs = wins.select(F.col("win").alias("win_a")).join(wins.select(F.col("win").alias("win_b")), F.col("win_a") < F.col("win_b"))
+        sets = materialize(pack(prototypes), "window-prototypes")
+        win = prototypes.schema["win"].dataType.simpleString()
+        return for_each_pair(sets, sets, lambda a, b: class_distances(a, b, penalty, True), f"win_a {win}, win_b {win}, distance double", SIDES)
     listed = prototypes.groupBy("win", "label").agg(F.collect_list("center").alias("cs"))  # the prototypes of one class in one window
     side = lambda s: listed.select(F.col("win").alias(f"win_{s}"), "label", F.col("cs").alias(f"c_{s}"))
     classes = pairs.join(listed.select(F.col("win").alias("win_a"), "label"), "win_a").union(pairs.join(listed.select(F.col("win").alias("win_b"), "label"), "win_b").select("win_a", "win_b", "label")).distinct()
@@ -239,19 +244,17 @@ def window_minimal_distances(prototypes: DataFrame, penalty: float = 2.0, pairs:
 
 def compare_windows(prototypes: DataFrame, metric: str, first: int | None = None, second: int | None = None) -> DataFrame:
     """Two windows, one against all later and earlier ones, or all pairs, by `minimal_distance` or `centroid_displacement`."""
-    from .recurrence import window_distances
-
     wins = prototypes.select("win").distinct()
     if first is not None:
         others = wins.where(F.col("win") == second if second is not None else F.col("win") != first)
         pairs = others.select(F.least("win", F.lit(first)).alias("win_a"), F.greatest("win", F.lit(first)).alias("win_b"))
     else:
-        pairs = wins.select(F.col("win").alias("win_a")).join(wins.select(F.col("win").alias("win_b")), F.col("win_a") < F.col("win_b"))
+        pairs = None
     if metric == "minimal_distance":
         return window_minimal_distances(prototypes, pairs=pairs)
     if metric == "centroid_displacement":
         n = F.posexplode("center").alias("k", "x")
         means = prototypes.select("win", "label", n).groupBy("win", "label", "k").agg(F.avg("x").alias("x")).groupBy("win", "label")
         centers = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("center"))
-        return window_distances(centers).join(pairs, ["win_a", "win_b"], "left_semi")
+        return window_distances(centers if pairs is None else materialize(centers, "centers"), pairs=pairs)
     raise ValueError(f"unknown metric: {metric}")

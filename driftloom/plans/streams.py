@@ -173,7 +173,7 @@ SELECT round(threshold, 6) AS threshold, tp, fn, tn, fp, round(accuracy, 6) AS a
  round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM r""")
 def threshold_sweep(spark, sf_dir):
     d = distances(spark, sf_dir).withColumn("distance", F.col("distance") / 100)
-    concepts = d.select(F.col("win_a").alias("win")).union(d.select("win_b")).distinct().select("win", (F.col("win") % 2).alias("concept"))
+    concepts = labelled_windows(spark, sf_dir).select("win").distinct().select("win", (F.col("win") % 2).alias("concept"))
     return rounded(rc.threshold_sweep(d, concepts))
 
 

@@ -1,0 +1,33 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftloom.operators import recurrence as rc
+from driftloom.operators import reports
+
+
+@pytest.fixture
+def sets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(w), "abc"[int(rng.integers(0, 3))] if rng.random() < 0.9 else None, i, [float(v) for v in rng.random(2)]) for i, w in enumerate(rng.integers(0, 11, 60))]
+    return spark.createDataFrame([*rows, (20, "z", 99, [0.5, 0.5])], "win int, label string, proto_id long, center array<double>").cache()
+
+
+@pytest.mark.parametrize("sides", [(512, 256), (2, 1)])
+@pytest.mark.parametrize("metric", ["minimal_distance", "centroid_displacement"])
+def test_all_pairs_equal_given_pairs(sets, monkeypatch, metric, sides):
+    for module in (rc, reports):
+        monkeypatch.setattr(module, "SIDES", sides)
+    found = reports.compare_windows(sets, metric)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each pair and class
+    centers = sets.groupBy("win", "label").agg(F.array(*[F.avg(F.col("center")[k]) for k in range(2)]).alias("center"))
+    wins = sets.select("win").distinct()
+    pairs = wins.withColumnRenamed("win", "win_a").join(wins.withColumnRenamed("win", "win_b"), F.col("win_a") < F.col("win_b"))
+    given = reports.window_minimal_distances(sets, pairs=pairs) if metric == "minimal_distance" else rc.window_distances(centers, pairs=pairs)
+    got, want = ({(r.win_a, r.win_b): r.distance for r in x.collect()} for x in (found, given))
+    assert set(got) == set(want) and len(want) == 66 and all(got[p] == pytest.approx(want[p], abs=1e-12) for p in want)
+
+
+def test_one_against_all_pairs_no_others(sets):
+    plan = reports.compare_windows(sets, "centroid_displacement", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "FlatMapCoGroups" not in plan
