@@ -18,6 +18,8 @@ from .tiles import for_each_pair, pack
 
 #: Distinct labels that can be matched on the driver; points whose neighbours are sought in one broadcast.
 MAX_MATCHED, MAX_POINTS = 2_000, 5_000
+#: Points, and rows, whose distances a task holds at once.
+MEET = 512
 
 
 def stream_totals(windows: DataFrame, prototypes: DataFrame) -> DataFrame:
@@ -103,11 +105,38 @@ def clustering_accuracy(assigned: DataFrame, truth: str, cluster: str, outlier=N
     return both.select("rows", "outliers", accuracy.alias("accuracy"), (accuracy * (1 - F.col("outliers") / F.col("rows"))).alias("accuracy_with_outliers"))
 
 
+def _keep_nearest(best: tuple[np.ndarray, np.ndarray, np.ndarray], centers: np.ndarray, x: np.ndarray, row_ids: np.ndarray) -> None:
+    """Merges rows x into the (distance, row_id, there) of the nearest of each center so far; MEET centers at a time meet all of x."""
+    k = best[0].shape[1]
+    for i in range(0, len(centers), MEET):
+        some = slice(i, min(i + MEET, len(centers)))
+        total = np.zeros((some.stop - i, len(x)))
+        for c in range(x.shape[1]):
+            d = x[:, c] - centers[some, c, None]
+            d *= d
+            total += d
+        bar = best[0][some, -1]  # squares of distances up to the bar lie within a rounding of its square
+        point, row = np.nonzero(total <= (bar * bar * (1 + 1e-12))[:, None]) if np.isfinite(bar).all() else np.nonzero(total <= np.partition(total, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1, None] * (1 + 1e-12))
+        if not len(point):
+            continue
+        hit = np.unique(point)
+        old, at = np.nonzero(best[2][some][hit])
+        owner = np.r_[point, hit[old]]
+        distance = np.r_[np.sqrt(total[point, row]), best[0][some][hit][old, at]]
+        rid = np.r_[row_ids[row], best[1][some][hit][old, at]]
+        order = np.lexsort((rid, distance, owner))
+        owner, distance, rid = owner[order], distance[order], rid[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        keep = place < k
+        for kept, values in zip(best, (distance, rid, np.ones(len(rid), bool)), strict=True):
+            kept[i + owner[keep], place[keep]] = values[keep]
+
+
 def nearest_rows(points: DataFrame, rows: DataFrame, k: int = 6) -> DataFrame:
     """(point_id, row_id, place, distance): the k rows nearest to each point, ties to the lower row_id.
 
     points: (point_id, center), rows: (row_id, center). Points are broadcast in blocks of MAX_POINTS; each task keeps k
-    rows for each point, so k rows a task and point are shuffled.
+    rows for each point, so k rows a task and point are shuffled. Distances are held for MEET points and rows at a time.
     """
     spark, out = points.sparkSession, None
     n = points.count()
@@ -117,17 +146,15 @@ def nearest_rows(points: DataFrame, rows: DataFrame, k: int = 6) -> DataFrame:
 
         def nearest(batches, sent=sent):
             ids, centers = sent.value
-            best = None
+            best = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), np.zeros((len(ids), k), bool)
             for pdf in batches:
                 if not len(ids) or not len(pdf):
                     continue
                 x = np.stack([np.asarray(c, float) for c in pdf["center"]])
-                d = np.sqrt(((centers[:, None] - x[None]) ** 2).sum(2)) if len(ids) * x.size < 5_000_000 else np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centers])
-                found = pd.DataFrame({"point_id": np.repeat(ids, len(x)), "row_id": np.tile(pdf["row_id"], len(ids)), "distance": d.ravel()})
-                found = found if best is None else pd.concat([best, found])
-                best = found.sort_values(["point_id", "distance", "row_id"]).groupby("point_id").head(k)
-            if best is not None:
-                yield best
+                for i in range(0, len(x), MEET):
+                    _keep_nearest(best, centers, x[i : i + MEET], pdf["row_id"].to_numpy()[i : i + MEET])
+            point, place = np.nonzero(best[2])
+            yield pd.DataFrame({"point_id": ids[point], "row_id": best[1][point, place], "distance": best[0][point, place]})
 
         kinds = dict(points.dtypes) | dict(rows.dtypes)
         part = rows.select("row_id", "center").mapInPandas(nearest, f"point_id {kinds['point_id']}, row_id {kinds['row_id']}, distance double")

@@ -58,6 +58,20 @@ def test_nearest_rows(spark, square, monkeypatch):
         assert [got[p, k] for k in (1, 2, 3)] == want
 
 
+def test_nearest_rows_hold_few_distances(spark, monkeypatch):
+    """Ties and many batches; distances of a whole batch to all points are never a table."""
+    monkeypatch.setattr(reports, "MEET", 16)
+    rows = spark.range(400).select(F.col("id").alias("row_id"), F.array((F.col("id") * 7 % 10).cast("double"), (F.col("id") % 3).cast("double")).alias("center"))
+    points = rows.where("row_id % 8 = 0").withColumnRenamed("row_id", "point_id")
+    all_ = {r.row_id: r.center for r in rows.collect()}
+    found = {}
+    for r in reports.nearest_rows(points, rows.repartition(3), 5).collect():
+        found.setdefault(r.point_id, {})[r.place] = (r.distance, r.row_id)
+    for p in range(0, 400, 8):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(c, all_[p], strict=True)) ** 0.5, i) for i, c in all_.items())[:5]
+        assert [found[p][k] for k in range(1, 6)] == want
+
+
 def test_capped_split_and_positions(square):
     parts = {(r.label, r.part): r.n for r in reports.capped_split(square, "label", "row_id", 0.9, 100).groupBy("label", "part").agg(F.count("*").alias("n")).collect()}
     assert abs(sum(n for (_, part), n in parts.items() if part == "train") - 100) <= 1
