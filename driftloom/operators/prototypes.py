@@ -56,6 +56,7 @@ class _Greedy:
         self.labels, self.ids = few["label"].to_numpy(), few["row_id"].to_numpy()
         self.leaves = np.array(few["leaves"].tolist()).reshape(len(few), -1)
         self.of = {c: np.flatnonzero(self.labels == c) for c in sorted(self.sizes)}
+        self.path: dict[object, list[tuple[float, int]]] = {}
 
     def _sums(self, where, of: np.ndarray, part) -> np.ndarray:
         """part(candidates, rows, labels, numbers) summed over all rows."""
@@ -76,16 +77,34 @@ class _Greedy:
         sent.unpersist()
         return out
 
-    def gains(self, label, chosen: list[int]) -> np.ndarray:
-        """By how much each candidate of a class raises the sum of its rows' best likeness to what is chosen."""
-        taken = self.leaves[chosen]
+    def gains(self, chosen: dict[object, list[int]]) -> dict[object, np.ndarray]:
+        """By how much each candidate raises the sum of its class's best likeness to what is chosen of that class: several
+        classes in one pass, as a class's gains depend on its own choices only."""
+        leaves, of = self.leaves, {c: self.of[c] for c in chosen}
+        sent = self.rows.sparkSession.sparkContext.broadcast((leaves, of, chosen))
 
-        def part(candidates, rows, labels, n):
-            best = _likeness(taken, rows).max(0) if len(taken) else np.zeros(len(rows), np.float32)
-            return (np.maximum(_likeness(candidates, rows) - best, 0).astype(float) * n).sum(1)
-
-        out = np.round(self._sums(F.col("label").eqNullSafe(F.lit(label)), self.of[label], part), 6)
-        out[np.isin(self.of[label], chosen)] = -1
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            leaves, of, chosen = sent.value
+            total = np.zeros(len(leaves))
+            for pdf in batches:
+                for c, mine in pdf.groupby("label", dropna=False):
+                    if c not in of or not len(of[c]):
+                        continue
+                    for i in range(0, len(mine), 500):
+                        rows, n = np.array(mine["leaves"].iloc[i : i + 500].tolist()), mine["n"].to_numpy(float)[i : i + 500]
+                        best = _likeness(leaves[chosen[c]], rows).max(0) if len(chosen[c]) else np.zeros(len(rows), np.float32)
+                        total[of[c]] += (np.maximum(_likeness(leaves[of[c]], rows) - best, 0).astype(float) * n).sum(1)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "part": total[at]})
+
+        found = self.rows.where(F.col("label").isin(list(chosen))).mapInPandas(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("sum")).collect()
+        sums = np.zeros(len(leaves))
+        for r in found:
+            sums[r["at"]] = r["sum"]
+        sent.unpersist()
+        out = {c: np.round(sums[of[c]], 6) for c in chosen}
+        for c in chosen:
+            out[c][np.isin(of[c], chosen[c])] = -1
         return out
 
     def hits(self, chosen: list[int]) -> np.ndarray:
@@ -104,27 +123,36 @@ class _Greedy:
     def medoids(self, label, k: int) -> list[int]:
         chosen: list[int] = []
         for _ in range(min(k, len(self.of[label]))):
-            chosen.append(int(self.of[label][self.gains(label, chosen).argmax()]))
+            chosen.append(int(self.of[label][self.gains({label: chosen})[label].argmax()]))
         return chosen
 
+    def sequence(self, label, depth: int, classes: list) -> tuple[float, int]:
+        """The best gain of a class after its first `depth` choices, and the candidate that has it. Choices of a class don't depend on
+        other classes, so one pass takes the next choice of all classes that are no further; it is kept."""
+        while len(self.path.setdefault(label, [])) <= depth:
+            at = len(self.path[label])
+            ask = {c: [i for _, i in self.path.setdefault(c, [])] for c in classes if len(self.of[c]) and len(self.path.setdefault(c, [])) <= at}
+            for c, gain in self.gains(ask).items():
+                self.path[c].append((gain.max(), int(self.of[c][gain.argmax()])))
+        return self.path[label][depth]
+
     def over_classes(self, classes: list, n: int | None, weighted: bool, alpha: float | None = None) -> dict[object, list[int]]:
         """Each time a row of the class that gains most (by the share of its size if weighted).
 
         It stops at n rows; with alpha, where a gain falls within alpha of the one before; and where nothing gains.
         """
         chosen, last = {c: [] for c in classes}, None
-        gain = {c: self.gains(c, []) for c in classes if len(self.of[c])}
-        while gain and (n is None or sum(map(len, chosen.values())) < n):
-            value = lambda c: gain[c].max() / self.sizes[c] if weighted else gain[c].max()
-            c = max(gain, key=value)
+        held = [c for c in classes if len(self.of[c])]
+        while held and (n is None or sum(map(len, chosen.values())) < n):
+            value = lambda c: self.sequence(c, len(chosen[c]), held)[0] / (self.sizes[c] if weighted else 1)
+            c = max(held, key=value)
             top = value(c)
             if top <= 1e-6 / (self.sizes[c] if weighted else 1):
                 break
             if alpha is not None and last is not None and abs(last - top) / top <= alpha and all(chosen.values()):
                 break
             last = top
-            chosen[c].append(int(self.of[c][gain[c].argmax()]))
-            gain[c] = self.gains(c, chosen[c])
+            chosen[c].append(self.sequence(c, len(chosen[c]), held)[1])
         return chosen
 
     def accurate(self, n: int) -> list[int]:

@@ -251,3 +251,13 @@ def test_tfidf(spark):
     docs = spark.createDataFrame([("a b a",), ("a c",), (None,)], "text string")
     rows = text.tfidf(text.fit_tfidf(docs.dropna()), docs).collect()
     assert len(rows) == 3 and len(rows[0].features) == 3 and rows[2].features.numNonzeros() == 0
+
+
+def test_choices_of_all_classes_take_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 6)), [int(v) for v in rng.integers(0, 3, 4)]) for i in range(240)]
+    leafed = spark.createDataFrame(rows, "row_id long, label int, leaves array<int>")
+    passes, gains = [], prototypes._Greedy.gains
+    monkeypatch.setattr(prototypes._Greedy, "gains", lambda self, *args: passes.append(1) or gains(self, *args))
+    picks = prototypes.select(leafed, "total", 12).collect()
+    assert len(picks) == 12 and len(passes) <= 1 + max(sum(r["class"] == c for r in picks) for c in range(6))
