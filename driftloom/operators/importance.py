@@ -31,27 +31,50 @@ def score(model: Model, rows: DataFrame, features: list[str]) -> DataFrame:
     return data.withColumn("p1", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability")
 
 
+def _cut(runs: DataFrame, size: int) -> DataFrame:
+    """Runs (_lo, _hi) cut at multiples of `size`; `_block` is the multiple. A long run is cut in two steps, so no array is long."""
+    first, last, step = F.floor(F.col("_lo") / size), F.floor((F.col("_hi") - 1) / size), 4096
+    coarse = runs.withColumn("_block", F.explode(F.sequence(first, last, F.lit(step).cast("long")))).withColumn("_last", F.least(F.col("_block") + step - 1, last))
+    fine = coarse.withColumn("_block", F.explode(F.sequence("_block", "_last"))).drop("_last")
+    return fine.withColumns({"_lo": F.greatest("_lo", F.col("_block") * size), "_hi": F.least("_hi", (F.col("_block") + 1) * size)})
+
+
 def permutation_importance(model: Model, rows: DataFrame, features: list[str], label: str = "label", repeats: int = 30, seed: int = 0) -> DataFrame:
     """(feature, importance, deviation): mean and population deviation of the fall of accuracy when a feature is shuffled.
 
-    Rows are numbered by hash order in buckets; for each repeat a feature takes the value of the row a random offset away, so
-    the shuffle is one equi-join by position and all repeats are scored in one pass.
+    Rows are put in hash order of their features; for each repeat a feature takes the value of the row a random offset away.
+    Rows with equal features follow each other, so they are kept as one run with counts of its labels: what is moved and scored
+    is where runs meet shifted runs, at most about four times the different rows for each repeat. Which of a run's rows meets
+    which value is open; its mean over all orders counts. Runs meet in blocks of positions that hold one run on average.
     """
-    n = rows.count()
-    keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *features)).withColumn("_b", F.shiftright("_h", 54))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    counted = rows.groupBy(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_label")).agg(F.count("*").alias("_n"))
+    known = F.when(F.col("_label").isNotNull(), F.struct("_label", "_n"))
+    runs = materialize(counted.groupBy(*features).agg(F.sum("_n").alias("_size"), F.map_from_entries(F.collect_list(known)).alias("_labels")), "runs")
+    n, different = (x or 0 for x in runs.agg(F.sum("_size"), F.count("*")).first())
+    keyed = runs.withColumn("_h", F.xxhash64(F.lit(seed), *features)).withColumn("_b", F.shiftright("_h", 54))
+    counts = keyed.groupBy("_b").agg(F.sum("_size").alias("_n"))
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # 1024 buckets
-    at = F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy("_h")) - 1
-    placed = materialize(keyed.join(F.broadcast(counts), "_b").withColumn("at", at).select("at", F.col(label).alias("label"), *features), "placed")
-    base = score(model, placed, features).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    ends = F.col("_off") + F.sum("_size").over(Window.partitionBy("_b").orderBy("_h", *features).rowsBetween(Window.unboundedPreceding, 0))
+    placed = keyed.join(F.broadcast(counts), "_b").withColumn("_hi", ends).withColumn("_lo", F.col("_hi") - F.col("_size")).drop("_h", "_b", "_off")
+    placed = materialize(placed, "placed")
+    right = F.coalesce(F.try_element_at("_labels", F.col("prediction")), F.lit(0)) / F.col("_size")
+    labelled = F.aggregate(F.map_values("_labels"), F.lit(0).cast("long"), lambda s, x: s + x)
+    rights, total = score(model, placed, features).agg(F.sum(right * F.col("_size")), F.sum(labelled)).first()
+    base = rights / total if total else None
     rng = np.random.default_rng(seed)
     offsets = [(f, r, int(rng.integers(1, max(n, 2)))) for f in features for r in range(repeats)]
-    plan = rows.sparkSession.createDataFrame(offsets, "feature string, repeat int, offset long")  # repeats x features rows
-    wide = placed.crossJoin(F.broadcast(plan)).withColumn("from", F.pmod(F.col("at") + F.col("offset"), F.lit(n)))
-    donors = placed.select(F.col("at").alias("from"), F.struct(*features).alias("donor"))
-    mixed = wide.join(donors, "from").withColumns({f: F.when(F.col("feature") == f, F.col(f"donor.{f}")).otherwise(F.col(f)) for f in features})
-    falls = score(model, mixed.drop("donor"), features).groupBy("feature", "repeat").agg((F.lit(base) - F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("fall"))
-    return falls.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_pop("fall").alias("deviation"))
+    plan = rows.sparkSession.createDataFrame(offsets, "_feature string, _repeat int, _offset long")  # repeats x features rows
+    size = -(-n // max(different, 1)) or 1
+    twice = placed.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(n).cast("long")))).withColumns({"_lo": F.col("_lo") + F.col("_turn"), "_hi": F.col("_hi") + F.col("_turn")})
+    givers = _cut(placed, size).crossJoin(F.broadcast(plan)).withColumn("_by", F.lit(n) - F.pmod("_offset", F.lit(max(n, 1))))
+    value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f)) for f in features])
+    givers = givers.select("_feature", "_repeat", value.alias("_value"), (F.col("_lo") + F.col("_by")).alias("_from"), (F.col("_hi") + F.col("_by")).alias("_to"))
+    givers = givers.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor((F.col("_to") - 1) / size))))  # two blocks at most
+    shared = F.least("_hi", "_to") - F.greatest("_lo", "_from")
+    mixed = _cut(twice.drop("_turn"), size).join(givers, "_block").withColumn("_shared", shared).where("_shared > 0")
+    mixed = mixed.withColumns({f: F.when(F.col("_feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features})
+    falls = score(model, mixed, features).groupBy("_feature", "_repeat").agg((F.lit(base) - F.sum(right * F.col("_shared")) / F.lit(total)).alias("fall"))
+    return falls.groupBy(F.col("_feature").alias("feature")).agg(F.avg("fall").alias("importance"), F.stddev_pop("fall").alias("deviation"))
 
 
 def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
