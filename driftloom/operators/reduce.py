@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +30,32 @@ class Projection:
 
 
 def _moments(rows: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count of rows, means, and covariances of the population; of two features over the rows that have both.
+
+    Tasks send d x d sums of products around the means, made batch by batch in matrix products; the driver gets them summed.
+    """
     d = len(features)
-    got = rows.agg(F.count("*"), *[F.avg(f) for f in features], *[F.covar_pop(a, b) for i, a in enumerate(features) for b in features[i:]]).first()
-    cov, at = np.zeros((d, d)), d + 1
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = got[at]
-            at += 1
-    return got[0], np.array(got[1 : d + 1], float), cov
+    held = rows.select(*[F.col(f).cast("double").alias(f) for f in features])
+    n, *mean = held.agg(F.count("*"), *[F.avg(f) for f in features]).first()
+    mean = np.array(mean, float)
+    centre = np.nan_to_num(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, sums, products = np.zeros((3, d, d))
+        for batch in batches:
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.where(there > 0, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre, 0.0)
+            both += there.T @ there
+            sums += x.T @ there
+            products += x.T @ x
+        i, j = np.indices((d, d)).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (i, j, both, sums, products)], ["i", "j", "n", "s", "p"])
+
+    n_both, sums, products = np.zeros((3, d, d))
+    for r in held.mapInArrow(run, "i int, j int, n double, s double, p double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nsp"]).collect():
+        n_both[r.i, r.j], sums[r.i, r.j], products[r.i, r.j] = r.n, r.s, r.p
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, mean, products / n_both - sums * sums.T / n_both**2
 
 
 def _signed(axes: np.ndarray) -> np.ndarray:
@@ -52,12 +71,12 @@ def pca(rows: DataFrame, features: list[str], k: int = 2) -> Projection:
 
 def lda(rows: DataFrame, features: list[str], k: int = 1, label: str = "label") -> Projection:
     """The k directions, fewer than classes, that separate class means most in units of the spread within classes."""
-    classes = [r[0] for r in rows.select(label).distinct().collect()]
+    classes = rows.groupBy(label).agg(F.count("*"), *[F.avg(f) for f in features]).collect()
     if k >= len(classes):
         raise ValueError(f"{len(classes)} classes allow fewer than {len(classes)} directions")
     n, mean, total = _moments(rows, features)
     between = np.zeros_like(total)
-    for r in rows.groupBy(label).agg(F.count("*"), *[F.avg(f) for f in features]).collect():
+    for r in classes:
         gap = np.array(r[2:], float) - mean
         between += r[1] / n * np.outer(gap, gap)
     values, vectors = np.linalg.eig(np.linalg.pinv(total - between) @ between)

@@ -79,7 +79,7 @@ def hdbscan_windows(spark, sf_dir):
 
 
 def _vector_rows(spark, sf_dir):
-    return vectors(spark, sf_dir).select("row_id", "label", *[F.col("center")[i].alias(f"x{i}") for i in range(64)])
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
 
 
 @query()

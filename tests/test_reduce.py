@@ -63,3 +63,27 @@ def test_too_few_directions(spark):
         reduce.ica(rows, names, 2)
     with pytest.raises(ValueError, match="span fewer"):
         reduce.landmark_scaling(rows.select("row_id", F.array(*names).alias("x")), 2)
+
+
+def test_moments_are_those_of_the_covariance_functions(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4)) + [0, 1e6, -3, 5]
+    rows = spark.createDataFrame([(*[None if (i + j) % 7 == 0 and j < 3 else float(v) for j, v in enumerate(r)], None) for i, r in enumerate(x)], "a double, b double, c double, d double, e double")
+    names = list("abcde")
+    n, mean, cov = reduce._moments(rows, names)
+    want = rows.agg(*[F.avg(f) for f in names], *[F.covar_pop(a, b) for a in names for b in names]).first()
+    assert n == 500 and np.allclose(mean, np.array(want[:5], float), equal_nan=True)
+    assert np.allclose(cov, np.array(want[5:], float).reshape(5, 5), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_moments_send_one_matrix(spark):
+    """The plan of 64 features has no aggregate for each of their pairs."""
+    seen = []
+    rows, names = frame(spark, np.random.default_rng(5).normal(size=(50, 64)))
+    agg = type(rows).agg
+    try:
+        type(rows).agg = lambda self, *e: seen.append(len(e)) or agg(self, *e)
+        found = reduce.pca(rows, names)
+    finally:
+        type(rows).agg = agg
+    assert max(seen) <= 65 and np.allclose(found.axes @ found.axes.T, np.eye(2))
