@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: Numbers in the mixed rows that a task scores at once.
+MIXED = 2_000_000
+
 
 def coalitions(d: int, budget: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Proper, non-empty coalitions of d features as rows of a mask, and the weight of each in the fit.
@@ -102,6 +106,58 @@ def kernel_shap(score: Callable[[DataFrame], DataFrame], rows: DataFrame, backgr
     return listed_means.select("row_id", solved("vs").alias("s")).select("row_id", "s.base", "s.phi")
 
 
+def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
+    """The first d numbers of each list as a row; what is null or missing is NaN."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count == 0 and (sizes == d).all():
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+    out = np.full((len(column), d), np.nan)
+    for to, found in zip(out, column.to_pylist(), strict=True):
+        given = (found or [])[:d]
+        to[: len(given)] = np.array(given, float)
+    return out
+
+
+def kernel_shap_arrays(score: Callable[[np.ndarray], np.ndarray], rows: DataFrame, background: DataFrame, d: int, budget: int | None = None, seed: int = 0) -> DataFrame:
+    """What kernel_shap gives, for a score that numpy can take: a matrix of rows and d features -> one number for each row.
+
+    A task mixes, scores and solves its rows a few at a time, so nothing is shuffled but the rows, which are dealt evenly.
+    Background rows go to all tasks with the function. Their scores of NaN, as nulls give, are left out of means. Null features
+    give null values. Each row has values of its own, also of equal row_id.
+    """
+    masks, weights = coalitions(d, 2 * d + 2048 if budget is None else budget, seed)
+    solve, spread = solution(masks, weights, d)
+    taken = np.vstack([masks, np.ones((1, d), bool), np.zeros((1, d), bool)])[:, None, :]
+    held = background.select(F.col("x").cast("array<double>")).collect()  # small by choice of the caller
+    back = _matrix(pa.array([r[0] for r in held], pa.list_(pa.float64())), d)
+    at_once = max(1, MIXED // max(1, taken.size * len(back)))
+    id_type = rows.schema["row_id"].dataType.simpleString()
+
+    def values(x: np.ndarray) -> np.ndarray:
+        mixed = np.where(taken, x[:, None, None, :], back)
+        v = np.asarray(score(mixed.reshape(-1, d)), float).reshape(mixed.shape[:-1])
+        there = ~np.isnan(v)
+        if there.all():
+            return v.mean(2)
+        with np.errstate(invalid="ignore"):
+            return np.where(there, v, 0.0).sum(2) / there.sum(2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), d)
+            if not len(x) or not len(back):
+                continue
+            v = np.vstack([values(x[i : i + at_once]) for i in range(0, len(x), at_once)])
+            base, total = v[:, -1], v[:, -2] - v[:, -1]
+            phi = (v[:, :-2] - base[:, None]) @ solve.T
+            phi += np.outer(total - phi.sum(1), spread)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * d + 1, d), pa.int32()), pa.array(phi.ravel(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, from_pandas=True), lists], ["row_id", "base", "phi"])
+
+    dealt = rows.select("row_id", F.col("x").cast("array<double>").alias("x")).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"row_id {id_type}, base double, phi array<double>")
+
+
 def probability_of(model: Model, vector: str = "_x", label: int = 1) -> Callable[[DataFrame], DataFrame]:
     """A score for kernel_shap: the probability of one class by a model that reads the column `vector`."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftloom.operators import boundary, classifiers, clusters, importance, local_affine, neural_projection, prototypes, reduce, shapley
@@ -132,8 +133,7 @@ def shap_linear_vectors(spark, sf_dir):
     """Shapley values of a linear score of all 64 dimensions, against the mean of each class; the twin has the closed form."""
     rows = vectors(spark, sf_dir)
     back = rows.groupBy("label").agg(F.array(*[F.avg(F.col("center")[i]) for i in range(64)]).alias("x"))
-    score = lambda cells: cells.withColumn("value", F.aggregate(F.transform("x", lambda x, i: x * (F.pmod(i, F.lit(5)) - 2)), F.lit(0.0), lambda s, x: s + x))
-    found = shapley.kernel_shap(score, rows.select("row_id", F.col("center").alias("x")), back, 64, 128)
+    found = shapley.kernel_shap_arrays(lambda x: x @ (np.arange(64) % 5 - 2.0), rows.select("row_id", F.col("center").alias("x")), back, 64, 128)
     long = rounded(found.select("row_id", F.posexplode("phi").alias("feature", "phi"), "base"))
     return long.withColumn("phi", F.col("phi") + 0.0)
 

@@ -189,7 +189,7 @@ half AS (SELECT label, k, vec_id % 2 AS h, avg(x) AS c FROM e GROUP BY ALL), d A
 
 
 def vectors(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("center"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("center"))
 
 
 def _mean_vector(rows):

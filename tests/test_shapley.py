@@ -87,3 +87,34 @@ def test_importance_of_many_features(spark):
 def test_empty(spark):
     x, back = frames(spark, np.zeros((1, 3)), np.zeros((1, 3)))
     assert shapley.kernel_shap(lambda c: c.withColumn("value", F.lit(1.0)), x.where("false"), back, 3).collect() == []
+
+
+@pytest.mark.parametrize("budget", [254, 60])
+def test_arrays_like_columns(spark, data, budget):
+    """Scored in numpy inside tasks: the same values, with a null feature and a null row too, and no join, grouping or row for each coalition."""
+    x, back = data
+    rows, few = frames(spark, x, back)
+    holes = spark.createDataFrame([(100, [None, *map(float, x[0, 1:])]), (101, None)], "row_id long, x array<double>")
+    rows = rows.unionAll(holes)
+    found = shapley.kernel_shap_arrays(curved, rows, few, 8, budget)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    found = {r.row_id: r for r in found.collect()}
+    want = {r.row_id: r for r in shapley.kernel_shap(curved_column, rows, few, 8, budget).collect()}
+    assert set(found) == set(want)
+    for k, r in want.items():
+        assert found[k].base == pytest.approx(r.base, abs=1e-12) and [v is None for v in found[k].phi] == [v is None for v in r.phi] and np.allclose(np.array(found[k].phi, float), np.array(r.phi, float), atol=1e-9, equal_nan=True)
+
+
+def test_explained_vectors_are_not_multiplied(spark):
+    """shap_linear_vectors: no join and no row for each coalition and background row."""
+    from driftloom.plans.catalog import QUERIES
+
+    plan = QUERIES["shap_linear_vectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_arrays_of_nothing(spark):
+    x, back = frames(spark, np.zeros((1, 3)), np.zeros((1, 3)))
+    assert shapley.kernel_shap_arrays(lambda m: m.sum(1), x.where("false"), back, 3).collect() == []
+    assert shapley.kernel_shap_arrays(lambda m: m.sum(1), x, back.where("false"), 3).collect() == []
