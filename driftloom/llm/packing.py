@@ -28,6 +28,8 @@ LONG_WORD, MERGED_WORDS, NONE = 32, 20_000, 2**31 - 1
 SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Signs that are one part at the end of a word of letters, whatever the letters are.
+END_SIGNS = pa.array(list(".,;:!?)]}\"'"))
 NOT_PLAIN = "[^\x00-\x1b\x20-\u012f]"  # the last four before the space are white space in some libraries only
 
 class Merges:
@@ -141,20 +143,28 @@ class Words:
         """Put new distinct words and their parts into memory; where the words are then."""
         alone = pc.utf8_is_alpha(words)
         odd = words.filter(pc.invert(alone))
-        split = pc.split_pattern(pc.replace_substring_regex(odd, SPLIT, "\\1\n"), "\n")  # the last part is empty
-        parts = pa.concat_arrays([words.filter(alone), split.flatten()]).dictionary_encode()
+        body, sign = pc.utf8_slice_codeunits(odd, 0, -1), pc.utf8_slice_codeunits(odd, -1)
+        ended = pc.and_(pc.utf8_is_alpha(body), pc.is_in(sign, value_set=END_SIGNS))
+        hard = odd.filter(pc.invert(ended))
+        split = pc.split_pattern(pc.replace_substring_regex(hard, SPLIT, "\\1\n"), "\n")  # the last part is empty
+        given = [words.filter(alone), body.filter(ended), sign.filter(ended), split.flatten()]
+        parts = pa.concat_arrays(given).dictionary_encode()
         places = self._places(parts.dictionary)
         unknown = places < 0
         if unknown.any():
             new = parts.dictionary.filter(pa.array(unknown))
             places[unknown] = len(self.known) + np.arange(len(new))
             self._add(new, *self._merge(new.to_numpy(zero_copy_only=False).tolist()))
-        places = places[parts.indices.to_numpy()]
-        out, alone = np.empty(len(words), np.int64), alone.to_numpy(zero_copy_only=False)
-        out[alone] = places[: alone.sum()]
-        out[~alone] = len(self.known) + np.arange(len(odd))
-        ids, ends = self._gather(places[alone.sum() :])
-        self._add(odd, ids, np.diff(np.concatenate([[0], ends])[split.offsets.to_numpy()]))
+        whole, bodies, signs, rest = np.split(places[parts.indices.to_numpy()], np.cumsum([len(x) for x in given[:-1]]))
+        out, alone, ended = np.empty(len(words), np.int64), alone.to_numpy(zero_copy_only=False), ended.to_numpy(zero_copy_only=False)
+        out[alone] = whole
+        odd_places = np.empty(len(odd), np.int64)
+        odd_places[ended] = len(self.known) + np.arange(len(bodies))
+        odd_places[~ended] = len(self.known) + len(bodies) + np.arange(len(hard))
+        out[~alone] = odd_places
+        ids, ends = self._gather(np.concatenate([np.column_stack([bodies, signs]).ravel(), rest]))
+        bounds = np.concatenate([2 * np.arange(len(bodies)), 2 * len(bodies) + split.offsets.to_numpy() - split.offsets[0].as_py()])
+        self._add(pa.concat_arrays([odd.filter(pa.array(ended)), hard]), ids, np.diff(np.concatenate([[0], ends])[bounds]))
         return out
 
     def _forget(self) -> None:
@@ -167,7 +177,8 @@ class Words:
         """Ids of each text as unsigned 32-bit numbers; none for null."""
         texts = texts.fill_null("")
         whole = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, NOT_PLAIN)).to_numpy(zero_copy_only=False)
-        plain = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(whole), "", texts)))
+        guarded = pa.concat_arrays([pc.if_else(pa.array(whole), "", texts), pa.array(["."])])  # Arrow reads behind a last text that ends in white space
+        plain = pc.utf8_split_whitespace(pc.utf8_lower(guarded))[:-1]
         words = plain.flatten().dictionary_encode()
         if len(self.known) > KNOWN_WORDS:
             self._forget()

@@ -93,3 +93,12 @@ def test_round_trip(spark, docs, texts, tokenizer, no_docs, capacity, part_items
     if part_items > 1000:
         assert len(sequences) <= -(-sum(r.length for r in rows) // capacity) + 1
     assert pk.pack_documents(no_docs, PATH).count() == 0
+
+
+def test_words_with_a_sign_and_texts_that_end_in_white_space():
+    """Words of letters with a sign at the end skip the pattern; the last text of a batch may end in white space."""
+    words = pk.Words(PATH)
+    texts = [f"{w}{s}{e}" for w in ("of", "the don't", "été", "a1", "ª", "x" * 40, "") for s in (".", ",", "...", "'s", "']", ")", "²", "_") for e in ("", " ", "\xa0\xa0", "\x85")]
+    for k in range(1, len(texts) + 1, 3):
+        for text, ids in zip(texts[:k], words.encode(pa.array(texts[:k])), strict=True):
+            assert list(ids) == words.tokenizer.encode(text, add_special_tokens=False).ids, text
