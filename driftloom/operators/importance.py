@@ -18,9 +18,16 @@ from driftloom.sources.scratch import materialize
 from . import shapley
 
 BACKGROUND, SAMPLE, LIME_ROWS = 100, 500, 100
+#: Rows of the largest partition that a fit takes as it is.
+PART_ROWS = 1_000_000
 
 
 def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 20, depth: int = 6, seed: int = 0) -> Model:
+    """A random forest of all rows. Its fit keeps each partition's rows in one piece, so partitions above PART_ROWS are dealt anew."""
+    rows = rows.select(label, *features)
+    sizes = rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (sizes[0] or 0) > PART_ROWS:
+        rows = rows.repartition(-(-sizes[1] // PART_ROWS))
     data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
     return RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
 

@@ -58,3 +58,21 @@ def test_work_grows_with_different_rows(spark):
 def test_permutation_of_nothing(spark):
     frame = spark.createDataFrame([], "x double, y double, label int")
     assert importance.permutation_importance(Rule(), frame, ["x", "y"], repeats=2).collect() == []
+
+
+@pytest.mark.parametrize("part_rows, most", [(100, 150), (1000, 1000)])
+def test_fit_spreads_large_partitions(spark, monkeypatch, part_rows, most):
+    """No task of a fit keeps far more than PART_ROWS rows; smaller partitions stay as they are."""
+    monkeypatch.setattr(importance, "PART_ROWS", part_rows)
+    frame = spark.range(1000).coalesce(1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    seen = []
+
+    class Forest(importance.RandomForestClassifier):
+        def fit(self, data):
+            seen.append(data.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+            return super().fit(data)
+
+    monkeypatch.setattr(importance, "RandomForestClassifier", Forest)
+    model = importance.fit(frame, ["x", "y"], trees=3, depth=3)
+    assert seen[0][1] == 1000 and (seen[0][0] <= most if part_rows < 1000 else seen[0][0] == 1000)
+    assert importance.score(model, frame, ["x", "y"]).where("prediction = label").count() > 950
