@@ -66,6 +66,8 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Ma
     column's value in the next row of the order. Rows without stretches are one window a group; of rows with stretches, only
     one row for each stretch is put in order in one place.
     """
+    if not sums and not ahead:
+        return rows
     upto = Window.unboundedPreceding, 0
     if STRETCH not in rows.columns:
         group = Window.partitionBy(*keys)
