@@ -135,11 +135,13 @@ def _scanner(index):
 
     @pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts in batches:
             scanned = [index.value.scan(text) for text in texts]
             out = [(n, int(hit.sum()), sorted(found), _spans(hit)) for n, hit, found in scanned]
             yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
-        give_back()
+            del texts, scanned, out
+            give_back()
 
     return run
 

@@ -189,7 +189,8 @@ def with_language(docs: DataFrame, net: ByteNet, column: str, text_col: str = "t
         for texts in batches:
             names, scores = model.value.predict([None if t is None else str(t) for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
-        give_back()
+            del texts, names, scores
+            give_back()
 
     return docs.withColumn(column, pandas_udf(predict, "lang_pred string, score double")(F.col(text_col)))
 

@@ -137,7 +137,8 @@ def _prefixes(k: int, percent: int):
                 s = shingle_set(text, k)
                 out.append((len(s), _fingerprint(s), s[: prefix_length(len(s), percent)] if len(s) else None))
             yield pd.DataFrame(out, columns=["n", "fp", "prefix"])
-        give_back()
+            del texts, out
+            give_back()
 
     return pandas_udf(run, "n long, fp binary, prefix array<long>")
 
@@ -151,7 +152,8 @@ def _whole_sets(k: int, percent: int):
                 band = band_of(len(s), percent)
                 out.append((s, bitmap(s, band, percent), bitmap(s, band + 1, percent)))
             yield pd.DataFrame(out, columns=["items", "bits", "bits_above"])
-        give_back()
+            del texts, wanted, out
+            give_back()
 
     return pandas_udf(run, "items array<long>, bits array<long>, bits_above array<long>")
 
@@ -160,7 +162,8 @@ def _fingerprints(k: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([_fingerprint(shingle_set(t, k)) for t in texts], dtype=object)
-        give_back()
+            del texts
+            give_back()
 
     return pandas_udf(run, "binary")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .storage import free_name
+from .storage import free_name, give_back
 
 #: The base patterns, with the least length of what they must hold.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -172,6 +172,7 @@ FOUND = "n_assign long, n_access long, n_hex long, base array<struct<kind:string
 
 def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+    give_back()
     for texts in batches:
         out = []
         for text in texts:
@@ -179,11 +180,16 @@ def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             kinds = [k for k, _, _ in base]
             out.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), as_rows(base), as_rows(spans)))
         yield pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+        del texts, out
+        give_back()
 
 
 def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    give_back()
     for texts in batches:
         yield texts.map(redact)
+        del texts
+        give_back()
 
 
 def redact(text: str | None, mask: str = "[SECRET]") -> str | None:

@@ -50,7 +50,8 @@ KEPT: dict[str, object] = {}
 def give_back(keep: str = "") -> None:
     """Drop what this Python worker keeps for other kinds of tasks, and return freed memory to the machine.
 
-    Workers live on after a task and would hold both.
+    Workers live on after a task and would hold both; an executor has more of them than tasks, and all take turns. So
+    functions call this after each batch, when nothing of theirs refers to it any more.
     """
     for name in [k for k in KEPT if k != keep]:
         del KEPT[name]

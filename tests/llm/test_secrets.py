@@ -2,8 +2,13 @@ import base64
 import json
 import re
 import struct
+import weakref
+
+import pandas as pd
+import pytest
 
 from driftloom.llm import secrets as se
+from driftloom.llm.storage import KEPT
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -84,3 +89,20 @@ def test_deeply_nested_header_is_no_token(spark):
     found = se.scan_secrets(docs, "found").select("found.spans").first()[0]
     assert [(x.kind, text[x.start : x.end]) for x in found] == [("signed_token", f"{good}.abcdef.gh")]
     assert se.redact_secrets(docs).first().text == f"{deep}.abcdef.gh and [SECRET]"
+
+
+@pytest.mark.parametrize("scan", [se._redacted, se._found])
+def test_workers_hold_no_batch_that_is_done(scan):
+    held = []
+
+    def batches():
+        for _ in range(3):
+            texts = pd.Series([f"token = {'a1' * 20}", None, "plain"])
+            last = weakref.ref(texts)
+            yield texts
+            del texts
+            held.append(last() is not None)
+
+    KEPT["words of another task"] = object()
+    assert sum(len(out) for out in scan(batches())) == 9
+    assert held == [False] * 3 and not KEPT
