@@ -17,7 +17,7 @@ from driftloom.sources.scratch import materialize
 
 from . import shapley
 
-BACKGROUND, SAMPLE, LIME_ROWS = 100, 500, 100
+LIME_ROWS = 100
 #: Rows of the largest partition that a fit takes as it is.
 PART_ROWS = 1_000_000
 
@@ -88,18 +88,20 @@ def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns)).limit(n)
 
 
-def shap_importance(model: Model, rows: DataFrame, features: list[str], background: int = BACKGROUND, sample: int = SAMPLE, seed: int = 0, budget: int | None = None) -> DataFrame:
+def shap_importance(model: Model, rows: DataFrame, features: list[str], background: int | None = None, sample: int | None = None, seed: int = 0, budget: int | None = None) -> DataFrame:
     """(feature, importance, deviation): mean and population deviation of the absolute Shapley value of each feature for class 1
-    over `sample` rows against `background` rows.
+    over all rows against all rows, or over `sample` and against `background` of them where these are given.
 
-    Values come from a weighted fit over coalitions of any number of features (see shapley.kernel_shap), which is exact
-    as long as all coalitions are within the budget.
+    Rows of equal features are explained once. Values come from a weighted fit over coalitions of any number of features (see
+    shapley.kernel_shap), which is exact as long as all coalitions are within the budget.
     """
     x = F.array(*[F.col(f).cast("double") for f in features])
-    few = _sample(rows.select(*features), sample, seed).select(F.monotonically_increasing_id().alias("row_id"), x.alias("x"))
-    back = _sample(rows.select(*features), background, seed + 1).select(x.alias("x"))
-    few = materialize(few, "explained")  # row numbers are given once
-    return shapley.importances(shapley.kernel_shap(shapley.probability_of(model), few, back, len(features), budget, seed), features)
+    some = lambda n, s: rows.select(*features) if n is None else _sample(rows.select(*features), n, s)
+    counted = lambda n, s: some(n, s).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    few = materialize(counted(sample, seed).withColumn("row_id", F.monotonically_increasing_id()), "explained")  # row numbers are given once
+    back = few if background is None and sample is None else materialize(counted(background, seed + 1), "background")
+    values = materialize(shapley.kernel_shap(shapley.probability_of(model), few, back, len(features), budget, seed).join(few.select("row_id", "n"), "row_id"), "explained-values")
+    return shapley.importances(values, features)
 
 
 def lime_importance(model: Model, rows: DataFrame, features: list[str], n_rows: int = LIME_ROWS, perturbations: int = 200, ridge: float = 1.0, seed: int = 0) -> DataFrame:

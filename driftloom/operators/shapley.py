@@ -17,6 +17,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: Numbers in the mixed rows that a task scores at once.
 MIXED = 2_000_000
+#: Rows on either side whose different values meet in one block.
+BLOCK = 1_024
 
 
 def coalitions(d: int, budget: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -77,22 +79,30 @@ def kernel_shap(score: Callable[[DataFrame], DataFrame], rows: DataFrame, backgr
     """(row_id, base, phi) for rows (row_id, x), where x and phi are arrays over d features.
 
     score adds to a table with x the column `value` that is explained; a feature outside a coalition takes its value from
-    background rows (x), over which values are averaged. base is the mean score of the background; base and phi sum to the
-    row's own score. Up to 2**d - 2 coalitions within `budget` (2 * d + 2048 if not given) give exact values.
-    Rows may be as many as wanted: each is scored once for each coalition and background row, in as many tasks as there are
-    partitions, and only its mean scores meet in one place. Background rows and coalitions are small by choice of the
-    caller. Null features give null values.
+    background rows (x, and n where a row stands for n), over which values are averaged. base is the mean score of the
+    background; base and phi sum to the row's own score. Both sides may be as many as wanted: what a coalition takes from rows
+    and what it leaves to the background are collapsed to different values, which meet in blocks, so a coalition scores the
+    product of its different values on either side; where all rows differ in all features that is their square. Coalitions are
+    few by choice of the caller. Null features give null values.
     """
     masks, weights = coalitions(d, 2 * d + 2048 if budget is None else budget, seed)
     solve, spread = solution(masks, weights, d)
     spark = rows.sparkSession
     every = [*masks.tolist(), [True] * d, [False] * d]
-    listed = spark.createDataFrame([(i, m) for i, m in enumerate(every)], "_mask int, _in array<boolean>")
-    few = background.select(F.col("x").alias("_bg"))
-    cells = rows.select("row_id", "x").crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(few))  # both sides are bounded by arguments
-    mixed = F.transform("_in", lambda taken, i: F.when(taken, F.get("x", i)).otherwise(F.get("_bg", i)))
-    scored = cells.select("row_id", "_mask", mixed.alias("x"))
-    means = score(scored).groupBy("row_id", "_mask").agg(F.avg("value").alias("_v"))
+    listed = F.broadcast(spark.createDataFrame([(i, m) for i, m in enumerate(every)], "_mask int, _in array<boolean>"))  # bounded by an argument
+    part = lambda taken: F.transform("_in", lambda t, i: F.when(t if taken else ~t, F.get("x", i)))
+    masked = rows.select("row_id", "x").crossJoin(listed).select("row_id", "_mask", "_in", part(True).alias("_own"))
+    n = F.col("n") if "n" in background.columns else F.lit(1)
+    left = background.select("x", n.cast("long").alias("_n")).crossJoin(listed).groupBy("_mask", part(False).alias("_other")).agg(F.sum("_n").alias("_n"))
+    wide, high = (max(1, -(-side.count() // BLOCK)) for side in (rows, background))
+    block = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    taken = masked.groupBy("_mask", "_own").agg(F.first("_in").alias("_in")).withColumn("_i", block("_own", wide)).withColumn("_j", each(high))
+    cells = taken.join(left.withColumn("_j", block("_other", high)).withColumn("_i", each(wide)), ["_mask", "_i", "_j"])
+    mixed = F.transform("_in", lambda t, i: F.when(t, F.get("_own", i)).otherwise(F.get("_other", i)))
+    scored = score(cells.select("_mask", "_own", "_n", mixed.alias("x")))
+    mean = F.sum(F.col("value") * F.col("_n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("_n")))
+    means = masked.select("row_id", "_mask", "_own").join(scored.groupBy("_mask", "_own").agg(mean.alias("_v")), ["_mask", "_own"])
     listed_means = means.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_mask", F.coalesce("_v", F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("vs"))  # one number for each coalition
 
     @pandas_udf("base double, phi array<double>")
@@ -169,8 +179,12 @@ def probability_of(model: Model, vector: str = "_x", label: int = 1) -> Callable
 
 
 def importances(values: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, importance, deviation): mean and population deviation of the absolute values of each feature."""
-    each = values.select(F.posexplode("phi").alias("_at", "_phi"))
+    """(feature, importance, deviation): mean and population deviation of the absolute values of each feature; a row stands for n
+    where values have that column."""
+    n = F.col("n") if "n" in values.columns else F.lit(1)
+    each = values.select(n.alias("_n"), F.posexplode("phi").alias("_at", "_phi")).select("_at", "_n", F.abs("_phi").alias("_phi")).where("_phi is not null")
+    mean = lambda c: F.sum(c * F.col("_n")) / F.sum("_n")
+    means = each.groupBy("_at").agg(mean(F.col("_phi")).alias("importance"))  # a row for each feature
+    found = each.join(F.broadcast(means), "_at").groupBy("_at", "importance").agg(F.sqrt(mean((F.col("_phi") - F.col("importance")) ** 2)).alias("deviation"))
     names = F.array(*[F.lit(f) for f in features])
-    found = each.groupBy("_at").agg(F.avg(F.abs("_phi")).alias("importance"), F.stddev_pop(F.abs("_phi")).alias("deviation"))
     return found.select(F.get(names, F.col("_at")).alias("feature"), "importance", "deviation")

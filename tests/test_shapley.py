@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from driftloom.operators import importance, shapley
@@ -118,3 +119,38 @@ def test_arrays_of_nothing(spark):
     x, back = frames(spark, np.zeros((1, 3)), np.zeros((1, 3)))
     assert shapley.kernel_shap_arrays(lambda m: m.sum(1), x.where("false"), back, 3).collect() == []
     assert shapley.kernel_shap_arrays(lambda m: m.sum(1), x, back.where("false"), 3).collect() == []
+
+
+class Curve:
+    """Stands for a model: the probability of class 1 is x y / 100."""
+
+    def transform(self, rows):
+        x = vector_to_array("_x")
+        p = x[0] * x[1] / 100
+        return rows.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+def test_importance_counts_every_row(spark):
+    """900 rows, most of them equal, and a few far off that a sample of 500 or a background of 100 may leave out."""
+    rng = np.random.default_rng(4)
+    rows = [*[(1.0, 2.0)] * 700, *[tuple(map(float, r)) for r in rng.integers(0, 8, (195, 2))], *[(9.0, 9.0 + i / 8) for i in range(5)]]
+    x = np.array(rows)
+    phi = np.array([exact(lambda z: z[:, 0] * z[:, 1] / 100, r, x)[1] for r in x])
+    found = {r.feature: r for r in importance.shap_importance(Curve(), spark.createDataFrame(rows, "a double, b double").repartition(3), ["a", "b"]).collect()}
+    for i, f in enumerate("ab"):
+        assert found[f].importance == pytest.approx(np.abs(phi[:, i]).mean(), abs=1e-12) and found[f].deviation == pytest.approx(np.abs(phi[:, i]).std(), abs=1e-12)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_blocks_and_weights(spark, data, monkeypatch, block):
+    """Background rows that stand for several, in blocks of any size, give what the repeated rows give."""
+    monkeypatch.setattr(shapley, "BLOCK", block)
+    x, back = data
+    rows, _ = frames(spark, x[:4, :3], back)
+    times = [1, 4, 2, 3]
+    weighted = spark.createDataFrame([(b[:3].tolist(), k) for b, k in zip(back, times, strict=False)], "x array<double>, n long")
+    score = lambda cells: cells.withColumn("value", F.sin(F.get("x", F.lit(0))) * F.get("x", F.lit(1)) + F.get("x", F.lit(2)) ** 2)
+    repeated = np.repeat(back[:4, :3], times, 0)
+    for r in shapley.kernel_shap(score, rows, weighted, 3).collect():
+        base, phi = exact(lambda z: np.sin(z[:, 0]) * z[:, 1] + z[:, 2] ** 2, x[r.row_id, :3], repeated)
+        assert r.base == pytest.approx(base, abs=1e-9) and np.allclose(r.phi, phi, atol=1e-9)
