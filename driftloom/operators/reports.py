@@ -13,7 +13,7 @@ from driftloom.sources.scratch import materialize
 
 from .clusters import assignment
 from .ordered import by_value, null_safe_join, numbered
-from .recurrence import SIDES, class_distances, window_distances
+from .recurrence import SIDES, class_distances, mean_centers, window_distances
 from .tiles import for_each_pair, pack
 
 #: Distinct labels that can be matched on the driver; points whose neighbours are sought in one broadcast.
@@ -280,8 +280,6 @@ def compare_windows(prototypes: DataFrame, metric: str, first: int | None = None
     if metric == "minimal_distance":
         return window_minimal_distances(prototypes, pairs=pairs)
     if metric == "centroid_displacement":
-        n = F.posexplode("center").alias("k", "x")
-        means = prototypes.select("win", "label", n).groupBy("win", "label", "k").agg(F.avg("x").alias("x")).groupBy("win", "label")
-        centers = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("center"))
+        centers = mean_centers(prototypes)
         return window_distances(centers if pairs is None else materialize(centers, "centers"), pairs=pairs)
     raise ValueError(f"unknown metric: {metric}")
