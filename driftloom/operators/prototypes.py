@@ -178,12 +178,12 @@ class _Greedy:
         cut = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         mine = rows.select("label", "leaves", "row_id", cut.alias("x")).withColumn("y", every)
-        theirs = rows.select("label", "leaves", "n", cut.alias("v")).withColumn("u", every)
+        theirs = rows.select(F.col("label").alias("label_b"), F.col("leaves").alias("leaves_b"), F.col("n").alias("n_b"), cut.alias("v")).withColumn("u", every)
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"row_id": a["row_id"], "part": np.zeros(len(a), np.int64)})
-            return pd.DataFrame({"row_id": a["row_id"], "part": part(_matrix(a["leaves"]), a["label"].to_numpy(), _matrix(b["leaves"]), b["label"].to_numpy(), b["n"].to_numpy())})
+            return pd.DataFrame({"row_id": a["row_id"], "part": part(_matrix(a["leaves"]), a["label"].to_numpy(), _matrix(b["leaves_b"]), b["label_b"].to_numpy(), b["n_b"].to_numpy())})
 
         met = mine.groupBy("x", "y").cogroup(theirs.groupBy("u", "v")).applyInPandas(run, "row_id long, part long")
         return met.groupBy("row_id").agg(F.sum("part").alias("part"))

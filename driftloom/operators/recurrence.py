@@ -21,6 +21,8 @@ CLASS_PENALTY, MEAN_PENALTY = 10.0, 2.0
 BLOCK, MAX_PROTOTYPES = 4_096, 65_536
 #: Windows on either side whose distances one task takes.
 SIDES = 512, 256
+#: Windows on either side of a block of a smoothed matrix.
+SMOOTH = 512
 
 
 def class_distribution(windows: DataFrame) -> DataFrame:
@@ -69,10 +71,10 @@ def displacement_by_class(a: DataFrame, b: DataFrame, penalty: float = CLASS_PEN
     return both.select("label", F.coalesce(l2(F.col("x"), F.col("y")), F.lit(penalty)).alias("distance"))
 
 
-def class_distances(first: pd.DataFrame, second: pd.DataFrame, penalty: float, matched: bool) -> pd.DataFrame:
-    """(win_a, win_b, distance) of packed windows of first that come before those of second: the mean over the classes that either
-    has of the distance of its centers. A class has one center, and costs the penalty where one is missing; matched, it has
-    any number, the smaller side looks up the nearest of the larger, and each that has no partner adds the penalty."""
+def class_matrix(first: pd.DataFrame, second: pd.DataFrame, penalty: float, matched: bool) -> np.ndarray:
+    """Distances of packed windows of first (rows) and second (columns): the mean over the classes that either has of the distance
+    of its centers, NaN without any. A class has one center, and costs the penalty where one is missing; matched, it has any
+    number, the smaller side looks up the nearest of the larger, and each that has no partner adds the penalty."""
     both = pd.concat([first, second], ignore_index=True)
     sizes = both["labels"].map(len).to_numpy(int)
     codes, names = pd.factorize(np.concatenate([np.asarray(x, object) for x in both["labels"]] or [np.zeros(0, object)]))
@@ -82,7 +84,7 @@ def class_distances(first: pd.DataFrame, second: pd.DataFrame, penalty: float, m
     values = np.concatenate([np.asarray(f, float) for f in both["flat"]] or [np.zeros(0)]).reshape(-1, dim)
     owner = np.repeat(np.arange(len(both)), sizes)
     nulls = np.bincount(owner[codes < 0], minlength=len(both)) > 0
-    n, wins = len(first), both["win"].to_numpy()
+    n = len(first)
     total, count = np.zeros((n, len(both) - n)), np.zeros((n, len(both) - n), np.int64)
     if matched:
         count += nulls[:n, None] | nulls[None, n:]
@@ -109,8 +111,14 @@ def class_distances(first: pd.DataFrame, second: pd.DataFrame, penalty: float, m
         some = (na > 0) | (nb > 0)
         total += np.where(some, d, 0.0)
         count += some
-    i, j = np.nonzero((count > 0) & (wins[:n, None] < wins[None, n:]))
-    return pd.DataFrame({"win_a": wins[i], "win_b": wins[n + j], "distance": total[i, j] / count[i, j]})
+    return np.divide(total, count, out=np.full_like(total, np.nan), where=count > 0)
+
+
+def class_distances(first: pd.DataFrame, second: pd.DataFrame, penalty: float, matched: bool) -> pd.DataFrame:
+    """(win_a, win_b, distance) of packed windows of first that come before those of second: see class_matrix."""
+    found, one, two = class_matrix(first, second, penalty, matched), first["win"].to_numpy(), second["win"].to_numpy()
+    i, j = np.nonzero(~np.isnan(found) & (one[:, None] < two))
+    return pd.DataFrame({"win_a": one[i], "win_b": two[j], "distance": found[i, j]})
 
 
 def window_distances(centers: DataFrame, penalty: float = MEAN_PENALTY, pairs: DataFrame | None = None) -> DataFrame:
@@ -137,6 +145,54 @@ def full_matrix(distances: DataFrame, n: int) -> DataFrame:
     return both.unionAll(diagonal)
 
 
+def _median(around: np.ndarray) -> np.ndarray:
+    """Median along the first axis of what is a number."""
+    if not np.isnan(around).any() and len(around) % 2:
+        return np.partition(around, len(around) // 2, 0)[len(around) // 2]
+    ranked, held = np.sort(around, 0), (~np.isnan(around)).sum(0)
+    at = lambda k: np.take_along_axis(ranked, np.maximum(k, 0)[None], 0)[0]
+    return (at((held - 1) // 2) + at(held // 2)) / 2
+
+
+def smoothed_matrix(centers: DataFrame, n: int, kernel: int, penalty: float = MEAN_PENALTY) -> DataFrame:
+    """(i, j, smooth): the full matrix of window_distances of windows 0 .. n - 1 (win, label, center), smoothed by the median of
+    the kernel x kernel cells around, indexes clamped to the matrix. Windows without centers have their diagonal only.
+
+    Blocks of windows, each with those next to it, meet in tasks that take the distances and smooth them, so no cell is sent.
+    """
+    if kernel % 2 == 0:
+        raise ValueError("the kernel must be odd")
+    half, side, last = kernel // 2, SMOOTH, max(-(-n // SMOOTH) - 1, 0)
+    packed = pack(centers.where("label is not null")).withColumn("win", F.col("win").cast("int"))
+    sets = materialize(centers.sparkSession.range(n).select(F.col("id").cast("int").alias("win")).join(packed, "win", "left"), "window-centers")
+    block = lambda shift: F.floor(F.least(F.greatest(F.col("win") + shift, F.lit(0)), F.lit(n - 1)) / side).cast("int")
+    near = sets.withColumn("x", F.explode(F.sequence(block(-half), block(half))))  # a window and those that it is next to
+    first = near.withColumn("y", F.explode(F.sequence(F.col("x"), F.lit(last))))
+    second = near.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns], F.col("x").alias("v")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("v"))))
+
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(key[0]), int(key[1])
+        b = b.rename(columns=lambda c: c.removesuffix("_b"))
+        a, b = a.sort_values("win", ignore_index=True), b.sort_values("win", ignore_index=True)
+        cells = np.full((len(a), len(b)), np.nan)
+        i, j = (np.flatnonzero(side["labels"].notna()) for side in (a, b))
+        if len(i) and len(j):
+            cells[np.ix_(i, j)] = class_matrix(a.iloc[i], b.iloc[j], penalty, False)
+        cells[a["win"].to_numpy()[:, None] == b["win"].to_numpy()] = 0.0
+        rows, columns = np.arange(x * side, min((x + 1) * side, n)), np.arange(y * side, min((y + 1) * side, n))
+        at = lambda k, of: np.searchsorted(of["win"].to_numpy(), np.clip(np.arange(k[0] - half, k[-1] + half + 1), 0, n - 1))
+        wide = cells[np.ix_(at(rows, a), at(columns, b))]
+        around = np.stack([wide[di : di + len(rows), dj : dj + len(columns)] for di in range(kernel) for dj in range(kernel)])
+        own = ~np.isnan(around[len(around) // 2])
+        smooth = _median(around)[own]
+        i, j = (np.broadcast_to(k, own.shape)[own].astype(np.int32) for k in (rows[:, None], columns))
+        if x < y:
+            i, j, smooth = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(smooth, 2)
+        return pd.DataFrame({"i": i, "j": j, "smooth": smooth})
+
+    return first.groupBy("x", "y").cogroup(second.groupBy("u", "v")).applyInPandas(tile, "i int, j int, smooth double")
+
+
 def matrix_summary(matrix: DataFrame) -> DataFrame:
     """Mean, population deviation and maximum over the whole square, its diagonal included."""
     return matrix.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max("value").alias("max"))

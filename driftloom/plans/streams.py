@@ -157,7 +157,8 @@ def window_distance_matrix(spark, sf_dir):
 @query(f"""WITH {DIST}, b AS (SELECT max(i) AS hi FROM sq), k AS (SELECT i, j, di, dj FROM sq CROSS JOIN (SELECT unnest([-1, 0, 1]) AS di) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dj))
 SELECT k.i, k.j, round(median(v.value), 6) AS smooth FROM k, b, sq v WHERE v.i = least(greatest(k.i + di, 0), hi) AND v.j = least(greatest(k.j + dj, 0), hi) GROUP BY k.i, k.j""")
 def median_filtered_matrix(spark, sf_dir):
-    return rounded(wn.median_filter_2d(matrix(spark, sf_dir), 3))
+    means = rc.class_means(labelled_windows(spark, sf_dir), ["value"])
+    return rounded(rc.smoothed_matrix(means, read(spark, sf_dir, "events").count() // 1000, 3))
 
 
 @query(f"WITH {DIST} SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(max(value), 6) AS max FROM sq")
